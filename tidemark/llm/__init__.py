@@ -9,9 +9,11 @@ from importlib import import_module
 
 #: One module for each numbered operator; each has QUERY, query() and ORACLE_SQL.
 MODULES = (
+    "url_filter",
     "exact_dedup",
     "decontaminate",
     "sharding",
+    "chat_format",
 )
 
 
