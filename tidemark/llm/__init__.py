@@ -14,6 +14,7 @@ MODULES = (
     "decontaminate",
     "sharding",
     "chat_format",
+    "simhash",
 )
 
 
