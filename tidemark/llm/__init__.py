@@ -15,6 +15,7 @@ MODULES = (
     "sharding",
     "chat_format",
     "simhash",
+    "secrets_scan",
 )
 
 
