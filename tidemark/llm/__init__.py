@@ -16,6 +16,8 @@ MODULES = (
     "chat_format",
     "simhash",
     "secrets_scan",
+    "language_id",
+    "packing",
 )
 
 
