@@ -18,6 +18,7 @@ MODULES = (
     "secrets_scan",
     "language_id",
     "packing",
+    "suffix_dedup",
 )
 
 
