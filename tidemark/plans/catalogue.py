@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
+from . import events, panels, scores
+from .base import rounded
+
+_PARTS = (panels, scores, events)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(1)
+    """Random-walk nowcasts over the rolling calendar, scored by horizon."""
+    return rounded(scores.accuracy_by_method_horizon(spark, sf_dir))
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    def of(query):
+        return lambda spark, sf_dir: rounded(query(spark, sf_dir))
+
+    return {name: of(q) for part in _PARTS for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: text for part in _PARTS for name, text in part.SQL.items()}
