@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, panels, scores
+from . import events, models, panels, scores
 from .base import rounded
 
-_PARTS = (panels, scores, events)
+_PARTS = (panels, scores, events, models)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
