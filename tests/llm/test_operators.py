@@ -264,7 +264,9 @@ def plain_repeats(texts):
     return out
 
 
-def test_repeats(spark, texts, tmp_path):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_CONTEXTS, 2])
+def test_repeats(spark, texts, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
     rng = np.random.default_rng(3)
     extra = {7000: "a" * 1000, 7001: "ab" * 300, 7004: "x" * 99, 7005: "x" * 100, 7006: "x" * 101, 7007: "é" * 200}
     extra |= {6999: "".join(rng.choice(list("ab"), 2000)) * 3, 7010: "a" * 150 + "".join(rng.choice(list("abc"), 500))}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import materialise, sized, table
+from .common import lookup, materialise, sized, table
 
 #: What a row of the anchors' table is: an anchor, a span to remove, an anchor whose context is asked for.
 ANCHOR, SPAN, ASKED = 0, 1, 2
@@ -30,6 +30,8 @@ _ROW = "kind int, h long, x long, doc_id long, hash long, a long, b long"
 BATCH_BYTES, BATCH_CONTEXTS = 16_000_000, 20_000
 #: Contexts asked for up to which the list is broadcast (some 25 bytes each), and anchors meant for a task.
 BROADCAST_ASKED, TASK_ANCHORS = 2_000_000, 2_000_000
+#: Different contexts of one anchor up to which they are sorted in one task; beyond, their windows are aggregated.
+HOT_CONTEXTS = 50_000
 _NULL_ID = -(2**63)
 
 
@@ -167,17 +169,24 @@ def _repeat_spans(batches):
         yield from _spans_of(pa.Table.from_batches(held).combine_chunks())
 
 
-def _spans_of(contexts: pa.Table):
-    h, doc, text_hash, a, b = (contexts.column(k).to_numpy() for k in range(5))
+def _matrix(contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts' bytes with their anchors in one column, and the bytes before and from the anchors on."""
+    b = contexts.column(4).to_numpy()
     left, right = b // 256, b % 256
-    data = contexts.column(5).combine_chunks()
+    data = contexts.column(5)
+    data = data.combine_chunks() if isinstance(data, pa.ChunkedArray) else data
     data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
     offsets = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4).astype(np.int64)
     raw = np.frombuffer(data.buffers()[2], np.uint8)
     column = np.arange(repeats.CONTEXT)
     at = offsets[:-1, None] + column - (repeats.BEFORE - left)[:, None]
     inside = (column >= (repeats.BEFORE - left)[:, None]) & (column < (repeats.BEFORE + right)[:, None])
-    context = np.where(inside, raw[np.clip(at, 0, len(raw) - 1)], 0).astype(np.uint8)
+    return np.where(inside, raw[np.clip(at, 0, len(raw) - 1)], 0).astype(np.uint8), left, right
+
+
+def _spans_of(contexts: pa.Table):
+    h, doc, text_hash, a = (contexts.column(k).to_numpy() for k in range(4))
+    context, left, right = _matrix(contexts)
     reach: dict[tuple[int, int], int] = {}
     for l, rows, length in repeats.maximal_repeats(h, context, left, right):  # noqa: E741
         members = rows.tolist()
@@ -194,6 +203,36 @@ def _spans_of(contexts: pa.Table):
         yield _table([np.full(len(r), SPAN), h[r], np.zeros(len(r), np.int64), doc[r], text_hash[r], begin, begin + n])
 
 
+_WINDOW = "w long, v long, doc_id long, hash long, a long"
+
+
+def _windows(batches):
+    """(w, v, doc_id, hash, a) for each window of hot anchors' contexts: 128 bits of hash and where it starts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_CONTEXTS // 8):
+            part = batch.slice(at, BATCH_CONTEXTS // 8)
+            doc, text_hash, a = (part.column(k).to_numpy() for k in (1, 2, 3))
+            context, left, right = _matrix(part)
+            for before in range(repeats.BEFORE + 1):
+                rows = np.flatnonzero((left >= before) & (right >= repeats.WINDOW - before))
+                start = repeats.BEFORE - before
+                w, v = repeats.window_hashes(context[rows, start : start + repeats.WINDOW])
+                columns = (w.view(np.int64), v.view(np.int64), doc[rows], text_hash[rows], a[rows] - before)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in _WINDOW.split(", ")])
+
+
+def _hot_spans(contexts: DataFrame) -> DataFrame:
+    """Spans of windows that start earlier elsewhere, for anchors of too many contexts for one task: by aggregation, combined in each partition."""
+    windows = materialise(contexts.mapInArrow(_windows, _WINDOW), "windows")
+    own = windows.groupBy("w", "v", "doc_id").agg(F.min("a").alias("first_a"), F.count(F.lit(1)).alias("m"))
+    first = own.groupBy("w", "v").agg(F.min(F.struct("doc_id", "first_a")).alias("first"), F.sum("m").alias("n")).filter("n > 1")
+    first = materialise(first, "first")
+    joined = lookup(windows, first, ["w", "v"], first.count(), windows.count())
+    later = joined.filter(F.col("first").isNotNull() & ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("a") != F.col("first.first_a"))))
+    stop = (F.col("a") + repeats.WINDOW).alias("b")
+    return later.select(F.lit(SPAN).alias("kind"), F.col("w").alias("h"), F.lit(0).cast("long").alias("x"), "doc_id", "hash", "a", stop)
+
+
 _MERGED = "doc_id long, hash long, starts array<long>, stops array<long>, n long"
 
 
@@ -254,12 +293,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts = max(conf, math.ceil(size / 30 / TASK_ANCHORS))  # an anchor in some 30 bytes
     dealt = docs.mapInArrow(_anchors, _ROW).repartition(parts, "h").sortWithinPartitions("h", "x", "doc_id", "a")
     found = materialise(dealt.mapInArrow(_classes, _ROW), "classes")
-    asked = found.filter(F.col("kind") == ASKED).select("doc_id", "hash", F.struct("h", "a", "b").alias("one"))
+    asked = found.filter(F.col("kind") == ASKED).select("doc_id", "hash", "h", "a", "b")
+    hot = materialise(asked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_CONTEXTS).select("h"), "hot")
+    n_hot = hot.count()
+
+    def contexts(rows: DataFrame) -> DataFrame:
+        wanted = rows.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("h", "a", "b")).alias("asked"))
+        own = docs.join(sized(wanted, n_asked, BROADCAST_ASKED), ["doc_id", "hash"]).select("doc_id", "hash", "text", "asked")
+        return own.mapInArrow(_contexts, _CONTEXT)
+
     n_asked = asked.count()
-    wanted = asked.groupBy("doc_id", "hash").agg(F.collect_list("one").alias("asked"))
-    contexts = docs.join(sized(wanted, n_asked, BROADCAST_ASKED), ["doc_id", "hash"]).select("doc_id", "hash", "text", "asked")
-    sorted_contexts = contexts.mapInArrow(_contexts, _CONTEXT).repartition(parts, "h").sortWithinPartitions("h")
+    usual = asked.join(sized(hot, n_hot), "h", "left_anti") if n_hot else asked
+    sorted_contexts = contexts(usual).repartition(parts, "h").sortWithinPartitions("h")
     spans = found.filter(F.col("kind") == SPAN).unionByName(sorted_contexts.mapInArrow(_repeat_spans, _ROW))
+    if n_hot:
+        spans = spans.unionByName(_hot_spans(contexts(asked.join(sized(hot, n_hot), "h", "left_semi"))))
     own = spans.select("doc_id", "hash", "a", "b").repartition("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "a")
     return own.mapInArrow(_merged, _MERGED)
 
