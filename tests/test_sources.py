@@ -67,3 +67,18 @@ def test_facts_append_read_and_resume(spark, tmp_path):
     facts.append_facts(rows, str(tmp_path / "out"))
     facts.append_facts(rows, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_results_round_trip(spark, tmp_path):
+    from tidemark.sources import results
+
+    rows = spark.createDataFrame([("a", 5.0, 1.0), ("b", float("inf"), float("nan"))], "estimator string, nu_u double, value double")
+    results.write_json(rows, str(tmp_path / "j"))
+    back = {r.estimator: (r.nu_u, r.value) for r in results.read_json(spark, str(tmp_path / "j"), "estimator string, nu_u double, value double").collect()}
+    assert back == {"a": (5.0, 1.0), "b": (float("inf"), None)}
+    fits = spark.createDataFrame([("x", [1.0, 2.0]), ("y", [3.0])], "fit_id string, loading array<double>")
+    results.save_fits(fits, str(tmp_path / "f"))
+    assert results.load_fits(spark, str(tmp_path / "f"), ["y"]).first()["loading"] == [3.0]
+    assert results.unfinished(fits, fits.filter("fit_id = 'x'"), ["fit_id"]).count() == 1
+    stats = spark.createDataFrame([("s", 1.0, 2.0), ("t", 1.0, 2.0)], "series string, mean double, std double")
+    assert [r.series for r in results.drifted(stats, stats.filter("series = 's'"), ["series"]).collect()] == ["t"]
