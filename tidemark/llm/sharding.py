@@ -55,15 +55,23 @@ def _draw(key: Column, path: Column, weight: Column) -> Column:
     return -F.log(u) / weight
 
 
-def with_shard(df: DataFrame, key: str, tree: Tree, name: str) -> DataFrame:
-    """df with the shard that the string column `key` descends to in the tree."""
-    df = df.withColumn("_at", F.lit(""))
+def shard_of(key: Column, tree: Tree) -> Column:
+    """The shard that a key (a string column) descends to in the tree."""
+    at = F.lit("")
     for level in _levels(tree):
         nodes = F.array(*[F.struct(F.lit(p).alias("parent"), F.lit(path).alias("path"), F.lit(w).alias("weight")) for p, path, w in level])
-        own = F.filter(nodes, lambda n: n["parent"] == F.col("_at"))
-        drawn = F.transform(own, lambda n: F.struct(_draw(F.col(key), n["path"], n["weight"]).alias("draw"), n["path"].alias("path")))
-        df = df.withColumn("_at", F.array_min(drawn)["path"])
-    return df.withColumn(name, F.element_at(F.split("_at", "/"), -1).cast("int")).drop("_at")
+        at = _bound(at, lambda parent: _least_child(key, parent, nodes))  # noqa: B023
+    return F.element_at(F.split(at, "/"), -1).cast("int")
+
+
+def _least_child(key: Column, parent: Column, nodes: Column) -> Column:
+    own = F.filter(nodes, lambda n: n["parent"] == parent)
+    return F.array_min(F.transform(own, lambda n: F.struct(_draw(key, n["path"], n["weight"]).alias("draw"), n["path"].alias("path"))))["path"]
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def shard_documents(docs: DataFrame, shards: int = PLANNED, id_column: str = "doc_id", text_column: str = "text", planned: int = PLANNED) -> DataFrame:
@@ -84,8 +92,14 @@ def shard_documents(docs: DataFrame, shards: int = PLANNED, id_column: str = "do
         F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("key"),
         F.monotonically_increasing_id().alias("tie"),
     )
-    dealt = with_shard(dealt, "key", layout(shards, planned), "shard")
-    dealt = with_shard(dealt, "key", layout(shards + 1, planned), "grown_shard").drop("key")
+    dealt = dealt.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        shard_of(F.col("key"), layout(shards, planned)).alias("shard"),
+        shard_of(F.col("key"), layout(shards + 1, planned)).alias("grown_shard"),
+        "tie",
+    )
     # Slots without a task for a whole shard: range-sorted parts, counted, then numbered each by itself.
     dealt = materialise(dealt, "dealt")
     parts = materialise(dealt.repartitionByRange("shard", "doc_id", "tie").withColumn("part", F.spark_partition_id()), "parts")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, sized, table
+from .common import BROADCAST_ROWS, ascii_lower, lookup, materialise, sized, table
 from .components import components
 from .text_hash import simhashes
 
@@ -31,8 +31,10 @@ RADIUS, BLOCKS, BLOCK_BITS = 3, 4, 16
 TASK_ROWS = 3_000_000
 #: For similarity: 64-bit words of the sketch of long shingles, and of the prints of two-word shingles.
 SKETCH_WORDS, PRINT_WORDS, PRINT_SHINGLE = 4, 4, 2
-#: Buckets up to this size are compared pair by pair, larger ones along a chain and with their first.
+#: Buckets up to this size are compared pair by pair, larger ones in the order of their sketches and with their first.
 PAIRED = 16
+#: Bits of a sketch's first word that similar texts may differ by in a bucket: four standard deviations above those of 0.8.
+LOOSE = 22
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -188,45 +190,93 @@ _PRINTS = [f"p{i}" for i in range(PRINT_WORDS)]
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
-def sketch_distance(similarity: float) -> int:
-    """Bits of a sketch that two texts of that Jaccard similarity differ by, and a standard deviation more."""
+def sketch_band(similarity: float) -> tuple[int, int]:
+    """Bits of a sketch up to which two texts are taken for similar, and beyond which for not: three standard deviations each way."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * SKETCH_WORDS
-    return math.floor(n * p + math.sqrt(n * p * (1 - p)))
+    spread = 3 * math.sqrt(n * p * (1 - p))
+    return math.floor(n * p - spread), math.ceil(n * p + spread)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingles have at least that Jaccard similarity, by their hashes."""
+    pairs = materialise(pairs, "band")
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ends = materialise(ends, "ends")
+    own = texts.join(sized(ends, ends.count()), "doc_id")
+    w = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.slice("w", i, words)))
+    shingles = F.array_distinct(F.when(F.size("w") >= words, cut).otherwise(F.array(F.xxhash64("w"))))
+    sets = own.select("doc_id", w.alias("w")).select("doc_id", shingles.alias("set"))
+    sets = materialise(sets.groupBy("doc_id").agg(F.min("set").alias("set")), "sets")
+    entries = sets.agg(F.coalesce(F.sum(F.size("set")), F.lit(0))).first()[0]
+    for end in ("a", "b"):
+        pairs = pairs.join(sized(sets.select(F.col("doc_id").alias(end), F.col("set").alias(f"set_{end}")), entries, 4 * BROADCAST_ROWS), end)
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.filter(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+
+
+def _forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indices of a minimum spanning forest's links, by rounds in which every component takes its lightest way out."""
+    nodes, inverse = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = inverse[: len(x)], inverse[len(x) :]
+    order = np.lexsort((y, x, weight))
+    label, kept = np.arange(len(nodes)), []
+    while True:
+        a, b = label[x[order]], label[y[order]]
+        out = a != b
+        if not out.any():
+            return np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
+        order, a, b = order[out], a[out], b[out]
+        _, first = np.unique(np.concatenate([a, b]), return_index=True)
+        taken = np.unique(first % len(a))
+        kept.append(order[taken])
+        while True:  # components by their least label
+            new = label.copy()
+            p, q = label[x[order[taken]]], label[y[order[taken]]]
+            np.minimum.at(new, np.r_[p, q], np.minimum(np.r_[p, q], np.r_[q, p]))
+            new = new[new][label]
+            if np.array_equal(new, label):
+                break
+            label = new
 
 
 def _pair_buckets(batches):
-    keys, nodes = [], []
+    """Links between buckets' members, rows (key, s0): a minimum spanning forest of those whose first sketch words are near."""
+    keys, words = [], []
     for batch in batches:
         keys.append(batch.column(0).to_numpy())
-        nodes.append(batch.column(1).to_numpy())
+        words.append(batch.column(1).to_numpy().view(np.uint64))
     if not keys:
         return
-    key, node = np.concatenate(keys), np.concatenate(nodes)
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new = np.r_[True, key[1:] != key[:-1]]
-    start = np.flatnonzero(new)
+    key, word = np.concatenate(keys), np.concatenate(words)
+    order = np.lexsort((word, key))
+    key, word = key[order], word[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     size_of, start_of = np.repeat(size, size), np.repeat(start, size)
-    pairs = []
+    left, right = [], []
     for step in range(1, PAIRED):
         same = np.flatnonzero((key[step:] == key[:-step]) & ((size_of[step:] <= PAIRED) | (step == 1)))
-        pairs.append(np.stack([node[same], node[same + step]], 1))
+        left.append(word[same])
+        right.append(word[same + step])
     large = np.flatnonzero((size_of > PAIRED) & (np.arange(len(key)) > start_of))
-    pairs.append(np.stack([node[start_of[large]], node[large]], 1))
-    found = np.concatenate(pairs)
-    found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
-    for i in range(0, len(found), 100_000):
-        part = found[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1]))], ["a", "b"])
+    x, y = np.concatenate([*left, word[start_of[large]]]), np.concatenate([*right, word[large]])
+    distance = np.bitwise_count(x ^ y)
+    near = (distance <= LOOSE) & (x != y)
+    x, y, distance = x[near], y[near], distance[near]
+    kept = _forest(x, y, distance) if len(x) else np.zeros(0, np.int64)
+    for i in range(0, len(kept), 100_000):
+        part = kept[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(x[part].view(np.int64)), pa.array(y[part].view(np.int64))], ["x", "y"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of documents that are near duplicates of others.
 
-    Documents whose sketches over shingles of so many words are as close as those
-    of the similarity link; component_id is the smallest doc_id reachable. Rows
+    Documents link if their sets of shingles of so many words are that similar.
+    Sketches decide where they are clear, and the sets themselves where they are
+    not; component_id is the smallest doc_id reachable. Rows
     with a null id are left out, and so are rows without words, which are alike in
     nothing. Repeated rows are one document. Other columns are ignored.
     """
@@ -237,19 +287,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     # equal sketches are one node, so copies are never compared with each other
     nodes = materialise(made.groupBy(*_PRINTS, *_SKETCH).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
     n_nodes = nodes.count()
+    # one node stands for those of its first sketch word in the balls; the others are compared with it
+    parts = [F.col(c) for c in ("node", *_SKETCH[1:], *_PRINTS)]
+    chosen = nodes.groupBy("s0").agg(F.min(F.struct(*parts)).alias("r")).select("s0", "r.*")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
     halves = []
     for i, p in enumerate(_PRINTS):
         for j, half in enumerate((F.col(p).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned(p, 32))):
             halves.append(half.bitwiseOR(F.lit((2 * i + j) << 32).cast("long")))
     variants = F.flatten(F.transform(F.array(*halves), lambda v: F.transform(flips, lambda f: v.bitwiseXOR(f))))
-    emitted = nodes.select("node", F.explode(variants).alias("key")).select("key", "node")
-    pairs = _shuffled(emitted, n_nodes * 2 * PRINT_WORDS * 33).mapInArrow(_pair_buckets, "a long, b long").distinct()
-    for end in ("a", "b"):
-        own = nodes.select(F.col("node").alias(end), *[F.col(s).alias(f"{end}_{s}") for s in _SKETCH])
-        pairs = pairs.join(sized(own, n_nodes), end)
-    distance = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SKETCH), F.lit(0))
-    links = materialise(pairs.filter(distance <= sketch_distance(similarity)).select("a", "b"), "pairs")
+    emitted = chosen.select("s0", F.explode(variants).alias("key")).select("key", "s0")
+    pairs = _shuffled(emitted, n_nodes * 2 * PRINT_WORDS * 33).mapInArrow(_pair_buckets, "x long, y long").distinct()
+    side = lambda end, on: chosen.select(F.col("s0").alias(on), F.col("node").alias(end), *[F.col(w).alias(f"{end}_{w}") for w in _SKETCH])
+    pairs = pairs.join(sized(side("a", "x"), n_nodes), "x").join(sized(side("b", "y"), n_nodes), "y")
+    own = nodes.select(F.col("s0").alias("x"), F.col("node").alias("b"), *[F.col(w).alias(f"b_{w}") for w in _SKETCH])
+    alike = own.join(sized(side("a", "x"), n_nodes), "x").filter(F.col("a") != F.col("b"))
+    columns = ["a", "b", *[f"{end}_{w}" for end in ("a", "b") for w in _SKETCH]]
+    compared = pairs.select(*columns).unionByName(alike.select(*columns))
+    distance = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in _SKETCH), F.lit(0))
+    low, high = sketch_band(similarity)
+    compared = materialise(compared.select("a", "b", distance.alias("distance")).filter(F.col("distance") <= high), "compared")
+    close = compared.filter(F.col("distance") <= low).select("a", "b")
+    links = materialise(close.unionByName(_similar(compared.filter(F.col("distance") > low).select("a", "b"), rows, words, similarity)), "pairs")
     found = components(links)
     of_node = nodes.join(sized(found, found.count()), "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     classes = materialise(of_node.select(*_PRINTS, *_SKETCH, "component_id", "n", F.col("component").isNotNull().alias("linked")), "classes")
