@@ -28,7 +28,7 @@ def plain(x):
     if isinstance(x, datetime.date):
         return str(x)[:19].replace(" 00:00:00", "")
     if isinstance(x, float):
-        return round(x, 6) + 0.0
+        return int(x) if x.is_integer() else round(x, 6)  # pandas holds integers as floats if some are missing
     return int(x) if hasattr(x, "__index__") or type(x).__name__ in ("bool", "bool_") else str(x)
 
 
