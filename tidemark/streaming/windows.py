@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def _marked(events: DataFrame, late: str) -> DataFrame:
-    return events.withWatermark("ts", late) if events.isStreaming else events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
 
 
 def daily_means(events: DataFrame, late: str = "1 hour") -> DataFrame:
