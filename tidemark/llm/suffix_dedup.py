@@ -28,8 +28,8 @@ ANCHOR, SPAN, ASKED = 0, 1, 2
 _ROW = "kind int, h long, x long, doc_id long, hash long, a long, b long"
 #: Bytes of texts that are worked on, and contexts that are sorted, at a time.
 BATCH_BYTES, BATCH_CONTEXTS = 16_000_000, 20_000
-#: Contexts asked for up to which the list is broadcast (some 25 bytes each), and anchors meant for a task.
-BROADCAST_ASKED, TASK_ANCHORS = 2_000_000, 2_000_000
+#: Anchors meant for a task.
+TASK_ANCHORS = 2_000_000
 #: Different contexts of one anchor up to which they are sorted in one task; beyond, their windows are aggregated.
 HOT_CONTEXTS = 50_000
 _NULL_ID = -(2**63)
@@ -298,11 +298,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     n_hot = hot.count()
 
     def contexts(rows: DataFrame) -> DataFrame:
+        # the list grows with the texts, so it is never broadcast: one plan at every size
         wanted = rows.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("h", "a", "b")).alias("asked"))
-        own = docs.join(sized(wanted, n_asked, BROADCAST_ASKED), ["doc_id", "hash"]).select("doc_id", "hash", "text", "asked")
+        own = docs.join(wanted.hint("merge"), ["doc_id", "hash"]).select("doc_id", "hash", "text", "asked")
         return own.mapInArrow(_contexts, _CONTEXT)
 
-    n_asked = asked.count()
     usual = asked.join(sized(hot, n_hot), "h", "left_anti") if n_hot else asked
     sorted_contexts = contexts(usual).repartition(parts, "h").sortWithinPartitions("h")
     spans = found.filter(F.col("kind") == SPAN).unionByName(sorted_contexts.mapInArrow(_repeat_spans, _ROW))
@@ -327,8 +327,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     merged = materialise(repeated_spans(rows), "merged")
-    spans = merged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = rows.join(sized(merged.drop("n"), spans, BROADCAST_ASKED), ["doc_id", "hash"], "left")
+    joined = rows.join(merged.hint("merge"), ["doc_id", "hash"], "left")
     made = joined.select("doc_id", "text", "starts", "stops").mapInArrow(_cut(with_text), _KEPT)
     return made.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
 
