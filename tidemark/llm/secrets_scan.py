@@ -96,19 +96,21 @@ def find_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_c
     found = materialise(candidates(rows, rules), "candidates")
     right = sized(found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "kinds"), found.count(), CANDIDATES)
     same = rows["doc_id"].eqNullSafe(right["_id"]) & (rows["hash"] == right["_hash"])
-    told = rows.join(right, same, "left").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "kinds")
+    told = rows.join(right, same, "left").select("doc_id", "text", "kinds")
     none = F.array().cast("array<struct<length:int,kept:boolean>>")
     parts = []
     for order, rule in enumerate(rules):
         may = F.lit(True) if trigram_query(rule.pattern) is None else F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
         own = F.when(may & F.col("text").rlike(_screen(rule)), _pieces(F.col("text"), rule)).otherwise(none)
-        parts.append(F.struct(F.lit(order).alias("order"), own.alias("pieces")))
-    each = told.select("row", "doc_id", F.explode(F.array(*parts)).alias("p")).select("row", "doc_id", "p.*")
-    # where the parts of a text start: the lengths before them, summed along its pieces
-    kept = F.exists("pieces", lambda x: x["kept"])
-    some = each.filter(kept | (F.col("order") == 0))
+        parts.append(F.struct(F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), own.alias("pieces")))
+    # all rules of a text within its row: no shuffle, and nothing to number rows by
+    return told.select("doc_id", F.array_sort(F.flatten(F.transform(F.array(*parts), _spans))).alias("spans"))
+
+
+def _spans(part: Column) -> Column:
+    """Array of (start, order, end, kind) of a rule's kept pieces; where a piece starts is the sum of the lengths before it."""
     ends = F.aggregate(
-        "pieces",
+        part["pieces"],
         F.struct(F.lit(0).alias("at"), F.lit("").alias("spans")),
         lambda a, x: F.struct(
             (a["at"] + x["length"]).alias("at"),
@@ -116,23 +118,16 @@ def find_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_c
         ),
         lambda a: a["spans"],
     )
-    spans = F.filter(F.split(F.when(kept, ends).otherwise(F.lit("")), ","), lambda s: s != "")
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
-    made = F.transform(
-        spans,
+    some = F.exists(part["pieces"], lambda x: x["kept"])
+    return F.transform(
+        F.filter(F.split(F.when(some, ends).otherwise(F.lit("")), ","), lambda s: s != ""),
         lambda s: F.struct(
             F.substring_index(s, ":", 1).cast("int").alias("start"),
-            F.col("order").alias("order"),
+            part["order"].alias("order"),
             F.substring_index(s, ":", -1).cast("int").alias("end"),
-            F.get(kinds, F.col("order")).alias("kind"),
+            part["kind"].alias("kind"),
         ),
     )
-    return (
-        some.select("row", "doc_id", made.alias("spans"))
-        .groupBy("row")
-        .agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-        .drop("row")
-    )
 
 
 def _joined(spans: Column) -> Column:
