@@ -22,19 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, lookup, materialise, sized, table
+from .common import BROADCAST_ROWS, lookup, materialise, sized, table
 from .components import components
-from .text_hash import simhashes
+from .text_hash import shingle_sets, simhashes
 
 RADIUS, BLOCKS, BLOCK_BITS = 3, 4, 16
 #: Variant rows that a task is meant to sort.
 TASK_ROWS = 3_000_000
-#: For similarity: 64-bit words of the sketch of long shingles, and of the prints of two-word shingles.
-SKETCH_WORDS, PRINT_WORDS, PRINT_SHINGLE = 4, 4, 2
-#: Buckets up to this size are compared pair by pair, larger ones in the order of their sketches and with their first.
-PAIRED = 16
-#: Bits of a sketch's first word that similar texts may differ by in a bucket: four standard deviations above those of 0.8.
-LOOSE = 22
+#: Shingles that are known to be common, which come last in prefixes; found in a sample of one text in so many.
+COMMON, SAMPLED = 200_000, 16
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -170,150 +166,157 @@ def fingerprint_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return lookup(prints, classes, ["fp"], n_distinct, total).select("doc_id", "fp", "component_id")
 
 
-# Similarity of 0.8 is some ten differing bits of 64, far beyond the radius. Near-duplicate removal therefore takes
-# several short prints of two-word shingles, which differ less, for the balls, and verifies on a long sketch.
+# Similarity of 0.8 is some ten differing bits of 64, far beyond the radius, and no number of fingerprints finds every
+# such pair. Near-duplicate removal therefore finds them by an exact rule: under any one order of all shingles, two sets
+# of Jaccard similarity t share a shingle among the first n - ceil(t n) + 1 of each, n being the set's size.
 
 
-def _sketches(words: int):
+def _starts(owner: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+
+
+def _set_hash(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64 bits that tell sets apart: the sum of their shingles' hashes, mixed anew."""
+    mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B185EBCA87)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), start)
+
+
+def _lists(h: np.ndarray, size: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(h.view(np.int64)))
+
+
+def _sets(words: int):
+    """Rows (doc_id, text) in, (node, shingles) out; node is the hash of the set."""
+
     def run(batches):
         for batch in batches:
-            text = batch.column(1)
-            prints = simhashes(text, PRINT_SHINGLE, PRINT_WORDS)
-            sketch = simhashes(text, words, SKETCH_WORDS)
-            columns = [pa.array(np.ascontiguousarray(m[:, i]).view(np.int64)) for m in (prints, sketch) for i in range(m.shape[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *_PRINTS, *_SKETCH])
+            for owner, h in shingle_sets(batch.column(1), words):
+                start = _starts(owner)
+                size = np.diff(np.r_[start, len(h)])
+                yield pa.RecordBatch.from_arrays([pa.array(_set_hash(h, start).view(np.int64)), _lists(h, size)], ["node", "shingles"])
 
     return run
 
 
-_PRINTS = [f"p{i}" for i in range(PRINT_WORDS)]
-_SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+def _prefixes(words: int, similarity: float, common, often):
+    """Rows (doc_id, text) in, (doc_id, node, size, prefix) out; common, sorted, are the shingles that come last, by how often they are seen."""
 
+    def run(batches):
+        last, seen = common.value, often.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for owner, h in shingle_sets(batch.column(1), words):
+                start = _starts(owner)
+                size = np.diff(np.r_[start, len(h)])
+                node = _set_hash(h, start)
+                rank = np.zeros(len(h), np.int64)
+                if len(last):
+                    at = np.minimum(np.searchsorted(last, h), len(last) - 1)
+                    rank = np.where(last[at] == h, seen[at], 0)
+                h = h[np.lexsort((h, rank, owner))]
+                length = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+                length = np.minimum(length, size)
+                prefix = h[np.arange(len(h)) - np.repeat(start, size) < np.repeat(length, size)]
+                columns = [pa.array(ids[owner[start]]), pa.array(node.view(np.int64)), pa.array(size.astype(np.int64)), _lists(prefix, length)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "prefix"])
+
+    return run
 
-def sketch_band(similarity: float) -> tuple[int, int]:
-    """Bits of a sketch up to which two texts are taken for similar, and beyond which for not: three standard deviations each way."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 64 * SKETCH_WORDS
-    spread = 3 * math.sqrt(n * p * (1 - p))
-    return math.floor(n * p - spread), math.ceil(n * p + spread)
 
+def _shared(batches):
+    """The rows (key, node, size) whose key another row of the partition has as well."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    key = rows.column(0).to_numpy()
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    found = rows.take(pa.array(order[np.r_[False, same] | np.r_[same, False]]))
+    yield from found.combine_chunks().to_batches(max_chunksize=100_000)
 
-def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of shingles have at least that Jaccard similarity, by their hashes."""
-    pairs = materialise(pairs, "band")
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ends = materialise(ends, "ends")
-    own = texts.join(sized(ends, ends.count()), "doc_id")
-    w = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.slice("w", i, words)))
-    shingles = F.array_distinct(F.when(F.size("w") >= words, cut).otherwise(F.array(F.xxhash64("w"))))
-    sets = own.select("doc_id", w.alias("w")).select("doc_id", shingles.alias("set"))
-    sets = materialise(sets.groupBy("doc_id").agg(F.min("set").alias("set")), "sets")
-    entries = sets.agg(F.coalesce(F.sum(F.size("set")), F.lit(0))).first()[0]
+
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles seen most often in a sample of the texts, sorted, and how often. They order the prefixes and decide nothing."""
+    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    seen = some.mapInArrow(_sets(words), "node long, shingles array<long>").select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = seen.filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, entries: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have at least that Jaccard similarity."""
     for end in ("a", "b"):
-        pairs = pairs.join(sized(sets.select(F.col("doc_id").alias(end), F.col("set").alias(f"set_{end}")), entries, 4 * BROADCAST_ROWS), end)
+        pairs = pairs.join(sized(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), entries, 4 * BROADCAST_ROWS), end)
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.filter(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    return pairs.filter(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b")
 
 
-def _forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Indices of a minimum spanning forest's links, by rounds in which every component takes its lightest way out."""
-    nodes, inverse = np.unique(np.concatenate([x, y]), return_inverse=True)
-    x, y = inverse[: len(x)], inverse[len(x) :]
-    order = np.lexsort((y, x, weight))
-    label, kept = np.arange(len(nodes)), []
-    while True:
-        a, b = label[x[order]], label[y[order]]
-        out = a != b
-        if not out.any():
-            return np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
-        order, a, b = order[out], a[out], b[out]
-        _, first = np.unique(np.concatenate([a, b]), return_index=True)
-        taken = np.unique(first % len(a))
-        kept.append(order[taken])
-        while True:  # components by their least label
-            new = label.copy()
-            p, q = label[x[order[taken]]], label[y[order[taken]]]
-            np.minimum.at(new, np.r_[p, q], np.minimum(np.r_[p, q], np.r_[q, p]))
-            new = new[new][label]
-            if np.array_equal(new, label):
-                break
-            label = new
-
-
-def _pair_buckets(batches):
-    """Links between buckets' members, rows (key, s0): a minimum spanning forest of those whose first sketch words are near."""
-    keys, words = [], []
-    for batch in batches:
-        keys.append(batch.column(0).to_numpy())
-        words.append(batch.column(1).to_numpy().view(np.uint64))
-    if not keys:
-        return
-    key, word = np.concatenate(keys), np.concatenate(words)
-    order = np.lexsort((word, key))
-    key, word = key[order], word[order]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    size_of, start_of = np.repeat(size, size), np.repeat(start, size)
-    left, right = [], []
-    for step in range(1, PAIRED):
-        same = np.flatnonzero((key[step:] == key[:-step]) & ((size_of[step:] <= PAIRED) | (step == 1)))
-        left.append(word[same])
-        right.append(word[same + step])
-    large = np.flatnonzero((size_of > PAIRED) & (np.arange(len(key)) > start_of))
-    x, y = np.concatenate([*left, word[start_of[large]]]), np.concatenate([*right, word[large]])
-    distance = np.bitwise_count(x ^ y)
-    near = (distance <= LOOSE) & (x != y)
-    x, y, distance = x[near], y[near], distance[near]
-    kept = _forest(x, y, distance) if len(x) else np.zeros(0, np.int64)
-    for i in range(0, len(kept), 100_000):
-        part = kept[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(x[part].view(np.int64)), pa.array(y[part].view(np.int64))], ["x", "y"])
+def _ordered(left: Column, right: Column) -> list[Column]:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) with the components of all pairs of nodes (doc_id, node, size, prefix) that similar; rows have the texts (doc_id, text).
+
+    Nodes that share a shingle of their prefixes meet in its bucket. A bucket's
+    leader, the one that meets others most often, is compared with all of it; where
+    that leaves more than one component, all its other pairs across components are
+    compared too. Every link is verified by the sets.
+    """
+    emitted = nodes.select(F.explode("prefix").alias("key"), "node", "size")
+    buckets = materialise(_shuffled(emitted, expected).mapInArrow(_shared, "key long, node long, size long"), "buckets")
+    meets = materialise(buckets.groupBy("node").agg(F.count(F.lit(1)).alias("meets")), "meets")
+    n_ends = meets.count()
+    ends = sized(meets, n_ends)
+    texts = rows.join(sized(nodes.join(ends, "node", "left_semi").select("doc_id").distinct(), n_ends), "doc_id", "left_semi")
+    own = texts.mapInArrow(_sets(words), "node long, shingles array<long>")
+    sets = materialise(own.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    entries = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    leaders = buckets.join(ends, "node").groupBy("key").agg(F.max(F.struct("meets", "size", "node")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"))
+    led = materialise(buckets.join(leaders, "key"), "led")
+    fits = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
+    first = led.filter((F.col("node") != F.col("leader")) & fits(F.col("size"), F.col("leader_size"))).select(*_ordered(F.col("node"), F.col("leader"))).distinct()
+    links = materialise(_similar(first, sets, entries, similarity), "pairs")
+    found = components(links)
+    labelled = led.join(sized(found, found.count()), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    labelled = materialise(labelled.select("key", "node", "size", "leader", "label"), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
+    rest = materialise(labelled.filter("node <> leader").join(mixed, "key", "left_semi"), "rest")
+    other = rest.select("key", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("label").alias("label2"))
+    across = rest.join(other, "key").filter((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & fits(F.col("size"), F.col("size2")))
+    second = materialise(across.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "second")
+    return links.unionByName(materialise(_similar(second, sets, entries, similarity), "pairs"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of documents that are near duplicates of others.
 
-    Documents link if their sets of shingles of so many words are that similar.
-    Sketches decide where they are clear, and the sets themselves where they are
-    not; component_id is the smallest doc_id reachable. Rows
+    Documents link if their sets of shingles of so many words are that similar,
+    every such pair and no other; component_id is the smallest doc_id reachable. Rows
     with a null id are left out, and so are rows without words, which are alike in
     nothing. Repeated rows are one document. Other columns are ignored.
     """
-    schema = ", ".join(f"{c} long" for c in ["doc_id", *_PRINTS, *_SKETCH])
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.filter(F.col("doc_id").isNotNull() & text.rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    made = materialise(rows.mapInArrow(_sketches(words), schema), "sketches")
-    # equal sketches are one node, so copies are never compared with each other
-    nodes = materialise(made.groupBy(*_PRINTS, *_SKETCH).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
+    common, often = map(rows.sparkSession.sparkContext.broadcast, _common(rows, words))
+    made = materialise(rows.mapInArrow(_prefixes(words, similarity, common, often), "doc_id long, node long, size long, prefix array<long>"), "prefixes")
+    # equal sets are one node, so copies are never compared with each other
+    nodes = materialise(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")), "nodes")
     n_nodes = nodes.count()
-    # one node stands for those of its first sketch word in the balls; the others are compared with it
-    parts = [F.col(c) for c in ("node", *_SKETCH[1:], *_PRINTS)]
-    chosen = nodes.groupBy("s0").agg(F.min(F.struct(*parts)).alias("r")).select("s0", "r.*")
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    halves = []
-    for i, p in enumerate(_PRINTS):
-        for j, half in enumerate((F.col(p).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned(p, 32))):
-            halves.append(half.bitwiseOR(F.lit((2 * i + j) << 32).cast("long")))
-    variants = F.flatten(F.transform(F.array(*halves), lambda v: F.transform(flips, lambda f: v.bitwiseXOR(f))))
-    emitted = chosen.select("s0", F.explode(variants).alias("key")).select("key", "s0")
-    pairs = _shuffled(emitted, n_nodes * 2 * PRINT_WORDS * 33).mapInArrow(_pair_buckets, "x long, y long").distinct()
-    side = lambda end, on: chosen.select(F.col("s0").alias(on), F.col("node").alias(end), *[F.col(w).alias(f"{end}_{w}") for w in _SKETCH])
-    pairs = pairs.join(sized(side("a", "x"), n_nodes), "x").join(sized(side("b", "y"), n_nodes), "y")
-    own = nodes.select(F.col("s0").alias("x"), F.col("node").alias("b"), *[F.col(w).alias(f"b_{w}") for w in _SKETCH])
-    alike = own.join(sized(side("a", "x"), n_nodes), "x").filter(F.col("a") != F.col("b"))
-    columns = ["a", "b", *[f"{end}_{w}" for end in ("a", "b") for w in _SKETCH]]
-    compared = pairs.select(*columns).unionByName(alike.select(*columns))
-    distance = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in _SKETCH), F.lit(0))
-    low, high = sketch_band(similarity)
-    compared = materialise(compared.select("a", "b", distance.alias("distance")).filter(F.col("distance") <= high), "compared")
-    close = compared.filter(F.col("distance") <= low).select("a", "b")
-    links = materialise(close.unionByName(_similar(compared.filter(F.col("distance") > low).select("a", "b"), rows, words, similarity)), "pairs")
+    total, expected = made.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()
+    chosen = made.join(sized(nodes.select("node", F.col("least").alias("doc_id")), n_nodes), ["node", "doc_id"], "left_semi")
+    links = set_links(chosen, rows, expected, words, similarity)
     found = components(links)
-    of_node = nodes.join(sized(found, found.count()), "node", "left").withColumn("component_id", F.coalesce("component", "node"))
-    classes = materialise(of_node.select(*_PRINTS, *_SKETCH, "component_id", "n", F.col("component").isNotNull().alias("linked")), "classes")
-    joined = lookup(made, classes, [*_PRINTS, *_SKETCH], n_nodes, n_nodes)
-    return joined.filter(F.col("linked") | (F.col("n") > 1)).select("doc_id", "component_id").distinct()
+    rooted = nodes.join(sized(found, found.count()), "node", "left").withColumn("root", F.coalesce("component", "node"))
+    rooted = materialise(rooted.select("node", "least", "n", "root", (F.col("component").isNotNull() | (F.col("least") < F.col("most"))).alias("linked")), "rooted")
+    roots = rooted.filter("linked").groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = materialise(rooted.filter("linked").join(roots, "root").select("node", "component_id", "n"), "classes")
+    joined = lookup(made.select("doc_id", "node"), classes, ["node"], classes.count(), total)
+    return joined.filter(F.col("component_id").isNotNull()).select("doc_id", "component_id").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

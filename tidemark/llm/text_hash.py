@@ -100,33 +100,62 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, words: int):
         yield k, at, stop
 
 
-def simhashes(texts: pa.Array, words: int, parts: int | None = None) -> np.ndarray:
-    """The SimHash of each text over its shingles of so many words; zero without words.
-
-    A bit is 1 if it is set in over half of the shingles' hashes, repeats included.
-    With `parts`, a matrix of so many SimHashes, each of hashes mixed anew.
-    """
+def _groups(texts: pa.Array, words: int):
+    """The texts' bytes, and their pieces in groups of about PIECE bytes."""
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4).astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    ones, total = np.zeros((n, 64 * (parts or 1)), np.int64), np.zeros(n, np.int64)
     held, size = [], 0
     for piece in _pieces(data, offsets, words):
         held.append(piece)
         size += piece[2] - piece[1]
         if size >= PIECE:
-            _count(data, held, words, ones, total)
+            yield data, held
             held, size = [], 0
     if held:
-        _count(data, held, words, ones, total)
-    bits = (2 * ones > total[:, None]).astype(np.uint8)
-    made = np.packbits(bits, axis=1, bitorder="little").view("<u8")
-    return made if parts else made.ravel()
+        yield data, held
+
 
+def simhashes(texts: pa.Array, words: int) -> np.ndarray:
+    """The SimHash of each text over its shingles of so many words; zero without words.
 
-def _count(data: np.ndarray, pieces: list, words: int, ones: np.ndarray, total: np.ndarray) -> None:
-    """Adds the pieces' set bits and shingles to their texts'."""
+    A bit is 1 if it is set in over half of the shingles' hashes, repeats included.
+    """
+    n = len(texts)
+    ones, total = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
+    for data, held in _groups(texts, words):
+        h, owner = _shingles(data, held, words)
+        if not len(h):
+            continue
+        edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[owner[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int64)
+        total[owner[edge]] += np.diff(np.r_[edge, len(owner)])
+    bits = (2 * ones > total[:, None]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def shingle_sets(texts: pa.Array, words: int):
+    """(text, hash) arrays of the texts' distinct shingles, in order of both; no text is in two of the yields."""
+    kept = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for data, held in _groups(texts, words):
+        h, owner = _shingles(data, held, words)
+        h, owner = np.r_[kept[0], h], np.r_[kept[1], owner]
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        first = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])] if len(h) else np.zeros(0, bool)
+        h, owner = h[first], owner[first]
+        done = int(np.searchsorted(owner, held[-1][0]))  # the last text may go on
+        kept = h[done:], owner[done:]
+        if done:
+            yield owner[:done], h[:done]
+    if len(kept[0]):
+        yield kept[1], kept[0]
+
+
+def _shingles(data: np.ndarray, pieces: list, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the pieces' shingles, repeats included, by text."""
     gap = np.full(1, 0x20, np.uint8)
     buf = _LOWER[np.concatenate([x for _, a, b in pieces for x in (data[a:b], gap)])]
     begins = np.cumsum([0] + [b - a + 1 for _, a, b in pieces[:-1]])
@@ -134,7 +163,7 @@ def _count(data: np.ndarray, pieces: list, words: int, ones: np.ndarray, total:
     inside = ~space
     word_at = np.flatnonzero(inside & np.r_[True, space[:-1]])
     if not len(word_at):
-        return
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     piece_of = np.searchsorted(begins, word_at, "right") - 1
     kept = inside | np.r_[False, inside[:-1]]  # words, each with one space behind it
     line = np.where(space, np.uint8(0x20), buf)[kept]
@@ -154,14 +183,4 @@ def _count(data: np.ndarray, pieces: list, words: int, ones: np.ndarray, total:
     owner = np.r_[piece_of[whole], piece_of[few]]
     h = xxh64_spans(line, begin, end)
     order = np.argsort(owner, kind="stable")
-    h, owner = h[order], owner[order]
-    edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    text_of = np.array([k for k, _, _ in pieces])[owner[edge]]
-    for part in range(ones.shape[1] // 64):
-        if part:
-            h = (h ^ (h >> np.uint64(31))) * _P3 + _P1
-            h = (h ^ (h >> np.uint64(29))) * _P2
-            h = h ^ (h >> np.uint64(32))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        np.add.at(ones, (text_of[:, None], np.arange(64 * part, 64 * part + 64)), np.add.reduceat(bits, edge, axis=0, dtype=np.int64))
-    np.add.at(total, text_of, np.diff(np.r_[edge, len(owner)]))
+    return h[order], np.array([k for k, _, _ in pieces])[owner[order]]
