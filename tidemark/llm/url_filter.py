@@ -9,6 +9,8 @@ few rules that it finds.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,6 @@ RULES = (
 )
 #: Of the labelled pages: the least share that a rule's tokens and label have, and that of its tokens' pages with the label.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
-#: Tokens that go into mining: those of most lift. This bounds the itemsets.
-MINED_TOKENS = 24
 BLOCK = "label:block"
 
 _PARTS = r"^(?s).*?://([^/?#]*)([^?#]*)"
@@ -62,6 +62,8 @@ def tokens_of(url: Column) -> Column:
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(anchor, tokens, confidence, support) from labelled (tokens, blocked), all rows.
 
+    Every token that is in enough blocked pages for a rule is mined, however weak it
+    is alone; there are at most a page's tokens over min_support of them.
     No labelled rows, or none blocked, give no rules.
     """
     spark = labelled.sparkSession
@@ -70,25 +72,22 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     empty = spark.createDataFrame([], "anchor string, tokens array<string>, confidence double, support double")
     if not blocked:
         return empty
-    base = blocked / total
     stats = (
         labelled.select("blocked", F.explode("tokens").alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("pages"), F.sum(F.col("blocked").cast("long")).alias("hits"))
         .filter(F.col("hits") >= min_support * total)
-        .orderBy((F.col("hits") / F.col("pages")).desc(), F.col("pages").desc(), "token")
-        .limit(MINED_TOKENS)
         .collect()
     )
-    pages = {r["token"]: r["pages"] for r in stats if r["hits"] / r["pages"] >= base}
+    pages = {r["token"]: r["pages"] for r in stats}
     if not pages:
         return empty
-    known = F.array(*map(F.lit, sorted(pages)))
+    known = F.from_json(F.lit(json.dumps(sorted(pages))), "array<string>")
     label = F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
     items = labelled.select(F.concat(F.array_intersect("tokens", known), label).alias("items")).filter(F.size("items") > 0)
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).associationRules
     rules = rules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
-    rarity = F.create_map(*[x for t, n in pages.items() for x in (F.lit(t), F.lit(n))])
+    rarity = F.from_json(F.lit(json.dumps(pages)), "map<string,long>")
     ranked = F.array_sort(F.transform("antecedent", lambda t: F.struct(F.element_at(rarity, t).alias("n"), t.alias("t"))))
     rules = rules.select(ranked[0]["t"].alias("anchor"), F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = materialise(rules, "rules")
