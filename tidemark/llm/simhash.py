@@ -31,6 +31,8 @@ RADIUS, BLOCKS, BLOCK_BITS = 3, 4, 16
 TASK_ROWS = 3_000_000
 #: Shingles that are known to be common, which come last in prefixes; found in a sample of one text in so many.
 COMMON, SAMPLED = 200_000, 16
+#: Buckets up to this size give all their pairs at once, larger ones by way of a leader.
+PAIRED = 32
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -224,17 +226,35 @@ def _prefixes(words: int, similarity: float, common, often):
     return run
 
 
-def _shared(batches):
-    """The rows (key, node, size) whose key another row of the partition has as well."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    rows = pa.Table.from_batches(held)
-    key = rows.column(0).to_numpy()
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    found = rows.take(pa.array(order[np.r_[False, same] | np.r_[same, False]]))
-    yield from found.combine_chunks().to_batches(max_chunksize=100_000)
+def _met(similarity: float):
+    """Rows (key, node, size) in. Out, rows (key, a, size_a, b, size_b): pairs of buckets up to PAIRED, without key, and the members of larger ones, without b."""
+
+    def run(batches):
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if not held:
+            return
+        key, node, size = (np.concatenate([x[i] for x in held]) for i in range(3))
+        order = np.lexsort((node, key))
+        key, node, size = key[order], node[order], size[order]
+        start = _starts(key)
+        peers = np.diff(np.r_[start, len(key)])
+        peers = np.repeat(peers, peers)
+        for step in range(1, PAIRED):
+            at = np.flatnonzero((key[step:] == key[:-step]) & (peers[step:] <= PAIRED))
+            m, n = size[at], size[at + step]
+            at = at[(node[at] != node[at + step]) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9)]
+            yield from _rows(None, node[at], size[at], node[at + step], size[at + step])
+        large = np.flatnonzero(peers > PAIRED)
+        yield from _rows(key[large], node[large], size[large], None, None)
+
+    return run
+
+
+def _rows(*columns):
+    n = next(len(c) for c in columns if c is not None)
+    for i in range(0, n, 100_000):
+        m = min(n - i, 100_000)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()) if c is None else pa.array(c[i : i + m]) for c in columns], ["key", "a", "size_a", "b", "size_b"])
 
 
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,41 +275,70 @@ def _similar(pairs: DataFrame, sets: DataFrame, entries: int, similarity: float)
     return pairs.filter(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b")
 
 
-def _ordered(left: Column, right: Column) -> list[Column]:
-    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
-
-
 def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, similarity: float) -> DataFrame:
     """Links (a, b) with the components of all pairs of nodes (doc_id, node, size, prefix) that similar; rows have the texts (doc_id, text).
 
-    Nodes that share a shingle of their prefixes meet in its bucket. A bucket's
-    leader, the one that meets others most often, is compared with all of it; where
-    that leaves more than one component, all its other pairs across components are
-    compared too. Every link is verified by the sets.
+    Nodes that share a shingle of their prefixes meet in its bucket. Small buckets
+    give all their pairs. A large bucket's leader, the one in most large buckets, is
+    compared with all of it; where that leaves more than one component, all its
+    other pairs across components are compared too. A pair is passed over only if
+    its sizes and the shingles that its prefixes share prove it less similar: the
+    common shingles are those, or lie behind the prefix that ends first. All others
+    are verified by the sets.
     """
     emitted = nodes.select(F.explode("prefix").alias("key"), "node", "size")
-    buckets = materialise(_shuffled(emitted, expected).mapInArrow(_shared, "key long, node long, size long"), "buckets")
-    meets = materialise(buckets.groupBy("node").agg(F.count(F.lit(1)).alias("meets")), "meets")
-    n_ends = meets.count()
-    ends = sized(meets, n_ends)
-    texts = rows.join(sized(nodes.join(ends, "node", "left_semi").select("doc_id").distinct(), n_ends), "doc_id", "left_semi")
-    own = texts.mapInArrow(_sets(words), "node long, shingles array<long>")
-    sets = materialise(own.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    entries = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
-    leaders = buckets.join(ends, "node").groupBy("key").agg(F.max(F.struct("meets", "size", "node")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"))
-    led = materialise(buckets.join(leaders, "key"), "led")
-    fits = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
-    first = led.filter((F.col("node") != F.col("leader")) & fits(F.col("size"), F.col("leader_size"))).select(*_ordered(F.col("node"), F.col("leader"))).distinct()
-    links = materialise(_similar(first, sets, entries, similarity), "pairs")
+    met = materialise(_shuffled(emitted, expected).mapInArrow(_met(similarity), "key long, a long, size_a long, b long, size_b long"), "met")
+    members = met.filter("b IS NULL").select("key", F.col("a").alias("node"), F.col("size_a").alias("size"))
+    often = materialise(members.groupBy("node").agg(F.count(F.lit(1)).alias("large")), "often")
+    n_often = often.count()
+    counted = met.filter("b IS NOT NULL").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.count(F.lit(1)).alias("shared"))
+    counted = materialise(counted, "counted")
+    behind = lambda n: F.ceil(similarity * F.col(n) - 1e-9) - 1
+    fits = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
+
+    def may(pairs: DataFrame) -> DataFrame:
+        """Of (a, b, size_a, size_b, shared), shared in small buckets, those that may be similar."""
+        for end in ("a", "b"):
+            pairs = pairs.join(sized(often.select(F.col("node").alias(end), F.col("large").alias(f"large_{end}")), n_often), end, "left")
+        shared = F.col("shared") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
+        needed = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+        return pairs.filter((shared > 0) & (shared + F.greatest(behind("size_a"), behind("size_b")) >= needed)).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        ids = materialise(nodes.select("doc_id", "node").join(sized(ends, ends.count()), "node", "left_semi").select("doc_id").distinct(), "ids")
+        own = rows.join(sized(ids, ids.count()), "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles array<long>")
+        sets = materialise(own.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        entries = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+        return materialise(_similar(pairs, sets, entries, similarity), "pairs")
+
+    def of_large(pairs: DataFrame) -> DataFrame:
+        """Those of the large buckets' pairs (a, b, size_a, size_b) that may be similar; a < b."""
+        known = counted.select("a", "b", "shared")
+        pairs = pairs.filter(fits).distinct().join(known, ["a", "b"], "left")
+        return may(pairs.withColumn("shared", F.coalesce("shared", F.lit(0))))
+
+    first = may(counted)
+    if n_often:
+        leaders = members.join(sized(often, n_often), "node").groupBy("key").agg(F.max(F.struct("large", "size", "node")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"))
+        led = materialise(members.join(leaders, "key"), "led")
+        low = F.col("node") < F.col("leader")
+        either = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+        pairs = led.filter("node <> leader").select(either("node", "leader").alias("a"), either("leader", "node").alias("b"), either("size", "leader_size").alias("size_a"), either("leader_size", "size").alias("size_b"))
+        first = first.unionByName(of_large(pairs)).distinct()
+    links = verified(materialise(first, "first"))
+    if not n_often:
+        return links
     found = components(links)
     labelled = led.join(sized(found, found.count()), "node", "left").withColumn("label", F.coalesce("component", "node"))
     labelled = materialise(labelled.select("key", "node", "size", "leader", "label"), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
     rest = materialise(labelled.filter("node <> leader").join(mixed, "key", "left_semi"), "rest")
-    other = rest.select("key", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("label").alias("label2"))
-    across = rest.join(other, "key").filter((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & fits(F.col("size"), F.col("size2")))
-    second = materialise(across.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "second")
-    return links.unionByName(materialise(_similar(second, sets, entries, similarity), "pairs"))
+    one = rest.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
+    other = rest.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
+    across = one.join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
+    second = materialise(of_large(across.select("a", "b", "size_a", "size_b")), "second")
+    return links.unionByName(verified(second)) if second.head(1) else links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
