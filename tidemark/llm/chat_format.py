@@ -146,6 +146,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        F.coalesce(F.col("error_turn").cast("long"), F.lit(-1)).alias("error_turn"),
     )
 
 
@@ -156,16 +158,21 @@ def _sql_escaped(x: str) -> str:
     return x
 
 
+_FITS = " OR ".join(f"(before = '{state}' AND role IN ({', '.join(repr(x) for x in to)}))" for state, to in CHAT.follows.items())
+
 ORACLE_SQL = f"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{_EXTRA}'
   UNION ALL SELECT -7, 1, 'assistant', '{_EXTRA}'
-)
+),
+ordered AS (SELECT *, row_number() OVER w - 1 AS nth, coalesce(lag(role) OVER w, '') AS before FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+checked AS (SELECT *, {_FITS} AS fits FROM ordered)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       CAST(3 + sum(17 + length({_sql_escaped("role")}) + length({_sql_escaped("text")})) AS BIGINT) AS formatted_chars
-FROM said GROUP BY conv_id
+       CAST(3 + sum(17 + length({_sql_escaped("role")}) + length({_sql_escaped("text")})) AS BIGINT) AS formatted_chars,
+       bool_and(fits) AS valid, coalesce(min(nth) FILTER (WHERE NOT fits), -1) AS error_turn
+FROM checked GROUP BY conv_id
 """
