@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a narrow table (a few numbers a row) may be broadcast: 32 MB or so.
-BROADCAST_ROWS = 1_000_000
+#: Measured bytes up to which a table may be broadcast, rows counting ROW_BYTES each beside their values.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 24
 #: A key is hot if it has more than this share of all rows, so at most 1,000 keys are.
 HOT_SHARE = 0.001
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _local: dict[str, str] = {}
+#: Where materialised tables lie, and which of them a DataFrame at hand reads.
+_paths: set[str] = set()
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,35 +56,88 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again.
 
     Cuts the lineage, gives the optimizer true sizes and lets a lost executor's
-    work be read again from the folder rather than be computed again.
+    work be read again from the folder rather than be computed again. It is an
+    eager job, so operators that use it run part of their work while the query is
+    built. The folder goes when it is discarded, or when the driver's JVM ends.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder, files = _files(df.sparkSession, path)
+    files.deleteOnExit(folder)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[made] = path
+    _paths.add(path)
+    return made
 
 
-def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if its counted rows are within the limit; else Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more; others are left alone."""
+    for made in tables:
+        _delete(made.sparkSession, {_written.pop(made, "")})
 
 
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], rows: int, total: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join of big with small, which has each key once and `n`, the rows that big has of it.
+def discard_all_but(kept: DataFrame) -> None:
+    """Deletes all tables that operators wrote in this process but the one given, once that result is stored."""
+    _delete(kept.sparkSession, _paths - {_written.get(kept, "")})
 
-    rows and total count small and big. Up to `limit` rows, small is broadcast.
-    Beyond, both are shuffled by the key and a salt: a key with more than
-    HOT_SHARE of all rows (at most 1,000 such keys exist) is dealt to several
-    tasks and its row of small is repeated for each.
+
+def _delete(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths & _paths:
+        folder, files = _files(spark, path)
+        files.delete(folder, True)
+        _paths.discard(path)
+
+
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def weight(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a materialised table: its values' own bytes, and ROW_BYTES for each row."""
+    each = F.lit(ROW_BYTES).cast("long")
+    for column in df.schema.fields:
+        each = each + F.coalesce(_bytes(F.col(f"`{column.name}`"), column.dataType), F.lit(0))
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(each), F.lit(0))).first())
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.octet_length(value).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType):
+            return F.aggregate(value, F.lit(24).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+        return F.size(value).cast("long") * (8 if not isinstance(kind.elementType, T.StructType) else 8 * len(kind.elementType.fields) + 16) + 24
+    return F.lit(16 if isinstance(kind, T.DecimalType | T.StructType) else 8).cast("long")
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its measured bytes are within the limit; else Spark shuffles."""
+    return F.broadcast(df) if weight(df)[1] <= limit else df
+
+
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Left join of big with small, which has each key once.
+
+    Within the limit, small is broadcast. Beyond, both are shuffled by the key and
+    a salt: a key with more than HOT_SHARE of big's rows (at most 1,000 such keys
+    exist) is dealt to several tasks and its row of small is repeated for each.
     """
-    if rows <= limit:
+    if weight(small)[1] <= limit:
         return big.join(F.broadcast(small), keys, "left")
-    share = max(1, int(total * HOT_SHARE))
-    salts = F.ceil(F.col("n") / share).cast("int")
-    hot = small.filter(F.col("n") > share).select(*keys, salts.alias("_salts"))
-    dealt = big.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("_salts")).cast("int"))
-    )
-    repeated = small.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > share, salts - 1).otherwise(0)))
-    )
-    return dealt.join(repeated, [*keys, "_salt"], "left").drop("_salt", "_salts")
+    counts = materialise(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    share = max(1, int((counts.agg(F.sum("_n")).first()[0] or 0) * HOT_SHARE))
+    hot = counts.filter(F.col("_n") > share).select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_salts"))
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.coalesce("_salts", F.lit(1))).cast("int"))
+    repeated = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    return dealt.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"], "left").drop("_salt")
+
+
+def repeated_rows(df: DataFrame, copies: str) -> DataFrame:
+    """Each row of df as often as its column `copies` says, without that column."""
+    return df.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(copies)
+
+
+def tasks_for(df: DataFrame, task_bytes: int) -> int:
+    """Tasks of about so many bytes for a materialised table, and no fewer than Spark's shuffles have."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(weight(df)[1] / task_bytes))

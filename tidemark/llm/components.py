@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sized
+from .common import discard, lookup, materialise, sized
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,25 +14,27 @@ def components(links: DataFrame) -> DataFrame:
     Each round every node takes the least label of its neighbours, hands it on to
     the node that its own label names, and then takes its label's label, so the
     number of rounds grows with the logarithm of a component's diameter. Each round
-    is written to the shared folder. Links meet by their ends, whose degrees links
-    bound; a label that many nodes share is met by partial aggregation, or by a
-    join whose small side is broadcast within bounds and whose hot partitions Spark
-    splits beyond. Self-links and repeated links do no harm; no links, no rows.
+    is written to the shared folder, and the tables of the round before are
+    deleted. Links meet by their ends, whose degrees links bound; a label that many
+    nodes share is met by partial aggregation, or by a lookup that salts hot keys.
+    Self-links and repeated links do no harm; no links, no rows.
     """
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = materialise(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
-    nodes = labels.count()
     mark = _mark(labels)
     while True:
-        near = both.join(sized(labels.withColumnRenamed("node", "v"), nodes), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        seen = labels.join(sized(near, nodes), "node")
+        near = both.join(sized(labels).withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        seen = materialise(labels.join(near, "node"), "seen")
         handed = seen.select("node", F.least("label", "near").alias("label")).unionByName(seen.select(F.col("label").alias("node"), F.col("near").alias("label")))
         hooked = materialise(handed.groupBy("node").agg(F.min("label").alias("label")), "hooked")
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        labels = materialise(hooked.join(sized(up, nodes), "label").select("node", F.least("label", "above").alias("label")), "labels")
-        before, mark = mark, _mark(labels)
-        if before == mark:
+        before, mark_before = labels, mark
+        labels = materialise(lookup(hooked, up, ["label"]).select("node", F.least("label", "above").alias("label")), "labels")
+        mark = _mark(labels)
+        discard(before, seen, hooked)
+        if mark == mark_before:
+            discard(both)
             return labels.withColumnRenamed("label", "component")
 
 

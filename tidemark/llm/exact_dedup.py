@@ -20,7 +20,7 @@ from . import quotient_filter as cqf
 from .common import lookup, materialise, sized, table
 
 #: Fingerprints that a block of the filter is meant to hold.
-BLOCK_FINGERPRINTS = 8192
+BLOCK_FINGERPRINTS = 1 << 17
 
 
 def _build(block_bits: int):
@@ -79,10 +79,8 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     body = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), body.alias("body")).withColumn("fp", F.xxhash64("body"))
     keyed = rows.select("doc_id", "fp", F.sha2("body", 256).alias("text_sha256"))
-    total = docs.count()
-    repeated = materialise(repeated_fingerprints(rows.select("fp"), total), "repeated")
-    n_repeated = repeated.count()
-    suspects = rows.join(sized(repeated.select("fp"), n_repeated), "fp")
+    repeated = materialise(repeated_fingerprints(rows.select("fp"), docs.count()), "repeated")
+    suspects = rows.join(sized(repeated.select("fp")), "fp")
     verified = (
         suspects.groupBy("fp", "body")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
@@ -94,7 +92,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
         .drop("texts")
     )
     classes = materialise(verified, "classes")
-    joined = lookup(keyed, classes, ["fp", "text_sha256"], classes.count(), total)
+    joined = lookup(keyed, classes, ["fp", "text_sha256"])
     single = F.col("n").isNull()
     return joined.select(
         "doc_id",
@@ -106,11 +104,14 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; see exact_duplicates for which."""
-    marked = exact_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    dropped = materialise(marked, "dropped")
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    right = sized(dropped, dropped.count())
+    """The rows of docs that stay, with all their columns; see exact_duplicates for which, nulls and ties.
+
+    Rows that repeat both id and text stay or go together, so they all stay if the
+    id is their group's largest. Empty tables stay empty.
+    """
+    dropped = exact_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct()
+    sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    right = sized(materialise(dropped, "dropped"))
     return docs.join(right, docs["doc_id"].eqNullSafe(right["_id"]) & (sha == right["_sha"]), "left_anti")
 
 

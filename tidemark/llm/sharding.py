@@ -16,13 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, sized, table
+from .common import materialise, sized, table, tasks_for
 
 #: Shards of the planned layout, as regions of racks of shards.
 PLANNED, REGIONS, RACKS = 24, 3, 2
 #: Hexadecimal digits of a draw: 52 bits, which a double holds exactly.
 DIGITS = 13
 
+#: Bytes of rows meant for a task that numbers slots.
+TASK_BYTES = 32 << 20
+
 Tree = list[list[list[tuple[int, float]]]]
 
 
@@ -80,7 +83,8 @@ def shard_documents(docs: DataFrame, shards: int = PLANNED, id_column: str = "do
     The id and the number of shards decide (law `key`); a null id draws as the
     empty string. size is the text's UTF-8 bytes plus 8; a null text has none.
     slot numbers the rows of a shard from 0 without gaps, in order of id, nulls
-    first; rows that repeat an id get slots next to each other. grown_shard is the
+    first; rows that repeat an id get slots next to each other, in the order of a
+    tie-break that is stored with them. grown_shard is the
     shard if there is one more. Empty tables give no rows. Other columns are
     ignored, so their names cannot clash.
     """
@@ -102,12 +106,12 @@ def shard_documents(docs: DataFrame, shards: int = PLANNED, id_column: str = "do
     )
     # Slots without a task for a whole shard: range-sorted parts, counted, then numbered each by itself.
     dealt = materialise(dealt, "dealt")
-    parts = materialise(dealt.repartitionByRange("shard", "doc_id", "tie").withColumn("part", F.spark_partition_id()), "parts")
+    parts = materialise(dealt.repartitionByRange(tasks_for(dealt, TASK_BYTES), "shard", "doc_id", "tie").withColumn("part", F.spark_partition_id()), "parts")
     counts = parts.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = materialise(counts.withColumn("before", before), "offsets")
     numbered = parts.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "tie")) - 1)
-    joined = numbered.join(sized(offsets.select("shard", "part", "before"), offsets.count()), ["shard", "part"])
+    joined = numbered.join(sized(offsets.select("shard", "part", "before")), ["shard", "part"])
     return joined.select(
         "doc_id",
         "size",

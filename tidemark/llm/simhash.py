@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lookup, materialise, sized, table
+from .common import lookup, materialise, sized, table
 from .components import components
 from .text_hash import shingle_sets, simhashes
 
@@ -151,21 +151,18 @@ def fingerprint_components(docs: DataFrame, words: int = 3) -> DataFrame:
     Shingles have `words` words, a shorter text is one shingle, and a text without
     words (null, empty, blank) has fingerprint zero, which links like any other.
     Null ids never are the smallest; a component of null ids alone has a null
-    component_id. Repeated rows share a fingerprint and so a component. Empty tables
+    component_id. doc_id is a number. Repeated rows share a fingerprint and so a component. Empty tables
     give no rows. Other columns are ignored, so their names cannot clash.
     """
     prints = materialise(fingerprints(docs, words), "prints")
-    total = prints.count()
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    n_distinct = distinct.count()
-    links = materialise(fingerprint_links(distinct.select("fp"), n_distinct), "pairs")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    links = materialise(fingerprint_links(distinct.select("fp"), distinct.count()), "pairs")
     found = components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    joined = distinct.join(sized(found, found.count()), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = distinct.join(sized(found), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialise(joined, "rooted")
-    roots = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "roots")
-    classes = lookup(rooted.select("fp", "root", F.col("n").alias("docs")), roots, ["root"], roots.count(), n_distinct)
-    classes = materialise(classes.select("fp", "component_id", F.col("docs").alias("n")), "classes")
-    return lookup(prints, classes, ["fp"], n_distinct, total).select("doc_id", "fp", "component_id")
+    roots = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    classes = materialise(lookup(rooted.select("fp", "root"), roots, ["root"]).select("fp", "component_id"), "classes")
+    return lookup(prints, classes, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 # Similarity of 0.8 is some ten differing bits of 64, far beyond the radius, and no number of fingerprints finds every
@@ -267,10 +264,10 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, entries: int, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have at least that Jaccard similarity."""
     for end in ("a", "b"):
-        pairs = pairs.join(sized(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), entries, 4 * BROADCAST_ROWS), end)
+        pairs = pairs.join(sized(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}"))), end)
     common = F.size(F.array_intersect("set_a", "set_b"))
     return pairs.filter(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b")
 
@@ -299,18 +296,17 @@ def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, simi
     def may(pairs: DataFrame) -> DataFrame:
         """Of (a, b, size_a, size_b, shared), shared in small buckets, those that may be similar."""
         for end in ("a", "b"):
-            pairs = pairs.join(sized(often.select(F.col("node").alias(end), F.col("large").alias(f"large_{end}")), n_often), end, "left")
+            pairs = pairs.join(sized(often.select(F.col("node").alias(end), F.col("large").alias(f"large_{end}"))), end, "left")
         shared = F.col("shared") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
         needed = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
         return pairs.filter((shared > 0) & (shared + F.greatest(behind("size_a"), behind("size_b")) >= needed)).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-        ids = materialise(nodes.select("doc_id", "node").join(sized(ends, ends.count()), "node", "left_semi").select("doc_id").distinct(), "ids")
-        own = rows.join(sized(ids, ids.count()), "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles array<long>")
+        ids = materialise(nodes.select("doc_id", "node").join(sized(ends), "node", "left_semi").select("doc_id").distinct(), "ids")
+        own = rows.join(sized(ids), "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles array<long>")
         sets = materialise(own.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-        entries = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
-        return materialise(_similar(pairs, sets, entries, similarity), "pairs")
+        return materialise(_similar(pairs, sets, similarity), "pairs")
 
     def of_large(pairs: DataFrame) -> DataFrame:
         """Those of the large buckets' pairs (a, b, size_a, size_b) that may be similar; a < b."""
@@ -320,7 +316,7 @@ def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, simi
 
     first = may(counted)
     if n_often:
-        leaders = members.join(sized(often, n_often), "node").groupBy("key").agg(F.max(F.struct("large", "size", "node")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"))
+        leaders = members.join(sized(often), "node").groupBy("key").agg(F.max(F.struct("large", "size", "node")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"))
         led = materialise(members.join(leaders, "key"), "led")
         low = F.col("node") < F.col("leader")
         either = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
@@ -330,7 +326,7 @@ def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, simi
     if not n_often:
         return links
     found = components(links)
-    labelled = led.join(sized(found, found.count()), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    labelled = led.join(sized(found), "node", "left").withColumn("label", F.coalesce("component", "node"))
     labelled = materialise(labelled.select("key", "node", "size", "leader", "label"), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
     rest = materialise(labelled.filter("node <> leader").join(mixed, "key", "left_semi"), "rest")
@@ -354,25 +350,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     common, often = map(rows.sparkSession.sparkContext.broadcast, _common(rows, words))
     made = materialise(rows.mapInArrow(_prefixes(words, similarity, common, often), "doc_id long, node long, size long, prefix array<long>"), "prefixes")
     # equal sets are one node, so copies are never compared with each other
-    nodes = materialise(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")), "nodes")
-    n_nodes = nodes.count()
-    total, expected = made.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()
-    chosen = made.join(sized(nodes.select("node", F.col("least").alias("doc_id")), n_nodes), ["node", "doc_id"], "left_semi")
+    nodes = materialise(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "nodes")
+    expected = made.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    chosen = made.join(sized(nodes.select("node", F.col("least").alias("doc_id"))), ["node", "doc_id"], "left_semi")
     links = set_links(chosen, rows, expected, words, similarity)
     found = components(links)
-    rooted = nodes.join(sized(found, found.count()), "node", "left").withColumn("root", F.coalesce("component", "node"))
-    rooted = materialise(rooted.select("node", "least", "n", "root", (F.col("component").isNotNull() | (F.col("least") < F.col("most"))).alias("linked")), "rooted")
+    rooted = nodes.join(sized(found), "node", "left").withColumn("root", F.coalesce("component", "node"))
+    rooted = materialise(rooted.select("node", "least", "root", (F.col("component").isNotNull() | (F.col("least") < F.col("most"))).alias("linked")), "rooted")
     roots = rooted.filter("linked").groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialise(rooted.filter("linked").join(roots, "root").select("node", "component_id", "n"), "classes")
-    joined = lookup(made.select("doc_id", "node"), classes, ["node"], classes.count(), total)
+    classes = materialise(rooted.filter("linked").join(roots, "root").select("node", "component_id"), "classes")
+    joined = lookup(made.select("doc_id", "node"), classes, ["node"])
     return joined.filter(F.col("component_id").isNotNull()).select("doc_id", "component_id").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each group the one of the smallest doc_id."""
+    """The rows of docs that stay, with all their columns: of each group the one of the smallest doc_id.
+
+    Rows with a null id and rows without words stay, rows that repeat an id stay
+    or go together, and empty tables stay empty.
+    """
     found = near_duplicates(docs, words, similarity)
     dropped = materialise(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")), "dropped")
-    right = sized(dropped, dropped.count())
+    right = sized(dropped)
     return docs.join(right, docs["doc_id"] == right["_id"], "left_anti")
 
 
