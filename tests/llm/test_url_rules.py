@@ -1,5 +1,11 @@
 """Mined URL rules where single tokens are many or weak."""
 
+import itertools
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
 from tidemark.llm import url_filter
 
 
@@ -22,3 +28,19 @@ def test_tokens_that_are_weak_alone_block_together(spark):
         path = ("/a" if a else "") + ("/b" if b else "") + ("/strong" if strong else "")
         rows.append((i, f"http://h.example{path}/{i}", int(strong or (a and b))))
     assert judged(spark, rows) == {i: "block" if t else "allow" for i, _, t in rows}
+
+
+def test_rules_of_the_real_table_equal_counts_of_all_combinations(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic IS NOT NULL").selectExpr("doc_id AS page_id", "toxic = 1 AS blocked")
+    labelled = spark.read.parquet(f"{sf}/pages.parquet").join(labels, "page_id").select(url_filter.tokens_of(F.col("url")).alias("tokens"), "blocked")
+    rows = [(frozenset(r.tokens), r.blocked) for r in labelled.collect()]
+    parts = lambda tokens: (frozenset(c) for n in range(1, len(tokens) + 1) for c in itertools.combinations(sorted(tokens), n))
+    hits = Counter(c for tokens, blocked in rows if blocked for c in parts(tokens))
+    pages = Counter(c for tokens, _ in rows for c in parts(tokens) if c in hits)
+    sure = {c: n / pages[c] for c, n in hits.items() if n >= url_filter.MIN_SUPPORT * len(rows) and n / pages[c] >= url_filter.MIN_CONFIDENCE}
+    truth = {c: s for c, s in sure.items() if not any(d < c and sure[d] >= s for d in sure)}
+    got = {frozenset(r.tokens): r.confidence for r in url_filter.mine_rules(labelled).collect()}
+    assert truth and got == pytest.approx(truth)
+    verdicts = url_filter.query(spark, sf).filter("mined IS NOT NULL AND rule IS NULL")
+    assert verdicts.filter("verdict = 'block'").count() == verdicts.count() > 0

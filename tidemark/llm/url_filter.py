@@ -15,7 +15,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, sized, table
+from .common import ascii_lower, materialise, repeated_rows, sized, table
 
 #: Fixed rules: (verdict, host, path).
 RULES = (
@@ -119,14 +119,13 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     mined = materialise(mine_rules(labelled), "mined")
     index = mined.select(F.col("anchor").alias("token"), F.col("tokens").alias("rule_tokens"), "confidence")
 
-    base = urls.select(F.monotonically_increasing_id().alias("row"), "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens_of(F.col("url")).alias("tokens"))
-    # one row more for each page, so that it stays if it finds nothing
+    base = urls.select("page_id", "url", tokens_of(F.col("url")).alias("tokens"))
+    # one row more for each page, so that it stays if it finds nothing; rows that repeat a page are counted
     probed = base.select("*", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"))
-    found = probed.join(sized(index, mined.count()), "token", "left").filter(
-        (F.col("token") == "") | (F.size(F.array_except("rule_tokens", "tokens")) == 0)
-    )
+    found = probed.join(sized(index), "token", "left").filter((F.col("token") == "") | (F.size(F.array_except("rule_tokens", "tokens")) == 0))
     best = F.max(F.when(F.col("rule_tokens").isNotNull(), F.struct("confidence", F.col("rule_tokens")))).alias("best")
-    judged = found.groupBy("row").agg(F.max("page_id").alias("page_id"), F.max("host").alias("host"), F.max("path").alias("path"), best)
+    judged = found.groupBy("page_id", "url").agg(F.count(F.when(F.col("token") == "", 1)).alias("copies"), best)
+    judged = repeated_rows(judged, "copies").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "best")
     fixed = judged.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules))
     return fixed.select(
         "page_id",
