@@ -11,10 +11,12 @@ word by word. Every occurrence of every window is found, in one pass.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, sized, table
+from .common import ascii_lower, materialise, repeated_rows, sized, table
 
 WINDOW = 13
 #: Letters and digits of ASCII, and every other character from U+0080 on.
@@ -53,102 +55,115 @@ def _covered(spans: str) -> Column:
     return F.aggregate(F.array_sort(F.col(spans)), zero, step, lambda a: a["n"])
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, spans, items.
-
-    spans: sorted distinct (start, stop) word positions of windows that occur,
-    stop exclusive; items: sorted ids of the benchmark items that have them, as
-    strings (a null id is the empty string). Null and empty texts have no words
-    and no hits, and so have all texts if the benchmark is empty. Rows are kept
-    apart even if they repeat an id or a text. Items that repeat a text are all
-    named. Other columns are ignored, so their names cannot clash.
-    """
+def _hits(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, hash, copies, n_words, spans, items): a row for each distinct id and text, with the rows that have them."""
     windows = materialise(benchmark_windows(benchmark, text_column="text"), "windows")
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW values
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), words(F.col(text_column)).alias("w"))
-    if not lengths:
-        none = F.array().cast("array<struct<start:int,stop:int>>")
-        return base.select("doc_id", F.size("w").cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text")
 
-    grams = None
-    for n in lengths:
-        k, stride = _gram(n)
-        of = windows.filter(F.col("length") == n).select(
-            F.explode(F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda i: F.slice("words", i, k))).alias("g")
-        )
-        of = of.select(F.lit(n).alias("length"), F.xxhash64(F.lit(n), "g").alias("key"))
-        grams = of if grams is None else grams.unionByName(of)
-    grams = materialise(grams.distinct(), "grams")
-
-    # For each length, (length, first word, key) of the grams at multiples of the stride; one row more for the document itself.
+    # For each length, (length, first word, key) of the grams at multiples of the stride; one more for the document itself.
+    grams = [windows.filter("false").select(F.lit(0).alias("length"), F.lit(0).cast("long").alias("key"))]
     probes = [F.array(F.struct(F.lit(0).alias("length"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("key")))]
     for n in lengths:
         k, stride = _gram(n)
+        held = F.explode(F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda i: F.slice("words", i, k))).alias("g")  # noqa: B023
+        grams.append(windows.filter(F.col("length") == n).select(held).select(F.lit(n).alias("length"), F.xxhash64(F.lit(n), "g").alias("key")))
         at = F.when(F.size("w") >= n, F.sequence(F.lit(stride), F.size("w") - k + 1, F.lit(stride)) if stride > 1 else F.sequence(F.lit(1), F.size("w") - k + 1))
-        probes.append(
-            F.coalesce(
-                F.transform(at, lambda i: F.struct(F.lit(n).alias("length"), i.cast("int").alias("at"), F.xxhash64(F.lit(n), F.slice("w", i, k)).alias("key"))),
-                F.array().cast("array<struct<length:int,at:int,key:long>>"),
-            )
-        )
-    probed = base.select("row", "doc_id", "w", F.explode(F.concat(*probes)).alias("p")).select("row", "doc_id", "w", "p.*")
-    grams = sized(grams.select("length", "key", F.lit(True).alias("found")), grams.count())
-    found = probed.join(grams, ["length", "key"], "left").filter((F.col("length") == 0) | F.col("found"))
-
-    # The windows of that length that hold the gram start at most stride - 1 words before it.
-    stride = F.col("length") - F.floor((F.col("length") + 1) / 2).cast("int") + 1
-    first = F.greatest(F.lit(1), F.col("at") - stride + 1)
-    last = F.least(F.col("at"), F.size("w") - F.col("length") + 1)
-    own = F.array(F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("words")))
-    proposed = F.when(F.col("length") == 0, own).when(
-        first <= last, F.transform(F.sequence(first, last), lambda i: F.struct(i.cast("int").alias("start"), F.slice("w", i, F.col("length")).alias("words")))
+        probe = F.transform(at, lambda i: F.struct(F.lit(n).alias("length"), i.cast("int").alias("at"), F.xxhash64(F.lit(n), F.slice("w", i, k)).alias("key")))  # noqa: B023
+        probes.append(F.coalesce(probe, F.array().cast("array<struct<length:int,at:int,key:long>>")))
+    known = sized(materialise(reduce(DataFrame.unionByName, grams).distinct(), "grams")).withColumn("known", F.lit(True))
+    told = rows.select("doc_id", "hash", words(F.col("text")).alias("w")).select("doc_id", "hash", F.size("w").alias("n_words"), F.explode(F.concat(*probes)).alias("p"))
+    found = told.select("doc_id", "hash", "n_words", "p.*").join(known, ["length", "key"], "left").filter((F.col("length") == 0) | F.col("known"))
+    probed = found.groupBy("doc_id", "hash").agg(
+        F.count(F.when(F.col("length") == 0, 1)).alias("copies"),
+        F.max("n_words").cast("long").alias("n_words"),
+        F.collect_set(F.when(F.col("length") > 0, F.struct("length", "at"))).alias("probes"),
     )
-    cut = found.select("row", "doc_id", "length", F.when(F.col("length") == 0, F.size("w")).alias("n_words"), F.explode(proposed).alias("c"))
-    cut = cut.select("row", "doc_id", "length", "n_words", "c.start", "c.words", F.xxhash64("length", "c.words").alias("hash"))
-    known = windows.withColumn("hash", F.xxhash64("length", "words"))
-    known = sized(known.select("hash", F.col("length").alias("k_length"), F.col("words").alias("k_words"), "items"), known.count(), 300_000)
-    same = (F.col("hash") == F.col("k_hash")) & (F.col("length") == F.col("k_length")) & (F.col("words") == F.col("k_words"))
-    verified = cut.join(known.withColumnRenamed("hash", "k_hash"), same, "left").filter(F.col("n_words").isNotNull() | F.col("items").isNotNull())
-    span = F.when(F.col("items").isNotNull(), F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("stop")))
-    return (
-        verified.groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("n_words").cast("long").alias("n_words"),
-            F.array_sort(F.collect_set(span)).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
-        .drop("row")
+    probed = materialise(probed, "probed")
+
+    # The windows of that length that hold the gram start at most stride - 1 words before it; their words are fetched now.
+    asked = sized(materialise(probed.filter(F.size("probes") > 0).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "probes"), "asked"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    held = rows.join(asked, same).select("doc_id", "hash", "probes", words(F.col("text")).alias("w"))
+
+    def proposed(p: Column) -> Column:
+        length, at = p["length"], p["at"]
+        first = F.greatest(F.lit(1), at - (length - F.floor((length + 1) / 2).cast("int")))
+        last = F.least(at, F.size("w") - length + 1)
+        starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(length.alias("length"), i.alias("start"), F.slice("w", i, length).alias("words")))
+
+    # one array of windows, so that the whole text is not repeated for each of them
+    cut = held.select("doc_id", "hash", F.explode(F.array_distinct(F.flatten(F.transform("probes", proposed)))).alias("c"))
+    cut = cut.select("doc_id", "hash", "c.length", "c.start", "c.words", F.xxhash64("c.length", "c.words").alias("key"))
+    told = windows.select(F.xxhash64("length", "words").alias("key"), F.col("length").alias("k_length"), F.col("words").alias("k_words"), "items")
+    told = sized(materialise(told, "told"))
+    verified = cut.join(told, "key").filter((F.col("length") == F.col("k_length")) & (F.col("words") == F.col("k_words")))
+    verified = verified.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(
+        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    verified = sized(materialise(verified, "verified"))
+    return probed.join(verified, same, "left").select(
+        "doc_id",
+        "hash",
+        "copies",
+        "n_words",
+        F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
 
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, spans, items.
+
+    spans: sorted distinct (start, stop) word positions of windows that occur,
+    stop exclusive; items: sorted ids of the benchmark items that have them, as
+    strings (a null id is the empty string). Null and empty texts have no words
+    and no hits, and so have all texts if the benchmark is empty. Rows that repeat
+    an id or a text get a result each. Items that repeat a text are all named.
+    Empty tables give no rows. Other columns are ignored, so their names cannot
+    clash.
+    """
+    return repeated_rows(_hits(docs, benchmark, id_column, text_column), "copies").drop("hash")
+
+
+def _judged(hits: DataFrame) -> DataFrame:
+    hits = hits.withColumn("n_hit", _covered("spans"))
+    return hits.withColumn("contaminated", (F.col("n_hit") > 0) & (CONTAMINATED_ONE_IN * F.col("n_hit") >= F.col("n_words")))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """benchmark_hits with n_hit (words inside any occurrence) and contaminated."""
-    hits = benchmark_hits(docs, benchmark).withColumn("n_hit", _covered("spans"))
-    return hits.withColumn("contaminated", (F.col("n_hit") > 0) & (CONTAMINATED_ONE_IN * F.col("n_hit") >= F.col("n_words")))
+    return _judged(benchmark_hits(docs, benchmark))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns.
 
-    Rows that share an id stay or go together; rows with a null id stay if no
-    null-id row is contaminated.
+    Each row is judged by its own text, so rows that share an id, or have none, go
+    or stay by themselves. Null and empty texts stay; empty tables stay empty.
     """
-    bad = materialise(contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    right = sized(bad, bad.count())
-    return docs.join(right, docs["doc_id"].eqNullSafe(right["_id"]), "left_anti")
+    bad = _judged(_hits(docs, benchmark, "doc_id", "text")).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    right = sized(materialise(bad, "contaminated"))
+    same = docs["doc_id"].eqNullSafe(right["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == right["_hash"])
+    return docs.join(right, same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id and the text without the benchmark's words: each span that is hit becomes one space.
+    """doc_id and the text, for each row of docs, without the benchmark's words: each span that is hit becomes one space.
 
     The text is rebuilt from its words and the separators between them, so all
-    that is not hit stays as it is.
+    that is not hit stays as it is. Each row loses the spans of its own text, also
+    where rows share an id or have none. Null texts become empty; empty tables
+    give no rows.
     """
-    spans = benchmark_hits(docs, benchmark).select("doc_id", "spans").dropDuplicates(["doc_id"])
-    text = F.coalesce(F.col("text"), F.lit(""))
-    right = spans.withColumnRenamed("doc_id", "_id")
-    joined = docs.select("doc_id", text.alias("text")).join(right, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    spans = _hits(docs, benchmark, "doc_id", "text").filter(F.size("spans") > 0)
+    right = sized(materialise(spans.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "spans"), "spans"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    joined = rows.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+    joined = joined.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")))
     kept = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words, either case
     parts = joined.withColumn("w", F.regexp_extract_all("text", F.lit(kept), F.lit(0))).withColumn("gaps", F.split("text", kept))
     hit = lambda i: F.exists("spans", lambda s: (s["start"] <= i + 1) & (i + 1 < s["stop"]))
