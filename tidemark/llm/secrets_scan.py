@@ -40,8 +40,8 @@ ADDED = (
     Rule("bearer", r"(?i)bearer\x20+([A-Za-z0-9._~+/=-]+)", 1, 20),
 )
 RULES = BASE + ADDED
-#: Candidate documents up to which the (document, rules) table is broadcast.
-CANDIDATES = 500_000
+#: Pieces whose places are summed one by one; beyond, by the sums of so many.
+BLOCK = 64
 
 # U+0001 marks matches; it is no part of any rule, and one in a text counts as U+0002, as long.
 _MARK, _OTHER = "\x01", "\x02"
@@ -66,19 +66,30 @@ def _pieces(text: Column, rule: Rule) -> Column:
     )
 
 
+def _any_gram(grams: list[str]) -> str:
+    """A pattern that captures, without consuming, a trigram of the list at every position that starts one."""
+    quoted = lambda c: c if c.isalnum() else "\\" + c
+    tree: dict[str, dict[str, str]] = {}
+    for a, b, c in grams:
+        tree.setdefault(a, {}).setdefault(b, "")
+        tree[a][b] += quoted(c)
+    ways = (f"{quoted(a)}(?:" + "|".join(f"{quoted(b)}[{c}]" for b, c in seconds.items()) + ")" for a, seconds in tree.items())
+    return f"(?=[{''.join(map(quoted, tree))}])(?=({'|'.join(ways)}))"
+
+
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """(gram, doc_id, hash) for each document and each of the trigrams that its lower-cased text holds."""
-    low = F.lower(F.col("text"))
-    present = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(low, g))
+    """(gram, doc_id, hash) for each document and each of the trigrams that its lower-cased text holds, found in one pass."""
+    present = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_any_gram(grams)), F.lit(1)))
     return docs.select("doc_id", "hash", F.explode(present).alias("gram"))
 
 
 def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
     """(doc_id, hash, kinds) of documents that satisfy rules' trigram queries, from the intersected postings."""
     clauses = [(r.kind, i, len(alt), g) for r in rules for i, alt in enumerate(trigram_query(r.pattern) or []) for g in alt]
-    grams = sorted({c[3] for c in clauses})
+    if not clauses:
+        return docs.select("doc_id", "hash", F.array().cast("array<string>").alias("kinds")).filter("false")
     plan = docs.sparkSession.createDataFrame(clauses, "kind string, clause int, needed int, gram string")
-    listed = postings(docs, grams).distinct().join(F.broadcast(plan), "gram")
+    listed = materialise(postings(docs, sorted({c[3] for c in clauses})), "postings").distinct().join(F.broadcast(plan), "gram")
     met = listed.groupBy("doc_id", "hash", "kind", "clause", "needed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.col("needed"))
     return met.groupBy("doc_id", "hash").agg(F.collect_set("kind").alias("kinds"))
 
@@ -94,7 +105,7 @@ def find_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_c
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
     found = materialise(candidates(rows, rules), "candidates")
-    right = sized(found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "kinds"), found.count(), CANDIDATES)
+    right = sized(found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "kinds"))
     same = rows["doc_id"].eqNullSafe(right["_id"]) & (rows["hash"] == right["_hash"])
     told = rows.join(right, same, "left").select("doc_id", "text", "kinds")
     none = F.array().cast("array<struct<length:int,kept:boolean>>")
@@ -108,26 +119,33 @@ def find_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_c
 
 
 def _spans(part: Column) -> Column:
-    """Array of (start, order, end, kind) of a rule's kept pieces; where a piece starts is the sum of the lengths before it."""
-    ends = F.aggregate(
-        part["pieces"],
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + x["length"]).alias("at"),
-            F.when(x["kept"], F.concat(a["spans"], (a["at"]).cast("string"), F.lit(":"), (a["at"] + x["length"]).cast("string"), F.lit(","))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    some = F.exists(part["pieces"], lambda x: x["kept"])
-    return F.transform(
-        F.filter(F.split(F.when(some, ends).otherwise(F.lit("")), ","), lambda s: s != ""),
-        lambda s: F.struct(
-            F.substring_index(s, ":", 1).cast("int").alias("start"),
-            part["order"].alias("order"),
-            F.substring_index(s, ":", -1).cast("int").alias("end"),
-            part["kind"].alias("kind"),
-        ),
-    )
+    """Array of (start, order, end, kind) of a rule's kept pieces; where a piece starts is the sum of the lengths before it.
+
+    Sums are taken within blocks and over blocks, so a text with very many matches costs little more than its length.
+    """
+    pieces = part["pieces"]
+    length = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x["length"])
+    starts = F.when(F.size(pieces) > 0, F.sequence(F.lit(1), F.size(pieces), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(starts, lambda i: F.slice(pieces, i, BLOCK))
+
+    def placed(sums: Column) -> Column:
+        def within(block: Column, k: Column) -> Column:
+            before = F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda n, x: n + x)
+            own = F.transform(block, lambda x, i: F.struct((length(F.slice(block, F.lit(1), i))).alias("at"), x["length"].alias("length"), x["kept"].alias("kept")))
+            kept = F.filter(own, lambda x: x["kept"])
+            at = lambda base: F.transform(
+                kept,
+                lambda x: F.struct(
+                    (base + x["at"]).alias("start"), part["order"].alias("order"), (base + x["at"] + x["length"]).alias("end"), part["kind"].alias("kind")
+                ),
+            )
+            return F.flatten(F.transform(F.array(before), at))
+
+        return F.flatten(F.transform(blocks, within))
+
+    some = F.exists(pieces, lambda x: x["kept"])
+    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
+    return F.when(some, F.flatten(F.transform(F.array(F.transform(blocks, length)), placed))).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:

@@ -16,7 +16,8 @@ Query = frozenset[frozenset[str]] | None
 
 
 def _grams(text: str) -> frozenset[str]:
-    return frozenset(text[i : i + 3] for i in range(len(text) - 2))
+    """Trigrams that cover the text: every third, and the last."""
+    return frozenset(text[i : i + 3] for i in [*range(0, len(text) - 2, 3), len(text) - 3] if i >= 0)
 
 
 def _both(a: Query, b: Query) -> Query:
