@@ -6,7 +6,9 @@ steps, L1 and L2 penalties). Temperature calibration on a part of the sample tha
 training does not see turns scores into probabilities.
 
 Document frequencies count all training documents. The model itself is fitted on a
-bounded sample of them, SAMPLE rows or so, dealt evenly over the languages.
+bounded sample of their distinct texts, SAMPLE or so, dealt evenly over the
+languages. SHARDS models are fitted side by side on parts of it and averaged; a
+weight that most of them hold at zero stays zero.
 """
 
 from __future__ import annotations
@@ -20,19 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import lookup, materialise, table
 
-#: Expected rows of the sample that the model is fitted on, a fifth of them for calibration.
+#: Expected texts of the sample that the model is fitted on, a fifth of them for calibration. All languages in it are learned.
 SAMPLE = 8000
-#: Languages that a model tells apart: the most frequent labels.
-LANGUAGES = 256
 BUCKETS, ORDERS = 8192, (1, 2, 3)
 ALPHA, BETA, L1, L2, EPOCHS, SHARDS = 1.0, 1.0, 0.02, 0.01, 3, 4
 #: Code points worked on at a time.
 PIECE = 1_000_000
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numerals that are none
 _FOLD = np.arange(128, dtype=np.uint32)
 _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 0x20
 
@@ -55,6 +55,11 @@ def counts(text: str) -> np.ndarray:
     return made
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's category L is in the text."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def features(seen: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values) of a document's TF-IDF vector of length one, and 1 for the bias."""
     at = np.flatnonzero(seen)
@@ -71,7 +76,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, probability); `und` and 0 for a text that is null or has no letter."""
-        if not self.languages or text is None or not _LETTER.search(text):
+        if not self.languages or text is None or not has_letter(text):
             return UNDETERMINED, 0.0
         at, value = features(counts(text), self.idf)
         p = softmax(value @ self.weights[at] / self.temperature)
@@ -118,17 +123,23 @@ def _fit_shard(rows: pd.DataFrame, languages: int) -> np.ndarray:
     return weights(z, n)
 
 
+def _sample(rows: DataFrame) -> DataFrame:
+    """(key, lang, text): about SAMPLE distinct texts of rows (text, lang), as many of each language as there are."""
+    hashed = rows.select("lang", "text", F.xxhash64("text", F.lit(11)).alias("key"))
+    counts = materialise(hashed.groupBy("lang").agg(F.approx_count_distinct("key").alias("texts")), "languages")
+    share = counts.select("lang", (F.lit(SAMPLE) / F.greatest(F.lit(1), F.lit(counts.count())) / F.col("texts")).alias("share"))
+    drawn = F.pmod(F.col("key"), F.lit(1_000_003)) / 1_000_003 < F.col("share")
+    # copies are combined before they are shuffled, and of a text with several labels each is kept
+    return lookup(hashed, materialise(share, "shares"), ["lang"]).filter(drawn).groupBy("key", "lang", "text").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+
+
 def train(docs: DataFrame) -> Model:
     """Fits the model on all rows of docs (text, lang) whose text and lang are not null.
 
-    Without such rows the model knows no language and predicts `und` for all.
+    Without such rows the model knows no language and predicts `und` for all. The
+    driver holds BUCKETS weights for each language of the sample.
     """
-    spark = docs.sparkSession
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    per_language = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in per_language)
-    if not languages:
-        return Model([], np.ones(BUCKETS), np.zeros((BUCKETS + 1, 1)))
     summed = (
         rows.select("text").mapInArrow(_document_frequencies, "df array<long>")
         .select(F.posexplode("df").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -138,46 +149,36 @@ def train(docs: DataFrame) -> Model:
         df[r["bucket"]] = r["n"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
 
-    share = {r["lang"]: min(1.0, SAMPLE / len(languages) / r["count"]) for r in per_language}
-    shares = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
-    drawn = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_003)) / 1_000_003
-    part = F.pmod(F.xxhash64("text", F.lit(12)), F.lit(5 * SHARDS)).cast("int")
-    sample = rows.filter(drawn < F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0.0))).withColumn("part", part)
-
     def vectors(batches):
         for batch in batches:
-            made = [features(counts(t), idf) for t in batch.column(0).to_pylist()]
-            label = [languages.index(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "label": pa.array(label, pa.int32()),
-                    "part": batch.column(2).cast(pa.int32()),
-                    "at": pa.array([a for a, _ in made], pa.list_(pa.int64())),
-                    "value": pa.array([v for _, v in made], pa.list_(pa.float64())),
-                }
-            )
-
-    made = materialise(sample.mapInArrow(vectors, "label int, part int, at array<long>, value array<double>"), "vectors")
-    k = len(languages)
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(first=[float(v[0]) for v in frame["value"]]).sort_values(["part", "label", "first"], kind="stable")
-        frame = frame.sample(frac=1, random_state=0)
-        return pd.DataFrame({"rows": [len(frame)], "weights": [_fit_shard(frame, k).ravel()]})
-
-    training = made.filter(F.col("part") % 5 != 0).withColumn("shard", (F.col("part") / 5).cast("int"))
-    fitted = training.groupBy("shard").applyInPandas(fit, "rows long, weights array<double>").collect()
+            made = [features(counts(t), idf) for t in batch.column(2).to_pylist()]
+            columns = [pa.array([a for a, _ in made], pa.list_(pa.int64())), pa.array([v for _, v in made], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "lang", "at", "value"])
+
+    made = materialise(_sample(rows).mapInArrow(vectors, "key long, lang string, at array<long>, value array<double>"), "vectors")
+    languages = sorted(r["lang"] for r in made.select("lang").distinct().collect())
+    if not languages:
+        return Model([], np.ones(BUCKETS), np.zeros((BUCKETS + 1, 1)))
+    place, k = {x: i for i, x in enumerate(languages)}, len(languages)
+    calibrating = F.pmod(F.xxhash64("key", F.lit(12)), F.lit(5)) == 0
+
+    def fit(frames):
+        frame = pd.concat([x for x in frames if len(x)] or [pd.DataFrame({"key": [], "lang": []})])
+        if len(frame):
+            frame = frame.sort_values(["key", "lang"]).assign(label=frame["lang"].map(place)).sample(frac=1, random_state=0)
+            yield pd.DataFrame({"rows": [len(frame)], "weights": [_fit_shard(frame, k).ravel()]})
+
+    fitted = made.filter(~calibrating).repartition(SHARDS, "key").mapInPandas(fit, "rows long, weights array<double>").collect()
+    weights = np.zeros((BUCKETS + 1, k))
     if fitted:
-        total = sum(r["rows"] for r in fitted)
-        weights = sum(np.array(r["weights"]) * (r["rows"] / total) for r in fitted).reshape(BUCKETS + 1, k)
-    else:
-        weights = np.zeros((BUCKETS + 1, k))
+        rows_of, each = np.array([r["rows"] for r in fitted]), np.array([r["weights"] for r in fitted])
+        weights = np.where((each != 0).sum(axis=0) * 2 >= len(each), rows_of @ each / rows_of.sum(), 0.0).reshape(BUCKETS + 1, k)
 
     def logits(frames):
         for frame in frames:
-            yield pd.DataFrame({"label": frame["label"], "logit": [v @ weights[a] for a, v in zip(frame["at"], frame["value"], strict=True)]})
+            yield pd.DataFrame({"label": frame["lang"].map(place), "logit": [v @ weights[a] for a, v in zip(frame["at"], frame["value"], strict=True)]})
 
-    seen = made.filter(F.col("part") % 5 == 0).mapInPandas(logits, "label int, logit array<double>").collect()
+    seen = made.filter(calibrating).mapInPandas(logits, "label int, logit array<double>").collect()
     return Model(languages, idf, weights, _temperature(seen))
 
 
@@ -217,7 +218,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from the text and lang of rows that are not held out, and predicts
     every row from its text. Null texts and texts without a letter are `und` with
-    score 0, as all are if there is nothing to learn from. Repeated rows are
+    score 0, as all are if there is nothing to learn from. doc_id is a number. Repeated rows are
     predicted each. Empty tables give no rows. Other columns are ignored, so their
     names cannot clash.
     """
@@ -226,7 +227,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is found with at least that probability."""
+    """The rows of docs, with all their columns, whose language is found with at least that probability.
+
+    Null texts and texts without a letter go. Rows that repeat a text stay or go
+    together. Without labelled rows to learn from no row stays.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out()).select("text", "lang")))
     at = docs.columns.index("text")
 
