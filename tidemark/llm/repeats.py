@@ -70,15 +70,14 @@ def _piece_anchors(data: np.ndarray, start: int, stop: int):
     return pos, h[at], x
 
 
-def window_hashes(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each row of WINDOW bytes."""
-    words = np.zeros((len(windows), WINDOW + 4), np.uint8)
-    words[:, :WINDOW] = windows
-    words = words.view("<u8")
-    w, v = np.full(len(words), 1, np.uint64), np.full(len(words), 2, np.uint64)
+def row_hashes(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of CONTEXT bytes, from its own start value."""
+    words = np.zeros((len(rows), -(-CONTEXT // 8) * 8), np.uint8)
+    words[:, :CONTEXT] = rows
+    words, h = words.view("<u8"), start
     for k in range(words.shape[1]):
-        w, v = _mix(w * np.uint64(3) + words[:, k]), _mix((v ^ words[:, k]) * np.uint64(5) + np.uint64(k))
-    return w, v
+        h = _mix(h * np.uint64(3) + words[:, k])
+    return h
 
 
 class _RangeMinimum:

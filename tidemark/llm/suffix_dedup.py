@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ _ROW = "kind int, h long, x long, doc_id long, hash long, a long, b long"
 BATCH_BYTES, BATCH_CONTEXTS = 16_000_000, 20_000
 #: Anchors meant for a task.
 TASK_ANCHORS = 2_000_000
-#: Different contexts of one anchor up to which they are sorted in one task; beyond, their windows are aggregated.
+#: Different contexts of one anchor up to which they are sorted in one task; beyond, they are split by what is around the anchor.
 HOT_CONTEXTS = 50_000
 _NULL_ID = -(2**63)
 
@@ -66,15 +67,20 @@ def _anchors(batches):
         yield from _dealt(held)
 
 
+def _elsewhere(first: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Whether each row's place (document, text, position) is another than that of the row `first` names for it."""
+    return np.logical_or.reduce([x != x[first] for x in place])
+
+
 def _dealt(held: list):
     pos, h, x = (np.concatenate([t[k] for t in held]) for k in range(3))
     counts = [len(t[0]) for t in held]
     doc, text_hash, length = (np.repeat(np.array([t[k] for t in held], np.int64), counts) for k in (3, 4, 5))
-    order = np.lexsort((pos, doc, x, h))
+    order = np.lexsort((pos, text_hash, doc, x, h))
     pos, h, x, doc, text_hash, length = (v[order] for v in (pos, h, x, doc, text_hash, length))
     new = np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])]
     first = np.maximum.accumulate(np.where(new, np.arange(len(pos)), 0))
-    later = ~new & ((doc != doc[first]) | (pos != pos[first]))
+    later = ~new & _elsewhere(first, doc, text_hash, pos)
     go = new
     begin, end = pos - np.minimum(pos, repeats.BEFORE), pos + np.minimum(length - pos, repeats.WINDOW)
     # a span is dealt by a hash of its own, so a hot anchor's spans don't meet
@@ -107,7 +113,7 @@ def _classes(batches):
         h, x, doc, text_hash, a, b = rows
         new = np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])]
         first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        later = np.flatnonzero(~new & ((doc != doc[first]) | (a != a[first])))
+        later = np.flatnonzero(~new & _elsewhere(first, doc, text_hash, a))
         left, right = b[later] // 256, b[later] % 256
         yield _table([np.full(len(later), SPAN), h[later], x[later], doc[later], text_hash[later], a[later] - left, a[later] + right])
         lead = np.flatnonzero(new)
@@ -190,9 +196,10 @@ def _spans_of(contexts: pa.Table):
     reach: dict[tuple[int, int], int] = {}
     for l, rows, length in repeats.maximal_repeats(h, context, left, right):  # noqa: E741
         members = rows.tolist()
-        first = min(members, key=lambda r: (doc[r], a[r]))
+        place = {r: (doc[r], text_hash[r], a[r]) for r in members}
+        first = min(place.values())
         for r in members:
-            if (doc[r], a[r]) != (doc[first], a[first]) and reach.get((r, l), 0) < length:
+            if place[r] != first and reach.get((r, l), 0) < length:
                 reach[r, l] = length
     if not reach:
         return
@@ -203,34 +210,54 @@ def _spans_of(contexts: pa.Table):
         yield _table([np.full(len(r), SPAN), h[r], np.zeros(len(r), np.int64), doc[r], text_hash[r], begin, begin + n])
 
 
-_WINDOW = "w long, v long, doc_id long, hash long, a long"
+_PART = f"{_CONTEXT}, region int"
+
 
+def _split(batches):
+    """Contexts of an anchor that share a region around it, dealt to two groups that share more of it.
 
-def _windows(batches):
-    """(w, v, doc_id, hash, a) for each window of hot anchors' contexts: 128 bits of hash and where it starts."""
+    region is 256 times the bytes before the anchor and the bytes from it on that a
+    group shares. A window that holds the region has at least half of its other
+    bytes on one side, so equal windows meet in the group of that side.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH_CONTEXTS // 8):
-            part = batch.slice(at, BATCH_CONTEXTS // 8)
-            doc, text_hash, a = (part.column(k).to_numpy() for k in (1, 2, 3))
+        for at in range(0, batch.num_rows, BATCH_CONTEXTS):
+            part = batch.slice(at, BATCH_CONTEXTS)
+            h, region = part.column(0).to_numpy().view(np.uint64), part.column(6).to_numpy().astype(np.int64)
             context, left, right = _matrix(part)
-            for before in range(repeats.BEFORE + 1):
-                rows = np.flatnonzero((left >= before) & (right >= repeats.WINDOW - before))
-                start = repeats.BEFORE - before
-                w, v = repeats.window_hashes(context[rows, start : start + repeats.WINDOW])
-                columns = (w.view(np.int64), v.view(np.int64), doc[rows], text_hash[rows], a[rows] - before)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in _WINDOW.split(", ")])
-
-
-def _hot_spans(contexts: DataFrame) -> DataFrame:
-    """Spans of windows that start earlier elsewhere, for anchors of too many contexts for one task: by aggregation, combined in each partition."""
-    windows = materialise(contexts.mapInArrow(_windows, _WINDOW), "windows")
-    own = windows.groupBy("w", "v", "doc_id").agg(F.min("a").alias("first_a"), F.count(F.lit(1)).alias("m"))
-    first = own.groupBy("w", "v").agg(F.min(F.struct("doc_id", "first_a")).alias("first"), F.sum("m").alias("n")).filter("n > 1")
-    first = materialise(first, "first")
-    joined = lookup(windows, first, ["w", "v"], first.count(), windows.count())
-    later = joined.filter(F.col("first").isNotNull() & ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("a") != F.col("first.first_a"))))
-    stop = (F.col("a") + repeats.WINDOW).alias("b")
-    return later.select(F.lit(SPAN).alias("kind"), F.col("w").alias("h"), F.lit(0).cast("long").alias("x"), "doc_id", "hash", "a", stop)
+            more = -(-(repeats.WINDOW - region // 256 - region % 256) // 2)
+            for l, r in ((region // 256 + more, region % 256), (region // 256, region % 256 + more)):  # noqa: E741
+                rows = np.flatnonzero((l <= left) & (r <= right))
+                column = np.arange(repeats.CONTEXT)
+                inside = (column >= repeats.BEFORE - l[rows, None]) & (column < repeats.BEFORE + r[rows, None])
+                key = repeats.row_hashes(np.where(inside, context[rows], 0), h[rows] ^ (l[rows] * 256 + r[rows]).astype(np.uint64))
+                some = part.take(pa.array(rows))
+                columns = [pa.array(key.view(np.int64)), *some.columns[1:6], pa.array((l[rows] * 256 + r[rows]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _PART.split(", ")])
+
+
+def _hot_spans(contexts: DataFrame, tasks: int) -> DataFrame:
+    """Spans of the contexts of anchors that have too many for one task.
+
+    Groups are split by more and more of the bytes around their anchor until one
+    task can sort them; a group that shares a whole window is one interval of the
+    tree, of which all but the first occurrence go.
+    """
+    level = contexts.withColumn("region", F.lit(repeats.GRAM))
+    whole = F.floor(F.col("region") / 256) + F.col("region") % 256 == repeats.WINDOW
+    made = []
+    while level.head(1):
+        level = materialise(level.repartition(tasks).mapInArrow(_split, _PART), "split")
+        counts = materialise(level.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "hash", "a")).alias("first")).filter("n > 1"), "counts")
+        told = lookup(level, counts, ["h"]).filter("n > 1")
+        usual = told.filter((F.col("n") <= HOT_CONTEXTS) & ~whole).select(*[x.split()[0] for x in _CONTEXT.split(", ")])
+        made.append(usual.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_repeat_spans, _ROW))
+        first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")) & (F.col("a") == F.col("first.a"))
+        begin = F.col("a") - F.floor(F.col("region") / 256)
+        later = told.filter(whole & ~first).select(F.lit(SPAN).alias("kind"), "h", F.lit(0).cast("long").alias("x"), "doc_id", "hash", begin.alias("a"), (begin + repeats.WINDOW).alias("b"))
+        made.append(later)
+        level = materialise(told.filter((F.col("n") > HOT_CONTEXTS) & ~whole).select(level.columns), "level")
+    return reduce(DataFrame.unionByName, made)
 
 
 _MERGED = "doc_id long, hash long, starts array<long>, stops array<long>, n long"
@@ -291,7 +318,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     conf = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(conf, math.ceil(size / 30 / TASK_ANCHORS))  # an anchor in some 30 bytes
-    dealt = docs.mapInArrow(_anchors, _ROW).repartition(parts, "h").sortWithinPartitions("h", "x", "doc_id", "a")
+    dealt = docs.mapInArrow(_anchors, _ROW).repartition(parts, "h").sortWithinPartitions("h", "x", "doc_id", "hash", "a")
     found = materialise(dealt.mapInArrow(_classes, _ROW), "classes")
     asked = found.filter(F.col("kind") == ASKED).select("doc_id", "hash", "h", "a", "b")
     hot = materialise(asked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_CONTEXTS).select("h"), "hot")
@@ -303,12 +330,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         own = docs.join(wanted.hint("merge"), ["doc_id", "hash"]).select("doc_id", "hash", "text", "asked")
         return own.mapInArrow(_contexts, _CONTEXT)
 
-    usual = asked.join(sized(hot, n_hot), "h", "left_anti") if n_hot else asked
+    usual = asked.join(sized(hot), "h", "left_anti") if n_hot else asked
     sorted_contexts = contexts(usual).repartition(parts, "h").sortWithinPartitions("h")
     spans = found.filter(F.col("kind") == SPAN).unionByName(sorted_contexts.mapInArrow(_repeat_spans, _ROW))
     if n_hot:
-        spans = spans.unionByName(_hot_spans(contexts(asked.join(sized(hot, n_hot), "h", "left_semi"))))
-    own = spans.select("doc_id", "hash", "a", "b").repartition("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "a")
+        spans = spans.unionByName(_hot_spans(contexts(asked.join(sized(hot), "h", "left_semi")), parts))
+    own = spans.select("doc_id", "hash", "a", "b").repartition(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "a")
     return own.mapInArrow(_merged, _MERGED)
 
 
