@@ -85,3 +85,35 @@ def test_chat_format(spark):
     assert [tuple(t) for t in got[3].back] == [("assistant", "x")] * 2
     assert got[4].back[0].text == LONG
     assert chat_format.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_spans_are_removed_from_their_own_row(spark):
+    docs = spark.createDataFrame([(1, "alpha one two three beta"), (1, "zzz yyy"), (None, "one two three"), (None, "kept words")], "doc_id long, text string")
+    made = decontaminate.remove_spans(docs, spark.createDataFrame([(1, "one two three")], "item_id long, text string"))
+    assert sorted(" ".join(r.text.split()) for r in made.collect()) == ["", "alpha beta", "kept words", "zzz yyy"]
+
+
+@pytest.mark.parametrize("doc_id", [None, 1])
+def test_repeats_of_rows_that_share_an_id(spark, doc_id):
+    text = "".join(chr(97 + i * i % 26) + str(i) for i in range(120))[:300]
+    docs = spark.createDataFrame([(doc_id, text), (doc_id, text + " and more"), (doc_id, "other " + text)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()) == [0, 300, 300]
+
+
+def test_letters_are_those_of_category_l():
+    assert not language_id.has_letter("\u00b2 \u00bd \u2167 \u2460 12_$") and language_id.has_letter("12 \u00e9")
+
+
+def test_one_very_long_word(spark):
+    word = "0f" * 200_000
+    docs = spark.createDataFrame([(1, word), (2, f"token={word}")], "doc_id long, text string")
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets_scan.find_secrets(docs).collect()}
+    assert spans == {1: [("hex", 0, 400_000)], 2: [("assign", 0, 400_006), ("hex", 6, 400_006)]}
+    pieces = packing.pack_documents(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of")).collect()
+    assert all(r.n == r.of for r in pieces)
+
+
+def test_many_matches_in_one_text(spark):
+    docs = spark.createDataFrame([(1, "0123456789abcdef " * 20_000)], "doc_id long, text string")
+    spans = secrets_scan.find_secrets(docs).first().spans
+    assert [(s.start, s.end) for s in spans] == [(17 * i, 17 * i + 16) for i in range(20_000)]

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -225,6 +226,44 @@ def test_language_of_long_and_letterless_texts():
         language_id.PIECE = old
 
 
+def test_training_equals_a_plain_version():
+    rng = np.random.default_rng(9)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.random(6), int(rng.integers(0, 3))) for _ in range(30)]
+    z, n = {}, {}
+
+    def weight(at, k):
+        s, m = z.get((at, k), 0.0), n.get((at, k), 0.0)
+        return 0.0 if abs(s) <= language_id.L1 else -(s - math.copysign(language_id.L1, s)) / ((language_id.BETA + math.sqrt(m)) / language_id.ALPHA + language_id.L2)
+
+    for _ in range(language_id.EPOCHS):
+        for at, value, label in rows:
+            w = {(a, k): weight(a, k) for a in at for k in range(3)}
+            score = [math.exp(sum(v * w[a, k] for a, v in zip(at, value, strict=True))) for k in range(3)]
+            for a, v in zip(at, value, strict=True):
+                for k in range(3):
+                    g, m = v * (score[k] / sum(score) - (k == label)), n.get((a, k), 0.0)
+                    z[a, k] = z.get((a, k), 0.0) + g - (math.sqrt(m + g * g) - math.sqrt(m)) / language_id.ALPHA * w[a, k]
+                    n[a, k] = m + g * g
+    frame = pd.DataFrame(rows, columns=["at", "value", "label"])
+    made = language_id._fit_shard(frame, 3)
+    assert np.allclose(made[:40], [[weight(a, k) for k in range(3)] for a in range(40)]) and (made[40:] == 0).all() and (made[:40] == 0).any()
+    logits = rng.normal(size=(200, 3)) * 4
+    labels = [int(rng.choice(3, p=language_id.softmax(x / 2.5))) for x in logits]
+    loss = lambda t: -sum(math.log(language_id.softmax(x / t)[y]) for x, y in zip(logits, labels, strict=True))
+    found = language_id._temperature([{"logit": x.tolist(), "label": y} for x, y in zip(logits, labels, strict=True)])
+    assert loss(found) <= min(map(loss, np.linspace(0.5, 8, 200))) + 1e-6
+
+
+def test_encoder_gives_the_tokenizers_ids(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    encode = packing.encoder(public_tokenizers.path(packing.VOCABULARY)).encode_to_numpy
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").filter("text IS NOT NULL").collect()
+    texts = [r.text for r in rows] + ["</s><|endoftext|>[INST]", "\x00\x01 \u200b\ufeff \U0001f600", " " * 500, "\r\n\r\n\t x"]
+    for t, own in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(t, disallowed_special=()).tolist() == own.ids
+
+
 def test_packing(spark, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True

@@ -1,5 +1,13 @@
 """The stages one after another, and the whole against plain versions of what SQL cannot express."""
 
+import itertools
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from tidemark.llm import decontaminate, exact_dedup, language_id, simhash
 
@@ -31,8 +39,44 @@ def test_stages_keep_the_columns_and_decide(spark, tmp_path):
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+def contaminated(text, windows):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    hit = {p for n in {len(w) for w in windows} for i in range(len(words) - n + 1) if tuple(words[i : i + n]) in windows for p in range(i, i + n)}
+    return bool(hit) and 20 * len(hit) >= len(words)
+
+
+def test_run_equals_plain_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs.filter(~language_id.held_out()).select("text", "lang"))
+    kept = {}
+    for r in sorted(docs.collect()):
+        language, score = model.predict(r.text)
+        if language != "und" and score >= corpus_pipeline.MIN_LANGUAGE_SCORE:
+            kept[r.text] = r.doc_id  # of equal texts the last
+    kept = sorted((i, t) for t, i in kept.items())
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for i, t in kept}
+    sets = {i: set(zip(*[w[k:] for k in range(5)], strict=False)) or {tuple(w)} for i, w in words.items()}
+    label = {i: i for i in sets}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r.text or ""))
+        windows |= {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))} - {()}
+    kept = {i: t for i, t in kept if label[i] == i and not contaminated(t, windows)}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    made = corpus_pipeline.run(spark, SF).toPandas()
+    assert set(made["doc_id"]) == set(kept)
+    for doc_id, pieces in made.sort_values("start").groupby("doc_id"):
+        ids, at = np.array(tokenizer.encode(kept[doc_id], add_special_tokens=False).ids + [1], "<u4"), 0
+        for p in pieces.itertuples():
+            assert p.start == at and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
 
 
 def test_letterless_documents_go(spark):
