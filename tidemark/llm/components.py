@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, materialise, sized
+from .common import discard, lookup, materialise, measured, renamed, sized
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,22 +21,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = materialise(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
-    mark = _mark(labels)
+    mark = F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))
+    labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels", mark=mark)
     while True:
-        near = both.join(sized(labels).withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        seen = materialise(labels.join(near, "node"), "seen")
+        near = both.join(sized(labels.withColumnRenamed("node", "v"), labels), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        seen = labels.join(near, "node")
         handed = seen.select("node", F.least("label", "near").alias("label")).unionByName(seen.select(F.col("label").alias("node"), F.col("near").alias("label")))
         hooked = materialise(handed.groupBy("node").agg(F.min("label").alias("label")), "hooked")
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        before, mark_before = labels, mark
-        labels = materialise(lookup(hooked, up, ["label"]).select("node", F.least("label", "above").alias("label")), "labels")
-        mark = _mark(labels)
-        discard(before, seen, hooked)
-        if mark == mark_before:
+        before = labels
+        labels = materialise(lookup(hooked, up, ["label"], hooked).select("node", F.least("label", "above").alias("label")), "labels", mark=mark)
+        same = measured(before, "mark") == measured(labels, "mark")
+        discard(before, hooked)
+        if same:
             discard(both)
-            return labels.withColumnRenamed("label", "component")
-
-
-def _mark(labels: DataFrame):
-    return tuple(labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")), F.count(F.lit(1))).first())
+            return renamed(labels, label="component")

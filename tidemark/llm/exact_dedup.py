@@ -80,7 +80,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     rows = docs.select(F.col(id_column).alias("doc_id"), body.alias("body")).withColumn("fp", F.xxhash64("body"))
     keyed = rows.select("doc_id", "fp", F.sha2("body", 256).alias("text_sha256"))
     repeated = materialise(repeated_fingerprints(rows.select("fp"), docs.count()), "repeated")
-    suspects = rows.join(sized(repeated.select("fp")), "fp")
+    suspects = rows.join(sized(repeated.select("fp"), repeated), "fp")
     verified = (
         suspects.groupBy("fp", "body")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))

@@ -105,7 +105,7 @@ def find_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_c
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
     found = materialise(candidates(rows, rules), "candidates")
-    right = sized(found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "kinds"))
+    right = sized(found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "kinds"), found)
     same = rows["doc_id"].eqNullSafe(right["_id"]) & (rows["hash"] == right["_hash"])
     told = rows.join(right, same, "left").select("doc_id", "text", "kinds")
     none = F.array().cast("array<struct<length:int,kept:boolean>>")

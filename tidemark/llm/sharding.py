@@ -111,7 +111,7 @@ def shard_documents(docs: DataFrame, shards: int = PLANNED, id_column: str = "do
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = materialise(counts.withColumn("before", before), "offsets")
     numbered = parts.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "tie")) - 1)
-    joined = numbered.join(sized(offsets.select("shard", "part", "before")), ["shard", "part"])
+    joined = numbered.join(sized(offsets.select("shard", "part", "before"), offsets), ["shard", "part"])
     return joined.select(
         "doc_id",
         "size",

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, sized, table
+from .common import lookup, materialise, measured, sized, table, weight
 from .components import components
 from .text_hash import shingle_sets, simhashes
 
@@ -156,9 +156,10 @@ def fingerprint_components(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     prints = materialise(fingerprints(docs, words), "prints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = materialise(fingerprint_links(distinct.select("fp"), distinct.count()), "pairs")
-    found = components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    joined = distinct.join(sized(found), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    links = materialise(fingerprint_links(distinct.select("fp"), weight(distinct)[0]), "pairs")
+    found = components(links)
+    roots = found.select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    joined = distinct.join(sized(roots, found), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialise(joined, "rooted")
     roots = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     classes = materialise(lookup(rooted.select("fp", "root"), roots, ["root"]).select("fp", "component_id"), "classes")
@@ -199,7 +200,10 @@ def _sets(words: int):
 
 
 def _prefixes(words: int, similarity: float, common, often):
-    """Rows (doc_id, text) in, (doc_id, node, size, prefix) out; common, sorted, are the shingles that come last, by how often they are seen."""
+    """Rows (doc_id, text) in, (doc_id, node, size, prefix, plain) out; common, sorted, are the shingles that come last, by how often they are seen.
+
+    plain counts the shingles of the prefix before those that are seen in more than PAIRED sampled texts.
+    """
 
     def run(batches):
         last, seen = common.value, often.value
@@ -213,36 +217,41 @@ def _prefixes(words: int, similarity: float, common, often):
                 if len(last):
                     at = np.minimum(np.searchsorted(last, h), len(last) - 1)
                     rank = np.where(last[at] == h, seen[at], 0)
-                h = h[np.lexsort((h, rank, owner))]
+                order = np.lexsort((h, rank, owner))
+                h, rank = h[order], rank[order]
                 length = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
                 length = np.minimum(length, size)
-                prefix = h[np.arange(len(h)) - np.repeat(start, size) < np.repeat(length, size)]
-                columns = [pa.array(ids[owner[start]]), pa.array(node.view(np.int64)), pa.array(size.astype(np.int64)), _lists(prefix, length)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "prefix"])
+                inside = np.arange(len(h)) - np.repeat(start, size) < np.repeat(length, size)
+                plain = np.add.reduceat((inside & (rank <= PAIRED)).astype(np.int64), start)
+                columns = [pa.array(ids[owner[start]]), pa.array(node.view(np.int64)), pa.array(size.astype(np.int64)), _lists(h[inside], length), pa.array(plain)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "prefix", "plain"])
 
     return run
 
 
+_MET = "key long, a long, size_a long, at_a long, b long, size_b long"
+
+
 def _met(similarity: float):
-    """Rows (key, node, size) in. Out, rows (key, a, size_a, b, size_b): pairs of buckets up to PAIRED, without key, and the members of larger ones, without b."""
+    """Rows (key, node, size, at) in. Out, rows of _MET: pairs of buckets up to PAIRED, without key, and the members of larger ones, without b."""
 
     def run(batches):
         held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
         if not held:
             return
-        key, node, size = (np.concatenate([x[i] for x in held]) for i in range(3))
+        key, node, size, at = (np.concatenate([x[i] for x in held]) for i in range(4))
         order = np.lexsort((node, key))
-        key, node, size = key[order], node[order], size[order]
+        key, node, size, at = key[order], node[order], size[order], at[order]
         start = _starts(key)
         peers = np.diff(np.r_[start, len(key)])
         peers = np.repeat(peers, peers)
         for step in range(1, PAIRED):
-            at = np.flatnonzero((key[step:] == key[:-step]) & (peers[step:] <= PAIRED))
-            m, n = size[at], size[at + step]
-            at = at[(node[at] != node[at + step]) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9)]
-            yield from _rows(None, node[at], size[at], node[at + step], size[at + step])
+            own = np.flatnonzero((key[step:] == key[:-step]) & (peers[step:] <= PAIRED))
+            m, n = size[own], size[own + step]
+            own = own[(node[own] != node[own + step]) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9)]
+            yield from _rows(None, node[own], size[own], None, node[own + step], size[own + step])
         large = np.flatnonzero(peers > PAIRED)
-        yield from _rows(key[large], node[large], size[large], None, None)
+        yield from _rows(key[large], node[large], size[large], at[large], None, None)
 
     return run
 
@@ -251,7 +260,7 @@ def _rows(*columns):
     n = next(len(c) for c in columns if c is not None)
     for i in range(0, n, 100_000):
         m = min(n - i, 100_000)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()) if c is None else pa.array(c[i : i + m]) for c in columns], ["key", "a", "size_a", "b", "size_b"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()) if c is None else pa.array(c[i : i + m]) for c in columns], [x.split()[0] for x in _MET.split(", ")])
 
 
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,38 +276,45 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have at least that Jaccard similarity."""
     for end in ("a", "b"):
-        pairs = pairs.join(sized(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}"))), end)
+        pairs = pairs.join(sized(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), sets), end)
     common = F.size(F.array_intersect("set_a", "set_b"))
     return pairs.filter(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b")
 
 
 def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) with the components of all pairs of nodes (doc_id, node, size, prefix) that similar; rows have the texts (doc_id, text).
+    """Links (a, b) with the components of all pairs of nodes (doc_id, node, size, prefix, plain) that similar; rows have the texts (doc_id, text).
 
     Nodes that share a shingle of their prefixes meet in its bucket. Small buckets
     give all their pairs. A large bucket's leader, the one in most large buckets, is
-    compared with all of it; where that leaves more than one component, all its
-    other pairs across components are compared too. A pair is passed over only if
-    its sizes and the shingles that its prefixes share prove it less similar: the
-    common shingles are those, or lie behind the prefix that ends first. All others
-    are verified by the sets.
+    compared with all of it; where that leaves more than one component, nodes
+    outside the bucket's largest component are compared with those of others. A
+    pair is passed over only if it cannot be similar: by its sizes, by the shingles
+    that its prefixes share (the common shingles are those, or lie behind the prefix
+    that ends first), or, in a large bucket, by the places of the bucket's shingle,
+    as only shingles from there on can be common if it is their first. All others
+    are verified by the sets. Buckets of shingles that a sample shows to be common
+    are large without being gathered.
     """
-    emitted = nodes.select(F.explode("prefix").alias("key"), "node", "size")
-    met = materialise(_shuffled(emitted, expected).mapInArrow(_met(similarity), "key long, a long, size_a long, b long, size_b long"), "met")
-    members = met.filter("b IS NULL").select("key", F.col("a").alias("node"), F.col("size_a").alias("size"))
+    placed = nodes.select(F.posexplode("prefix").alias("at", "key"), "node", "size", "plain")
+    emitted = placed.filter("at < plain").select("key", "node", "size", F.col("at").cast("long").alias("at"))
+    met = materialise(_shuffled(emitted, expected).mapInArrow(_met(similarity), _MET), "met")
+    found = met.filter("b IS NULL").select("key", F.col("a").alias("node"), F.col("size_a").alias("size"), F.col("at_a").alias("at"))
+    members = materialise(found.unionByName(placed.filter("at >= plain").select("key", "node", "size", F.col("at").cast("long").alias("at"))), "members")
     often = materialise(members.groupBy("node").agg(F.count(F.lit(1)).alias("large")), "often")
-    n_often = often.count()
+    some_large = bool(weight(often)[0])
     counted = met.filter("b IS NOT NULL").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.count(F.lit(1)).alias("shared"))
     counted = materialise(counted, "counted")
+    share = similarity / (1 + similarity)  # of the sum of two sizes, what similar sets have in common
     behind = lambda n: F.ceil(similarity * F.col(n) - 1e-9) - 1
     fits = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
+    first_common = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= share * (F.col("size_a") + F.col("size_b")) - 1e-6
 
     def may(pairs: DataFrame) -> DataFrame:
         """Of (a, b, size_a, size_b, shared), shared in small buckets, those that may be similar."""
         for end in ("a", "b"):
-            pairs = pairs.join(sized(often.select(F.col("node").alias(end), F.col("large").alias(f"large_{end}"))), end, "left")
+            pairs = pairs.join(sized(often.select(F.col("node").alias(end), F.col("large").alias(f"large_{end}")), often), end, "left")
         shared = F.col("shared") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
-        needed = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+        needed = share * (F.col("size_a") + F.col("size_b")) - 1e-6
         return pairs.filter((shared > 0) & (shared + F.greatest(behind("size_a"), behind("size_b")) >= needed)).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -310,31 +326,37 @@ def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, simi
 
     def of_large(pairs: DataFrame) -> DataFrame:
         """Those of the large buckets' pairs (a, b, size_a, size_b) that may be similar; a < b."""
-        known = counted.select("a", "b", "shared")
-        pairs = pairs.filter(fits).distinct().join(known, ["a", "b"], "left")
+        pairs = pairs.distinct().join(counted.select("a", "b", "shared"), ["a", "b"], "left")
         return may(pairs.withColumn("shared", F.coalesce("shared", F.lit(0))))
 
-    first = may(counted)
-    if n_often:
-        leaders = members.join(sized(often), "node").groupBy("key").agg(F.max(F.struct("large", "size", "node")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"))
-        led = materialise(members.join(leaders, "key"), "led")
-        low = F.col("node") < F.col("leader")
+    def ordered(pairs: DataFrame) -> DataFrame:
+        low = F.col("a") < F.col("b")
         either = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
-        pairs = led.filter("node <> leader").select(either("node", "leader").alias("a"), either("leader", "node").alias("b"), either("size", "leader_size").alias("size_a"), either("leader_size", "size").alias("size_b"))
-        first = first.unionByName(of_large(pairs)).distinct()
+        return pairs.select(either("a", "b").alias("a"), either("b", "a").alias("b"), either("size_a", "size_b").alias("size_a"), either("size_b", "size_a").alias("size_b"))
+
+    first = may(counted)
+    if some_large:
+        leaders = members.join(sized(often), "node").groupBy("key").agg(F.max(F.struct("large", "size", "node", "at")).alias("l"))
+        leaders = materialise(leaders.select("key", F.col("l.node").alias("b"), F.col("l.size").alias("size_b"), F.col("l.at").alias("at_b")), "leaders")
+        led = lookup(members.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a")), leaders, ["key"])
+        first = first.unionByName(of_large(ordered(led.filter((F.col("a") != F.col("b")) & fits & first_common)))).distinct()
     links = verified(materialise(first, "first"))
-    if not n_often:
+    if not some_large:
         return links
     found = components(links)
-    labelled = led.join(sized(found), "node", "left").withColumn("label", F.coalesce("component", "node"))
-    labelled = materialise(labelled.select("key", "node", "size", "leader", "label"), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
-    rest = materialise(labelled.filter("node <> leader").join(mixed, "key", "left_semi"), "rest")
-    one = rest.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    across = one.join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
-    second = materialise(of_large(across.select("a", "b", "size_a", "size_b")), "second")
-    return links.unionByName(verified(second)) if second.head(1) else links
+    labelled = members.join(sized(found, found), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    labelled = materialise(labelled.select("key", "node", "size", "at", "label"), "labelled")
+    held = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = held.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    mixed = materialise(mixed.select("key", F.col("most.label").alias("most")), "mixed")
+    rest = lookup(labelled, mixed, ["key"]).filter("most IS NOT NULL")
+    side = lambda e: [F.col("node").alias(e), F.col("size").alias(f"size_{e}"), F.col("at").alias(f"at_{e}"), F.col("label").alias(f"label_{e}")]
+    one = rest.filter("label <> most").select("key", *side("a"))
+    across = one.join(rest.select("key", "most", *side("b")), "key")
+    # a pair outside the largest component is met from both its ends, of which one is enough
+    across = across.filter((F.col("label_a") != F.col("label_b")) & fits & first_common & ((F.col("label_b") == F.col("most")) | (F.col("a") < F.col("b"))))
+    second = materialise(of_large(ordered(across)), "second")
+    return links.unionByName(verified(second)) if weight(second)[0] else links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -348,11 +370,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.filter(F.col("doc_id").isNotNull() & text.rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     common, often = map(rows.sparkSession.sparkContext.broadcast, _common(rows, words))
-    made = materialise(rows.mapInArrow(_prefixes(words, similarity, common, often), "doc_id long, node long, size long, prefix array<long>"), "prefixes")
+    made = materialise(rows.mapInArrow(_prefixes(words, similarity, common, often), "doc_id long, node long, size long, prefix array<long>, plain long"), "prefixes", entries=F.sum(F.size("prefix")))
     # equal sets are one node, so copies are never compared with each other
     nodes = materialise(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "nodes")
-    expected = made.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    chosen = made.join(sized(nodes.select("node", F.col("least").alias("doc_id"))), ["node", "doc_id"], "left_semi")
+    expected = measured(made, "entries") or 0
+    chosen = made.join(sized(nodes.select("node", F.col("least").alias("doc_id")), nodes), ["node", "doc_id"], "left_semi")
     links = set_links(chosen, rows, expected, words, similarity)
     found = components(links)
     rooted = nodes.join(sized(found), "node", "left").withColumn("root", F.coalesce("component", "node"))

@@ -122,7 +122,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     base = urls.select("page_id", "url", tokens_of(F.col("url")).alias("tokens"))
     # one row more for each page, so that it stays if it finds nothing; rows that repeat a page are counted
     probed = base.select("*", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"))
-    found = probed.join(sized(index), "token", "left").filter((F.col("token") == "") | (F.size(F.array_except("rule_tokens", "tokens")) == 0))
+    found = probed.join(sized(index, mined), "token", "left").filter((F.col("token") == "") | (F.size(F.array_except("rule_tokens", "tokens")) == 0))
     best = F.max(F.when(F.col("rule_tokens").isNotNull(), F.struct("confidence", F.col("rule_tokens")))).alias("best")
     judged = found.groupBy("page_id", "url").agg(F.count(F.when(F.col("token") == "", 1)).alias("copies"), best)
     judged = repeated_rows(judged, "copies").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "best")
