@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Measured bytes up to which a table may be broadcast, rows counting ROW_BYTES each beside their values.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 24
+#: Bytes meant for a task of a result that is bounded by a measured table.
+SMALL_TASK_BYTES = 8 << 20
 #: A key is hot if it has more than this share of all rows, so at most 1,000 keys are.
 HOT_SHARE = 0.001
 
@@ -54,16 +56,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[key]
 
 
-def materialise(df: DataFrame, name: str, **measures: Column) -> DataFrame:
+def materialise(df: DataFrame, name: str, within: DataFrame | None = None, **measures: Column) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again.
 
     Cuts the lineage, gives the optimizer true sizes and lets a lost executor's
     work be read again from the folder rather than be computed again. Rows, bytes
-    and further aggregates are measured while it is written. It is an eager job, so
+    and further aggregates are measured while it is written. within: a table whose
+    measured bytes bound df's, so that a small result is not cut into many tasks
+    and files, however many partitions Spark shuffles to. It is an eager job, so
     operators that use it run part of their work while the query is built. The
     folder goes when it is discarded, or when the driver's JVM ends.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if within is not None:
+        df = df.coalesce(max(1, math.ceil(weight(within)[1] / SMALL_TASK_BYTES)))
     seen = Observation()
     columns = [c.alias(k) for k, c in measures.items()]
     df.observe(seen, F.count(F.lit(1)).alias("_rows"), F.sum(_row_bytes(df)).alias("_bytes"), *columns).write.option("compression", "zstd").parquet(path)

@@ -20,17 +20,17 @@ def components(links: DataFrame) -> DataFrame:
     Self-links and repeated links do no harm; no links, no rows.
     """
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = materialise(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    both = materialise(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links", links)
     mark = F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))
-    labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels", mark=mark)
+    labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels", both, mark=mark)
     while True:
         near = both.join(sized(labels.withColumnRenamed("node", "v"), labels), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         seen = labels.join(near, "node")
         handed = seen.select("node", F.least("label", "near").alias("label")).unionByName(seen.select(F.col("label").alias("node"), F.col("near").alias("label")))
-        hooked = materialise(handed.groupBy("node").agg(F.min("label").alias("label")), "hooked")
+        hooked = materialise(handed.groupBy("node").agg(F.min("label").alias("label")), "hooked", both)
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
         before = labels
-        labels = materialise(lookup(hooked, up, ["label"], hooked).select("node", F.least("label", "above").alias("label")), "labels", mark=mark)
+        labels = materialise(lookup(hooked, up, ["label"], hooked).select("node", F.least("label", "above").alias("label")), "labels", both, mark=mark)
         same = measured(before, "mark") == measured(labels, "mark")
         discard(before, hooked)
         if same:

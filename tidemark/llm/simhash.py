@@ -300,7 +300,7 @@ def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, simi
     met = materialise(_shuffled(emitted, expected).mapInArrow(_met(similarity), _MET), "met")
     found = met.filter("b IS NULL").select("key", F.col("a").alias("node"), F.col("size_a").alias("size"), F.col("at_a").alias("at"))
     members = materialise(found.unionByName(placed.filter("at >= plain").select("key", "node", "size", F.col("at").cast("long").alias("at"))), "members")
-    often = materialise(members.groupBy("node").agg(F.count(F.lit(1)).alias("large")), "often")
+    often = materialise(members.groupBy("node").agg(F.count(F.lit(1)).alias("large")), "often", members)
     some_large = bool(weight(often)[0])
     counted = met.filter("b IS NOT NULL").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.count(F.lit(1)).alias("shared"))
     counted = materialise(counted, "counted")
@@ -318,8 +318,8 @@ def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, simi
         return pairs.filter((shared > 0) & (shared + F.greatest(behind("size_a"), behind("size_b")) >= needed)).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-        ids = materialise(nodes.select("doc_id", "node").join(sized(ends), "node", "left_semi").select("doc_id").distinct(), "ids")
+        ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends", pairs)
+        ids = materialise(nodes.select("doc_id", "node").join(sized(ends), "node", "left_semi").select("doc_id").distinct(), "ids", ends)
         own = rows.join(sized(ids), "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles array<long>")
         sets = materialise(own.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
         return materialise(_similar(pairs, sets, similarity), "pairs")
@@ -337,7 +337,7 @@ def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, simi
     first = may(counted)
     if some_large:
         leaders = members.join(sized(often), "node").groupBy("key").agg(F.max(F.struct("large", "size", "node", "at")).alias("l"))
-        leaders = materialise(leaders.select("key", F.col("l.node").alias("b"), F.col("l.size").alias("size_b"), F.col("l.at").alias("at_b")), "leaders")
+        leaders = materialise(leaders.select("key", F.col("l.node").alias("b"), F.col("l.size").alias("size_b"), F.col("l.at").alias("at_b")), "leaders", members)
         led = lookup(members.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a")), leaders, ["key"])
         first = first.unionByName(of_large(ordered(led.filter((F.col("a") != F.col("b")) & fits & first_common)))).distinct()
     links = verified(materialise(first, "first"))
@@ -345,10 +345,10 @@ def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, simi
         return links
     found = components(links)
     labelled = members.join(sized(found, found), "node", "left").withColumn("label", F.coalesce("component", "node"))
-    labelled = materialise(labelled.select("key", "node", "size", "at", "label"), "labelled")
+    labelled = materialise(labelled.select("key", "node", "size", "at", "label"), "labelled", members)
     held = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = held.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    mixed = materialise(mixed.select("key", F.col("most.label").alias("most")), "mixed")
+    mixed = materialise(mixed.select("key", F.col("most.label").alias("most")), "mixed", labelled)
     rest = lookup(labelled, mixed, ["key"]).filter("most IS NOT NULL")
     side = lambda e: [F.col("node").alias(e), F.col("size").alias(f"size_{e}"), F.col("at").alias(f"at_{e}"), F.col("label").alias(f"label_{e}")]
     one = rest.filter("label <> most").select("key", *side("a"))
@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     rooted = nodes.join(sized(found), "node", "left").withColumn("root", F.coalesce("component", "node"))
     rooted = materialise(rooted.select("node", "least", "root", (F.col("component").isNotNull() | (F.col("least") < F.col("most"))).alias("linked")), "rooted")
     roots = rooted.filter("linked").groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialise(rooted.filter("linked").join(roots, "root").select("node", "component_id"), "classes")
+    classes = materialise(rooted.filter("linked").join(roots, "root").select("node", "component_id"), "classes", rooted)
     joined = lookup(made.select("doc_id", "node"), classes, ["node"])
     return joined.filter(F.col("component_id").isNotNull()).select("doc_id", "component_id").distinct()
 
