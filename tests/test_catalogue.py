@@ -45,6 +45,6 @@ def test_equals_sql(spark, duck, name):
     assert len(got) > 0 and got == want
 
 
-@pytest.mark.parametrize("name", ["arma_nowcast", "mc_grid", "quantile_tails", "skewed_t", "dfm_nowcast"])
+@pytest.mark.parametrize("name", ["arma_nowcast", "mc_grid", "quantile_tails", "dfm_nowcast"])
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

@@ -64,9 +64,21 @@ def test_facts_append_read_and_resume(spark, tmp_path):
         facts.read_facts(spark, str(csv), ["1999-01_1999-12"])
     work = spark.createDataFrame([("2008-04-15", "2008Q1", "mean"), ("2008-04-15", "2008Q1", "random_walk")], "as_of string, target_quarter string, method string").withColumn("as_of", F.col("as_of").cast("date"))
     assert [r.method for r in facts.pending(work, rows).collect()] == ["random_walk"]
-    facts.append_facts(rows, str(tmp_path / "out"))
-    facts.append_facts(rows, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    for batch, level in ((1, 1.0), (2, 3.0), (2, 3.0)):
+        facts.append_facts(rows.withColumn("nowcast_level", F.lit(level)), str(tmp_path / "out"), batch)
+    stored = facts.read_stored(spark, str(tmp_path / "out")).collect()
+    assert [r.nowcast_level for r in stored] == [3.0]
+    assert facts.newest_file(spark, str(csv)) == csv.name
+
+
+def test_vintage_lacks_a_series(spark):
+    reg = registry.default_registry(spark)
+    values = spark.createDataFrame([(200101, "order_count", "2000-12-31", 5.0)], "vintage_ym int, series string, date string, value double").withColumn("date", F.col("date").cast("date"))
+    codes = spark.createDataFrame([], "vintage_ym int, series string, code int")
+    aliases = spark.createDataFrame([], "series string, source string, after_ym int, until_ym int")
+    with pytest.raises(ValueError, match="lacks"):
+        vintages.load_vintages(values, codes, aliases, reg)
+    assert vintages.load_vintages(values, codes, aliases, reg, allow_missing=True).filter("value IS NOT NULL").count() == 0
 
 
 def test_results_round_trip(spark, tmp_path):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 CODES = (1, 2, 3, 4, 5, 6, 7)
 #: Weights with which five months' factors make a quarter's growth rate.
 QUARTER_WEIGHTS = (1 / 3, 2 / 3, 1.0, 2 / 3, 1 / 3)
+#: Coefficients of the error function's approximation (fixed values).
+NORMAL_P, NORMAL_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 
 def stationary(value: Column, code: Column, window) -> Column:
@@ -61,3 +65,18 @@ def quarter_fill(quarters: DataFrame, keys: list[str], date: str = "date", value
     step = lambda a, x: F.when(a.isNull(), x / 3).otherwise((x - a) / 2)
     made = observed.withColumn("monthly", F.aggregate(so_far, F.lit(None).cast("double"), step))
     return quarters.join(made.select(*keys, date, "monthly"), [*keys, date], "left")
+
+
+def destandardised(z: Column, mean: Column, std: Column) -> Column:
+    """The value that standardise turned into z."""
+    return z * std + mean
+
+
+def normal_cdf(x: Column) -> Column:
+    """The standard normal's distribution function by Abramowitz and Stegun 7.1.26, within 1e-7."""
+    t = 1 / (1 + NORMAL_P * F.abs(x) / math.sqrt(2))
+    tail = F.lit(0.0)
+    for a in reversed(NORMAL_A):
+        tail = (tail + a) * t
+    half = 0.5 * tail * F.exp(-x * x / 2)
+    return F.when(x >= 0, 1 - half).otherwise(half)

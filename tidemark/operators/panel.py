@@ -111,3 +111,20 @@ def largest_revision(first: DataFrame, second: DataFrame) -> DataFrame:
     """(series, n, largest): over the dates that both have, the largest absolute difference."""
     other = second.select("series", "date", F.col("value").alias("other"))
     return first.join(other, ["series", "date"]).groupBy("series").agg(F.count("other").alias("n"), F.max(F.abs(F.col("value") - F.col("other"))).alias("largest"))
+
+
+def metadata(panel: DataFrame) -> DataFrame:
+    """(series, block, freq, lag, months, n, missing_share, first_date, last_date) of a dense panel; the dates are those with a value."""
+    known = F.when(F.col("value").isNotNull(), F.col("date"))
+    return panel.groupBy("series", "block", "freq", "lag").agg(
+        F.count(F.lit(1)).alias("months"), F.count("value").alias("n"), (1 - F.count("value") / F.count(F.lit(1))).alias("missing_share"), F.min(known).alias("first_date"), F.max(known).alias("last_date")
+    )
+
+
+def missing_pattern(registry: DataFrame, dates: DataFrame, on_time: list[str]) -> DataFrame:
+    """(series, date, missing): quarterly series are missing off the last months of quarters; others, but those on time, at their lag's last months."""
+    last = dates.agg(F.max("date").alias("last"))
+    grid = registry.select(F.col("name").alias("series"), "freq", "lag").join(F.broadcast(last)).join(F.broadcast(dates))
+    tail = ~F.col("series").isin(*on_time) & (F.col("date") > F.last_day(F.add_months("last", -F.col("lag"))))
+    off = (F.col("freq") == "quarterly") & ~F.month("date").isin(3, 6, 9, 12)
+    return grid.select("series", "date", (tail | off).alias("missing"))

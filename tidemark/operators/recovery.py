@@ -109,3 +109,27 @@ def check_loss(rows: DataFrame) -> DataFrame:
 def pit_verdict(pit):
     """inside, edge or outside of a predictive density."""
     return F.when(pit.between(0.005, 0.5), "inside").when(pit > 1e-4, "edge").otherwise("outside")
+
+
+def advantage(summary: DataFrame, reference: str) -> DataFrame:
+    """(metric, scenario, mean, advantage, gap): how far the reference's mean is above a scenario's, and the scenario's relative distance from it."""
+    base = summary.filter(F.col("scenario") == reference).select("metric", F.col("mean").alias("base"))
+    joined = summary.join(F.broadcast(base), "metric")  # a row for each metric
+    return joined.select("metric", "scenario", "mean", (F.col("base") - F.col("mean")).alias("advantage"), (F.col("mean") / F.nullif(F.col("base"), F.lit(0.0)) - 1).alias("gap"))
+
+
+def side_by_side(summary: DataFrame, scenarios: list[str], measure: str = "mean") -> DataFrame:
+    """One row for each metric, with a column for each named scenario."""
+    return summary.groupBy("metric").pivot("scenario", scenarios).agg(F.first(measure))
+
+
+def least_squares_two(rows: DataFrame, y: str, x1: str, x2: str) -> DataFrame:
+    """(n, slope_1, slope_2, intercept, r2) of y on two predictors, from sums that are combined before they meet; null if they are collinear."""
+    used = rows.filter(" AND ".join(f"{c} IS NOT NULL" for c in (y, x1, x2)))
+    c = lambda a, b: F.covar_pop(a, b)
+    s = used.agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate((y, x1, x2))], c(x1, x1).alias("s11"), c(x2, x2).alias("s22"), c(x1, x2).alias("s12"), c(x1, y).alias("s1y"), c(x2, y).alias("s2y"), c(y, y).alias("syy"))
+    det = F.nullif(F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12"), F.lit(0.0))
+    s = s.withColumn("slope_1", (F.col("s22") * F.col("s1y") - F.col("s12") * F.col("s2y")) / det).withColumn("slope_2", (F.col("s11") * F.col("s2y") - F.col("s12") * F.col("s1y")) / det)
+    intercept = F.col("m0") - F.col("slope_1") * F.col("m1") - F.col("slope_2") * F.col("m2")
+    r2 = (F.col("slope_1") * F.col("s1y") + F.col("slope_2") * F.col("s2y")) / F.nullif(F.col("syy"), F.lit(0.0))
+    return s.select("n", "slope_1", "slope_2", intercept.alias("intercept"), r2.alias("r2"))

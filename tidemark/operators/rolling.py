@@ -86,3 +86,22 @@ def benchmark_facts(calendar: DataFrame, target: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("n_iter"),
         F.lit(True).alias("converged"),
     )
+
+
+def ledger(work: DataFrame, vintages: DataFrame, results: DataFrame) -> DataFrame:
+    """What a backtest writes: (as_of, target_quarter, horizon, method, nowcast_level, n_iter, converged) for each row of work.
+
+    Months without a vintage (vintage_ym of the as_of's month) are skipped. Work
+    without a result, or whose result has no level, has failed: n_iter is -1,
+    converged false and the level null.
+    """
+    key = ["as_of", "target_quarter", "method"]
+    ym = (F.year("as_of") * 100 + F.month("as_of")).alias("vintage_ym")
+    able = work.select("*", ym).join(vintages.select("vintage_ym").distinct(), "vintage_ym", "left_semi")
+    done = results.filter(F.col("nowcast_level").isNotNull()).select(*key, "nowcast_level", "n_iter", "converged")
+    failed = F.col("nowcast_level").isNull()
+    return able.join(done, key, "left").select(
+        "as_of", "target_quarter", "horizon", "method", "nowcast_level",
+        F.when(failed, F.lit(-1.0)).otherwise(F.col("n_iter")).alias("n_iter"),
+        F.when(failed, F.lit(False)).otherwise(F.col("converged")).alias("converged"),
+    )

@@ -1,4 +1,4 @@
-"""Tail risk of grouped samples: quantile regression, skewed t fits and simulated densities."""
+"""Tail risk of grouped samples: quantile regression and simulated densities."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.special import t_cdf, t_pdf
 
 TAUS = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 
@@ -54,64 +53,6 @@ def tail_summary(betas: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("steepening", F.col("b05") - F.col("b50"))
 
 
-def skewed_t_pdf(x, centre: float, scale: float, skew: float, nu: float):
-    z = (np.asarray(x, dtype=float) - centre) / scale
-    return 2 / scale * t_pdf(z, nu) * t_cdf(skew * z * np.sqrt((nu + 1) / (z * z + nu)), nu + 1)
-
-
-def skewed_t_quantiles(taus, centre, scale, skew, nu) -> np.ndarray:
-    """By the density's running sum over a grid, turned over by interpolation."""
-    grid = np.linspace(centre - 30 * scale, centre + 30 * scale, 6001)
-    total = np.cumsum(skewed_t_pdf(grid, centre, scale, skew, nu))
-    return np.interp(taus, total / total[-1], grid)
-
-
-def nelder_mead(f, start: np.ndarray, rounds: int = 300, tol: float = 1e-8) -> np.ndarray:
-    """The simplex minimiser."""
-    points = [start] + [start + np.eye(len(start))[i] * 0.5 for i in range(len(start))]
-    values = [f(p) for p in points]
-    for _ in range(rounds):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] < tol:
-            break
-        centre = np.mean(points[:-1], axis=0)
-        tried = lambda c: (centre + c * (points[-1] - centre),)[0]  # noqa: B023, E731
-        mirror = tried(-1.0)
-        v = f(mirror)
-        if v < values[0]:
-            far = tried(-2.0)
-            w = f(far)
-            points[-1], values[-1] = (far, w) if w < v else (mirror, v)
-        elif v < values[-2]:
-            points[-1], values[-1] = mirror, v
-        else:
-            near = tried(-0.5 if v < values[-1] else 0.5)
-            w = f(near)
-            if w < min(v, values[-1]):
-                points[-1], values[-1] = near, w
-            else:
-                points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
-                values = [values[0]] + [f(p) for p in points[1:]]
-    return points[int(np.argmin(values))]
-
-
-def skewed_t_fits(quantiles: DataFrame) -> DataFrame:
-    """(key, centre, scale, skew, nu, loss): the skewed t whose quantiles are nearest those of (key, tau, q)."""
-
-    def run(key, frame):
-        taus, q = frame["tau"].to_numpy(), frame["q"].to_numpy()
-        order = np.argsort(taus)
-        taus, q = taus[order], np.sort(q)
-        spread = max(q[-1] - q[0], 1e-6)
-        unpack = lambda p: (p[0], np.exp(np.clip(p[1], -20, 20)), p[2], 2.05 + 47.95 / (1 + np.exp(-np.clip(p[3], -30, 30))))
-        loss = lambda p: float(((skewed_t_quantiles(taus, *unpack(p)) - q) ** 2).sum())
-        best = nelder_mead(loss, np.array([np.median(q), np.log(spread / 3), 0.0, 0.0]), 120)
-        return pd.DataFrame([(key[0], *unpack(best), loss(best))], columns=["key", "centre", "scale", "skew", "nu", "loss"])
-
-    return quantiles.select("key", "tau", "q").groupBy("key").applyInPandas(run, "key string, centre double, scale double, skew double, nu double, loss double")
-
-
 def density_draws(spark: SparkSession, parameters: DataFrame, draws: int, batches: int = 8, seed: int = 1) -> DataFrame:
     """(key, draw) of a scale-mixture density: mean + sd * normal / sqrt(gamma weight), for each key of (key, mean, sd, nu).
 

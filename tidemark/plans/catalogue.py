@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, models, moment_queries, panels, scores
+from . import events, models, moment_queries, panels, records, scores
 from .base import rounded
 
-_PARTS = (panels, scores, moment_queries, events, models)
+_PARTS = (panels, scores, moment_queries, records, events, models)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

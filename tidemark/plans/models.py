@@ -59,13 +59,6 @@ def quantile_tails(spark: SparkSession, sf: str):
     return tails.tail_summary(tails.quantile_regressions(rows, ["financial", "other"]), "financial")
 
 
-def skewed_t(spark: SparkSession, sf: str):
-    z = base.standardised(spark, sf).filter("freq = 'monthly' AND z IS NOT NULL")
-    q = z.groupBy(F.col("series").alias("key")).agg(*[F.percentile("z", F.lit(t)).alias(str(i)) for i, t in enumerate(tails.TAUS)])
-    long = q.select("key", F.explode(F.array(*[F.struct(F.lit(t).alias("tau"), F.col(str(i)).alias("q")) for i, t in enumerate(tails.TAUS)])).alias("x")).select("key", "x.tau", "x.q")
-    return tails.skewed_t_fits(long)
-
-
 def density_simulated(spark: SparkSession, sf: str):
     target = quarterly_target(spark, sf)
     parameters = target.groupBy(F.year("date").cast("string").alias("key")).agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(1.0)).alias("sd")).withColumn("nu", F.lit(5.0))
@@ -79,7 +72,7 @@ def scalar_kalman(spark: SparkSession, sf: str):
 
 
 
-QUERIES = {f.__name__: f for f in (dfm_fit, dfm_nowcast, arma_nowcast, mc_grid, quantile_tails, skewed_t, density_simulated, scalar_kalman)}
+QUERIES = {f.__name__: f for f in (dfm_fit, dfm_nowcast, arma_nowcast, mc_grid, quantile_tails, density_simulated, scalar_kalman)}
 
 SQL = {
     "scalar_kalman": sql(

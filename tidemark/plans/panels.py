@@ -146,7 +146,7 @@ def publication_lag_cutoff(spark: SparkSession, sf: str):
 
 
 def point_in_time_panel(spark: SparkSession, sf: str):
-    as_ofs = rolling.as_of_dates(spark, "1997-01", "1998-12")
+    as_ofs = rolling.as_of_dates(spark, START, END)
     known = P.known_on(base.panel(spark, sf), as_ofs)
     return known.groupBy("as_of", "series").agg(F.count("value").alias("n"), F.max("date").alias("last_date"), F.max_by("value", "date").alias("last_value"))
 
@@ -191,7 +191,7 @@ def missing_profile(spark: SparkSession, sf: str):
 
 
 def describe_series(spark: SparkSession, sf: str):
-    return profile.describe(base.panel(spark, sf).filter("series <> 'shipped_qty'"))
+    return profile.describe(base.panel(spark, sf))
 
 
 def corr_matrix(spark: SparkSession, sf: str):
@@ -288,7 +288,7 @@ SQL = {
         "panel",
         f"""SELECT as_of, series, count(*) AS n, max(date) AS last_date, {r('arg_max(value, date)', 'last_value')} FROM panel JOIN dates15 ON CASE WHEN freq = 'quarterly' THEN last_day(CAST(date + to_months(CAST(lag AS INTEGER)) AS DATE)) <= as_of
             ELSE date <= last_day(CAST(make_date(year(as_of), month(as_of), 1) - to_months(CAST(1 + lag AS INTEGER)) AS DATE)) END WHERE value IS NOT NULL GROUP BY ALL""",
-        "dates15 AS (SELECT CAST(m AS DATE) + 14 AS as_of FROM (SELECT unnest(generate_series(DATE '1997-01-01', DATE '1998-12-01', INTERVAL 1 MONTH)) AS m))",
+        f"dates15 AS (SELECT CAST(m AS DATE) + 14 AS as_of FROM (SELECT unnest(generate_series(DATE '{START}-01', DATE '{END}-01', INTERVAL 1 MONTH)) AS m))",
     ),
     "inflight_targets": sql("calendar", "SELECT as_of, last_quarter, target_end FROM flight"),
     "horizon_months": sql("calendar", "SELECT * FROM cal"),
@@ -320,7 +320,7 @@ SQL = {
         "panel",
         f"""SELECT series, count(value) AS n, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'std')}, {r('min(value)', 'min')}, {r('quantile_cont(value, 0.25)', 'p25')}, {r('quantile_cont(value, 0.5)', 'median')},
             {r('quantile_cont(value, 0.75)', 'p75')}, {r('max(value)', 'max')}, {r('avg((value - m) ** 3) / avg((value - m) ** 2) ** 1.5', 'skew')}, {r('kurtosis_pop(value)', 'exkurt')}
-            FROM (SELECT *, avg(value) OVER (PARTITION BY series) AS m FROM panel) WHERE series <> 'shipped_qty' GROUP BY series""",
+            FROM (SELECT *, avg(value) OVER (PARTITION BY series) AS m FROM panel) GROUP BY series""",
     ),
     "corr_matrix": sql("panel", f"SELECT a, b, count(*) AS n, {r('corr(x, y)', 'corr')} FROM pairs GROUP BY ALL", _PAIRS),
     "gram_matrix": sql(

@@ -22,9 +22,9 @@ def read_facts(spark: SparkSession, path: str, periods: list[str] | None = None)
 
 
 def newest_file(spark: SparkSession, path: str) -> str:
-    """The name of the file under path that was modified last."""
-    files = spark.read.text(path, wholetext=True).select("_metadata.file_name", "_metadata.file_modification_time").distinct()
-    return files.orderBy(F.desc("file_modification_time"), F.desc("file_name")).first()["file_name"]
+    """The name of the file under path that was modified last, from the listing alone."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "modificationTime")
+    return files.orderBy(F.desc("modificationTime"), F.desc("name")).first()["name"]
 
 
 def pending(work: DataFrame, done: DataFrame) -> DataFrame:
@@ -32,6 +32,18 @@ def pending(work: DataFrame, done: DataFrame) -> DataFrame:
     return work.join(done.select(*KEY).distinct(), KEY, "left_anti")
 
 
-def append_facts(facts: DataFrame, path: str) -> None:
-    """Appends a batch; a batch is committed whole or not at all."""
-    facts.write.mode("append").partitionBy("method").parquet(path)
+def append_facts(facts: DataFrame, path: str, batch: int) -> None:
+    """Appends a batch, whole or not at all; read_stored lets the latest batch of a key win, so writing one twice does no harm."""
+    facts.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").partitionBy("method").parquet(path)
+
+
+def latest(stored: DataFrame) -> DataFrame:
+    """One row for each key, that of the greatest batch, without `batch`; equal rows of one batch count once."""
+    others = [c for c in stored.columns if c not in (*KEY, "batch")]
+    won = stored.groupBy(*KEY).agg(F.max_by(F.struct(*others), "batch").alias("won"))
+    return won.select(*KEY, *[F.col(f"won.{c}").alias(c) for c in others])
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The facts under path, each key once."""
+    return latest(spark.read.parquet(path))

@@ -6,9 +6,11 @@ number for each series. The month of publication is in the file's name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.transforms import stationary
+
 #: File names: YYYY-MM.csv, PREFIX-MD_YYYYmMM.csv, YYYY-MM-MD.csv; earlier vintages than this aren't usable.
 NAME_PATTERNS = (r"(?i)^(\d{4})-(\d{1,2})\.csv$", r"(?i)^[A-Z]+-MD_(\d{4})m(\d{1,2})\.csv$", r"(?i)^(\d{4})-(\d{1,2})-MD\.csv$")
 FIRST_USABLE = 200008
@@ -68,3 +70,37 @@ def with_canonical_names(values: DataFrame, aliases: DataFrame) -> DataFrame:
     # a name that an alias knows counts in its months alone; other names are canonical
     kept = joined.filter(F.col("_to").isNull() | F.col("_in"))
     return kept.withColumn("series", F.coalesce("_to", "series")).drop("_to", "_in", "after_ym", "until_ym")
+
+
+def vintage_index(files: DataFrame) -> DataFrame:
+    """(vintage_ym, folder, name) from (folder, place, name): of one month's files that of the folder with the greatest place."""
+    months = files.withColumn("vintage_ym", vintage_month(F.col("name"))).filter(F.col("vintage_ym").isNotNull())
+    best = months.groupBy("vintage_ym").agg(F.max(F.struct("place", "folder", "name")).alias("f"))
+    return best.select("vintage_ym", "f.folder", "f.name")
+
+
+def load_vintages(values: DataFrame, codes: DataFrame, aliases: DataFrame, registry: DataFrame, late: DataFrame | None = None, allow_missing: bool = False) -> DataFrame:
+    """(vintage_ym, series, date, value): each vintage's dense panel under the codes of its own file.
+
+    Names are made canonical first. A file without a code for a series uses the
+    registry's. A registry series that a vintage lacks raises, unless allowed: it
+    is null then. late (series, months): series that are known to come late lose so
+    many months at a vintage's end.
+    """
+    own = with_canonical_names(values, aliases)
+    wanted = registry.filter("source = 'table'").select(F.col("name").alias("series"), "transform")
+    span = own.groupBy("vintage_ym").agg(F.trunc(F.min("date"), "month").alias("first"), F.max("date").alias("last"))
+    grid = span.join(F.broadcast(wanted))
+    if not allow_missing:
+        absent = grid.join(own.select("vintage_ym", "series").distinct(), ["vintage_ym", "series"], "left_anti").first()
+        if absent:
+            raise ValueError(f"vintage {absent['vintage_ym']} lacks {absent['series']}")
+    coded = grid.join(with_canonical_names(codes, aliases).select("vintage_ym", "series", "code"), ["vintage_ym", "series"], "left")
+    days = coded.select("*", F.explode(F.expr("sequence(first, last, interval 1 month)")).alias("day")).withColumn("date", F.last_day("day"))
+    dense = days.join(own.select("vintage_ym", "series", "date", "value"), ["vintage_ym", "series", "date"], "left")
+    window = Window.partitionBy("vintage_ym", "series").orderBy("date")
+    made = dense.withColumn("value", stationary(F.col("value"), F.coalesce("code", "transform"), window))
+    if late is not None:
+        cut = made.join(F.broadcast(late), "series", "left").withColumn("until", F.last_day(F.add_months("last", -F.coalesce("months", F.lit(0)))))
+        made = cut.withColumn("value", F.when(F.col("date") <= F.col("until"), F.col("value")))
+    return made.select("vintage_ym", "series", "date", "value")
