@@ -281,8 +281,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.filter(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b")
 
 
-def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) with the components of all pairs of nodes (doc_id, node, size, prefix, plain) that similar; rows have the texts (doc_id, text).
+def set_components(nodes: DataFrame, rows: DataFrame, expected: int, words: int, similarity: float) -> DataFrame:
+    """(node, component) by all pairs of nodes (doc_id, node, size, prefix, plain) that similar; rows have the texts (doc_id, text).
 
     Nodes that share a shingle of their prefixes meet in its bucket. Small buckets
     give all their pairs. A large bucket's leader, the one in most large buckets, is
@@ -341,9 +341,9 @@ def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, simi
         led = lookup(members.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a")), leaders, ["key"])
         first = first.unionByName(of_large(ordered(led.filter((F.col("a") != F.col("b")) & fits & first_common)))).distinct()
     links = verified(materialise(first, "first"))
-    if not some_large:
-        return links
     found = components(links)
+    if not some_large:
+        return found
     labelled = members.join(sized(found, found), "node", "left").withColumn("label", F.coalesce("component", "node"))
     labelled = materialise(labelled.select("key", "node", "size", "at", "label"), "labelled", members)
     held = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -356,7 +356,8 @@ def set_links(nodes: DataFrame, rows: DataFrame, expected: int, words: int, simi
     # a pair outside the largest component is met from both its ends, of which one is enough
     across = across.filter((F.col("label_a") != F.col("label_b")) & fits & first_common & ((F.col("label_b") == F.col("most")) | (F.col("a") < F.col("b"))))
     second = materialise(of_large(ordered(across)), "second")
-    return links.unionByName(verified(second)) if weight(second)[0] else links
+    more = verified(second) if weight(second)[0] else second
+    return components(links.unionByName(more)) if weight(more)[0] else found
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -375,8 +376,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     nodes = materialise(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "nodes")
     expected = measured(made, "entries") or 0
     chosen = made.join(sized(nodes.select("node", F.col("least").alias("doc_id")), nodes), ["node", "doc_id"], "left_semi")
-    links = set_links(chosen, rows, expected, words, similarity)
-    found = components(links)
+    found = set_components(chosen, rows, expected, words, similarity)
     rooted = nodes.join(sized(found), "node", "left").withColumn("root", F.coalesce("component", "node"))
     rooted = materialise(rooted.select("node", "least", "root", (F.col("component").isNotNull() | (F.col("least") < F.col("most"))).alias("linked")), "rooted")
     roots = rooted.filter("linked").groupBy("root").agg(F.min("least").alias("component_id"))
