@@ -276,7 +276,8 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have at least that Jaccard similarity."""
     for end in ("a", "b"):
-        pairs = pairs.join(sized(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), sets), end)
+        # the sets grow with the texts, so they are never broadcast: one plan at every size
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), end)
     common = F.size(F.array_intersect("set_a", "set_b"))
     return pairs.filter(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b")
 
