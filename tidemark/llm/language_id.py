@@ -162,16 +162,16 @@ def train(docs: DataFrame) -> Model:
     place, k = {x: i for i, x in enumerate(languages)}, len(languages)
     calibrating = F.pmod(F.xxhash64("key", F.lit(12)), F.lit(5)) == 0
 
-    def fit(frames):
-        frame = pd.concat([x for x in frames if len(x)] or [pd.DataFrame({"key": [], "lang": []})])
-        if len(frame):
-            frame = frame.sort_values(["key", "lang"]).assign(label=frame["lang"].map(place)).sample(frac=1, random_state=0)
-            yield pd.DataFrame({"rows": [len(frame)], "weights": [_fit_shard(frame, k).ravel()]})
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["key", "lang"]).assign(label=frame["lang"].map(place)).sample(frac=1, random_state=0)
+        return pd.DataFrame({"rows": [len(frame)], "weights": [_fit_shard(frame, k).tobytes()]})
 
-    fitted = made.filter(~calibrating).repartition(SHARDS, "key").mapInPandas(fit, "rows long, weights array<double>").collect()
+    # as many models as SHARDS, however many partitions Spark shuffles to
+    training = made.filter(~calibrating).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(13)), F.lit(SHARDS)))
+    fitted = training.groupBy("shard").applyInPandas(fit, "rows long, weights binary").collect()
     weights = np.zeros((BUCKETS + 1, k))
     if fitted:
-        rows_of, each = np.array([r["rows"] for r in fitted]), np.array([r["weights"] for r in fitted])
+        rows_of, each = np.array([r["rows"] for r in fitted]), np.array([np.frombuffer(r["weights"]) for r in fitted])
         weights = np.where((each != 0).sum(axis=0) * 2 >= len(each), rows_of @ each / rows_of.sum(), 0.0).reshape(BUCKETS + 1, k)
 
     def logits(frames):
