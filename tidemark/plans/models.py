@@ -13,14 +13,11 @@ from ..sources.levels import quarterly_target
 from . import base
 from .base import r, sql
 
-#: As-of dates and iterations of the registered fits, which show the job rather than its full length.
-AS_OFS, ITERATIONS = ("2000-01", "2000-06"), 25
-
 
 def _panels(spark: SparkSession, sf: str) -> DataFrame:
     """A panel for each as_of and target in flight: what was known, on a calendar that reaches to the target, standardised by itself."""
     target = quarterly_target(spark, sf)
-    work = rolling.rolling_calendar(target, rolling.as_of_dates(spark, *AS_OFS))
+    work = rolling.rolling_calendar(target, rolling.as_of_dates(spark, base.START, base.END))
     full = base.panel(spark, sf)
     known = P.known_on(full, work.select("as_of").distinct()).select("as_of", "series", "date", "value")
     months = full.select("series", "block", "freq", "ord", "date").join(F.broadcast(work), F.col("date") <= F.greatest(F.col("target_end"), F.last_day("as_of")))
@@ -30,12 +27,12 @@ def _panels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dfm_fit(spark: SparkSession, sf: str):
-    made = factor_model.fit_models(_panels(spark, sf), ("student_t",), ITERATIONS)
+    made = factor_model.fit_models(_panels(spark, sf), ("student_t",))
     return made.select("fit_id", F.explode(F.arrays_zip("series", "loading", "noise")).alias("x")).select("fit_id", "x.series", "x.loading", "x.noise")
 
 
 def dfm_nowcast(spark: SparkSession, sf: str):
-    return factor_model.nowcasts(_panels(spark, sf), ("student_t", "gaussian"), ITERATIONS)
+    return factor_model.nowcasts(_panels(spark, sf), ("student_t", "gaussian"))
 
 
 def arma_nowcast(spark: SparkSession, sf: str):
@@ -47,7 +44,7 @@ def arma_nowcast(spark: SparkSession, sf: str):
 
 
 def mc_grid(spark: SparkSession, sf: str):
-    done = montecarlo.replications(montecarlo.grid(spark, [60, 120], ["student_t", "gaussian"], [0.0, 0.05], 2), 15)
+    done = montecarlo.replications(montecarlo.grid(spark, [60, 120], ["student_t", "gaussian"], [0.0, 0.05], 2))
     truths = spark.createDataFrame([], "metric string, truth double")
     return recovery.replication_summary(montecarlo.long_metrics(done), truths)
 
