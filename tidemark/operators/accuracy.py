@@ -66,7 +66,7 @@ def extremes(facts: DataFrame, k: int = 4) -> DataFrame:
     """At the k quarters of largest absolute realised value (ties by name): each method's row at the quarter's largest horizon."""
     rows = scored(facts)
     top = rows.groupBy("target_quarter").agg(F.max(F.abs("realised")).alias("size")).orderBy(F.desc("size"), "target_quarter").limit(k)
-    own = rows.join(F.broadcast(top.select("target_quarter")), "target_quarter", "left_semi")
+    own = rows.join(top.select("target_quarter"), "target_quarter", "left_semi")
     deep = own.withColumn("r", F.rank().over(Window.partitionBy("target_quarter").orderBy(F.desc("horizon")))).filter("r = 1")
     return deep.select("target_quarter", "realised", "horizon", "method", "nowcast_level", "nowcast_z", "error")
 

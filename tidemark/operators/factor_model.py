@@ -220,6 +220,6 @@ def nowcasts(panels: DataFrame, estimators: tuple[str, ...], max_iter: int = 100
     scale = panels.filter("freq = 'quarterly'").groupBy("fit_id").agg(F.max("mean").alias("mean"), F.max("std").alias("std"))
     made = fit_models(panels, estimators, max_iter).select("fit_id", "estimator", "target_z", "n_iter", "converged")
     level = F.col("target_z") * F.col("std") + F.col("mean")
-    return made.join(F.broadcast(scale), "fit_id", "left").select(
+    return made.join(scale, "fit_id", "left").select(
         "fit_id", F.col("estimator").alias("method"), F.col("target_z").alias("nowcast_z"), level.alias("nowcast_level"), "n_iter", "converged"
     )

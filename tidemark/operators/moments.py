@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def observation_distances(rows: DataFrame, loadings: DataFrame) -> DataFrame:
     """(fit, date, m, d): observed series and their expected squared errors over noise. loadings: (fit, series, loading, noise)."""
-    joined = rows.filter("y IS NOT NULL").join(F.broadcast(loadings), ["fit", "series"])
+    joined = rows.filter("y IS NOT NULL").join(loadings, ["fit", "series"])
     error = F.col("y") - F.col("loading") * F.col("f")
     term = (error * error + F.col("loading") * F.col("loading") * F.col("v")) / F.col("noise")
     return joined.groupBy("fit", "date").agg(F.count(F.lit(1)).alias("m"), F.sum(term).alias("d"))
@@ -52,7 +52,8 @@ def transition_moments(factors: DataFrame) -> DataFrame:
     blocks = factors.groupBy("fit", "date").agg(F.map_from_entries(F.collect_list(F.struct("block", "f"))).alias("f"))
     before = F.lag("f").over(Window.partitionBy("fit").orderBy("date"))
     both = blocks.withColumn("g", before).filter("g IS NOT NULL")
-    rows = both.select("fit", "f", "g", F.explode(F.map_keys("f")).alias("row")).select("*", F.explode(F.map_keys("f")).alias("col"))
+    known = F.array_intersect(F.map_keys("f"), F.map_keys("g"))  # a block that starts later has no moments before
+    rows = both.select("fit", "f", "g", known.alias("known")).select("*", F.explode("known").alias("row")).select("*", F.explode("known").alias("col"))
     at = lambda m, k: F.element_at(F.col(m), F.col(k))
     return rows.groupBy("fit", "row", "col").agg(
         F.sum(at("f", "row") * at("f", "col")).alias("p11"), F.sum(at("f", "row") * at("g", "col")).alias("p10"), F.sum(at("g", "row") * at("g", "col")).alias("p00")
@@ -66,7 +67,7 @@ def degrees_condition(weights: DataFrame) -> DataFrame:
 
 def oriented(loadings: DataFrame, references: DataFrame) -> DataFrame:
     """loadings (fit, block, series, loading) with each block's sign turned so that its reference series (block, reference) is not negative."""
-    known = loadings.join(F.broadcast(references), "block")
+    known = loadings.join(references, "block")
     own = F.max(F.when(F.col("series") == F.col("reference"), F.col("loading"))).over(Window.partitionBy("fit", "block"))
     return known.withColumn("sign", F.when(own < 0, -1.0).otherwise(1.0)).withColumn("loading", F.col("loading") * F.col("sign")).drop("reference")
 

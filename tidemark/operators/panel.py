@@ -1,4 +1,9 @@
-"""Panels: spreads, dense calendars, quarter masks, point-in-time truncation."""
+"""Panels: spreads, dense calendars, quarter masks, point-in-time truncation.
+
+Joins on a key carry no hint: adaptive execution broadcasts a side by its measured
+size. Hints stand at joins without a key alone, on registries and calendars, which
+have a row for a series, a month or an as-of date.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ from ..functions.transforms import stationary
 def spreads(levels: DataFrame, registry: DataFrame) -> DataFrame:
     """(series, date, value) of the registry's spreads: the first component less the second, on raw levels."""
     parts = registry.filter("source = 'spread'").select("name", F.posexplode("components").alias("side", "series"))
-    joined = levels.join(F.broadcast(parts), "series")
+    joined = levels.join(parts, "series")
     sides = joined.groupBy("name", "date").agg(
         F.max(F.when(F.col("side") == 0, F.col("value"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("value"))).alias("b")
     )
@@ -37,7 +42,7 @@ def transformed(levels: DataFrame, registry: DataFrame) -> DataFrame:
     """Dense monthly series under their transform codes: the registry's columns, date, value."""
     every = levels.unionByName(spreads(levels, registry))
     monthly = registry.filter("freq = 'monthly'")
-    known = every.join(F.broadcast(monthly.select(F.col("name").alias("series"))), "series", "left_semi")
+    known = every.join(monthly.select(F.col("name").alias("series")), "series", "left_semi")
     dense = densify(known, monthly)
     window = Window.partitionBy("series").orderBy("date")
     return dense.withColumn("value", stationary(F.col("value"), F.col("transform"), window))
@@ -60,7 +65,7 @@ def missing_series(levels: DataFrame, registry: DataFrame) -> DataFrame:
 def code_mismatches(codes: DataFrame, registry: DataFrame) -> DataFrame:
     """(series, code, transform) where a vintage's code isn't the registry's."""
     own = registry.select(F.col("name").alias("series"), "transform")
-    return codes.join(F.broadcast(own), "series").filter(~F.col("code").eqNullSafe(F.col("transform"))).select("series", "code", "transform")
+    return codes.join(own, "series").filter(~F.col("code").eqNullSafe(F.col("transform"))).select("series", "code", "transform")
 
 
 def known_on(panel: DataFrame, as_ofs: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def newly_known(vintages: DataFrame) -> DataFrame:
     """(vintage_ym, series, date) of values that a vintage has and the one before it lacks."""
     months = vintages.select("vintage_ym").distinct()
     order = months.withColumn("before", F.lag("vintage_ym").over(Window.orderBy("vintage_ym")))
-    own = vintages.filter(F.col("value").isNotNull()).select("vintage_ym", "series", "date").join(F.broadcast(order), "vintage_ym")
+    own = vintages.filter(F.col("value").isNotNull()).select("vintage_ym", "series", "date").join(order, "vintage_ym")
     prior = vintages.filter(F.col("value").isNotNull()).select(F.col("vintage_ym").alias("before"), "series", "date")
     return own.filter(F.col("before").isNotNull()).join(prior, ["before", "series", "date"], "left_anti").select("vintage_ym", "series", "date")
 

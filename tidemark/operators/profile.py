@@ -95,13 +95,13 @@ def loadings(panel: DataFrame, factors: DataFrame) -> DataFrame:
     """(series, block, loading, residual_var): least squares of a series on its block's factor, and the residuals' sample variance."""
     rows = panel.filter("freq = 'monthly' AND z IS NOT NULL").join(factors, ["block", "date"])
     own = rows.groupBy("series", "block").agg((F.sum(F.col("z") * F.col("factor")) / F.sum(F.col("factor") * F.col("factor"))).alias("loading"))
-    fitted = rows.join(F.broadcast(own.select("series", "loading")), "series")
+    fitted = rows.join(own.select("series", "loading"), "series")
     return fitted.groupBy("series", "block", "loading").agg(F.var_samp(F.col("z") - F.col("loading") * F.col("factor")).alias("residual_var"))
 
 
 def fitted(panel: DataFrame, factors: DataFrame) -> DataFrame:
     """panel's monthly rows with the block's factor, the fit and the residual."""
-    own = F.broadcast(loadings(panel, factors).select("series", "loading"))
+    own = loadings(panel, factors).select("series", "loading")
     rows = panel.filter("freq = 'monthly' AND z IS NOT NULL").join(factors, ["block", "date"]).join(own, "series")
     return rows.withColumn("fit", F.col("loading") * F.col("factor")).withColumn("residual", F.col("z") - F.col("fit"))
 

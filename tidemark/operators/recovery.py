@@ -68,7 +68,7 @@ def replication_summary(metrics: DataFrame, truths: DataFrame) -> DataFrame:
     against the truth where there is one; so is rmse, and against zero without.
     """
     finite = metrics.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
-    rows = finite.join(F.broadcast(truths), "metric", "left")
+    rows = finite.join(truths, "metric", "left")
     q = lambda p: F.percentile("value", F.lit(p))
     off = F.col("value") - F.coalesce(F.col("truth"), F.lit(0.0))
     return rows.groupBy("scenario", "metric").agg(
@@ -106,6 +106,29 @@ def check_loss(rows: DataFrame) -> DataFrame:
     return table.withColumn("pseudo_r", 1 - F.col("loss") / F.nullif(F.col("loss_constant"), F.lit(0.0)))
 
 
+def share_below(points: DataFrame, value: str, draws: DataFrame, draw: str, bins: int = 1000) -> DataFrame:
+    """points with pit, the share of the draws at or below their value: null for a value that is null or NaN, or without draws; such draws don't count.
+
+    Equal draws are counted first. Both sides are dealt to `bins` equal ranges of the
+    draws; a point takes the whole ranges below its own from their running count, a
+    row for each range, and ranks within its own range alone, so no task holds all.
+    """
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    counted = draws.select(number(draw).alias("_v")).filter("_v IS NOT NULL").groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    ends = F.broadcast(counted.agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all")))  # one row
+    place = F.floor(F.coalesce((F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)), F.lit(0.0)) * bins)
+    binned = lambda df: df.join(ends).withColumn("_bin", F.greatest(F.lit(-1), F.least(F.lit(bins), place)))
+    held = binned(counted).select("_bin", "_v", "_n")
+    upto = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # over ranges, after aggregation
+    before = held.groupBy("_bin").agg(F.sum("_n").alias("_n")).unionByName(binned(points.select(number(value).alias("_v"))).select("_bin").distinct().withColumn("_n", F.lit(0).cast("long")))
+    before = before.groupBy("_bin").agg(F.sum("_n").alias("_n")).select("_bin", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    own = binned(points.withColumn("_v", number(value)))
+    both = own.withColumn("_n", F.lit(0).cast("long")).withColumn("_point", F.lit(True)).unionByName(held.withColumn("_point", F.lit(False)), allowMissingColumns=True)
+    ranked = both.withColumn("_in", F.sum("_n").over(Window.partitionBy("_bin").orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    share = F.when(F.col("_v").isNotNull(), (F.col("_before") + F.col("_in")) / F.col("_all"))
+    return ranked.filter("_point").join(before, "_bin", "left").select(*points.columns, share.alias("pit"))
+
+
 def pit_verdict(pit):
     """inside, edge or outside of a predictive density."""
     return F.when(pit.between(0.005, 0.5), "inside").when(pit > 1e-4, "edge").otherwise("outside")
@@ -114,7 +137,7 @@ def pit_verdict(pit):
 def advantage(summary: DataFrame, reference: str) -> DataFrame:
     """(metric, scenario, mean, advantage, gap): how far the reference's mean is above a scenario's, and the scenario's relative distance from it."""
     base = summary.filter(F.col("scenario") == reference).select("metric", F.col("mean").alias("base"))
-    joined = summary.join(F.broadcast(base), "metric")  # a row for each metric
+    joined = summary.join(base, "metric")  # a row for each metric
     return joined.select("metric", "scenario", "mean", (F.col("base") - F.col("mean")).alias("advantage"), (F.col("mean") / F.nullif(F.col("base"), F.lit(0.0)) - 1).alias("gap"))
 
 

@@ -73,7 +73,7 @@ def density_draws(spark: SparkSession, parameters: DataFrame, draws: int, batche
 
 def describe_draws(draws: DataFrame, realised: DataFrame) -> DataFrame:
     """Moments, quantiles and the probability at or below the realised value of each key's draws."""
-    rows = draws.join(F.broadcast(realised), "key", "left")
+    rows = draws.join(realised, "key", "left")
     q = lambda p: F.percentile_approx("draw", F.lit(p), F.lit(10_000))
     return rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.avg("draw").alias("mean"), F.stddev_pop("draw").alias("std"), F.skewness("draw").alias("skew"), F.kurtosis("draw").alias("exkurt"),

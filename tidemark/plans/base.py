@@ -25,15 +25,16 @@ def levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """The dense panel with the masked quarterly target: series, block, freq, lag, ord, date, value."""
+    """The dense panel with the masked quarterly target: series, block, freq, lag, ord, date, value; kept, as it has a row for a series and month."""
     registry = default_registry(spark)
     monthly = P.transformed(monthly_levels(spark, sf), registry)
     full = P.with_target(monthly, quarterly_target(spark, sf), registry)
-    return full.select("series", "block", "freq", "lag", "ord", "date", "value")
+    return full.select("series", "block", "freq", "lag", "ord", "date", "value").repartition(1).persist()
 
 
 def standardised(spark: SparkSession, sf: str) -> DataFrame:
-    return standardise(panel(spark, sf), ["series"])
+    """The panel with each series' mean, std and z; kept like the panel."""
+    return standardise(panel(spark, sf), ["series"]).repartition(1).persist()
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,9 +45,9 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def factors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The standardised panel and its blocks' stand-in factors."""
+    """The standardised panel and its blocks' stand-in factors, a row for a block and month; both kept."""
     z = standardised(spark, sf)
-    return z, profile.block_factors(z)
+    return z, profile.block_factors(z).repartition(1).persist()
 
 
 def weights(spark: SparkSession, sf: str) -> DataFrame:

@@ -44,8 +44,7 @@ def em_loadings(spark: SparkSession, sf: str):
 
 
 def em_transition_moments(spark: SparkSession, sf: str):
-    full = _factors(spark, sf).filter("date >= date'1995-04-30' AND date <= date'2001-06-30'")
-    return M.transition_moments(full).select("row", "col", "p11", "p10", "p00")
+    return M.transition_moments(_factors(spark, sf)).select("row", "col", "p11", "p10", "p00")
 
 
 def em_degrees(spark: SparkSession, sf: str):
@@ -64,7 +63,7 @@ def em_unit_scale(spark: SparkSession, sf: str):
 
 
 def data_fingerprint(spark: SparkSession, sf: str):
-    rows = base.levels(spark, sf).filter("series IN ('order_count', 'shipped_qty')").select("series", "date", F.col("value").cast("long").alias("value"))
+    rows = base.levels(spark, sf).select("series", "date", F.round(F.col("value") * 1000).cast("long").alias("value"))
     return M.fingerprint(rows, ["series"], "date", "value")
 
 
@@ -87,7 +86,7 @@ SQL = {
     "em_transition_moments": sql(
         "factors",
         f"SELECT x.block AS row, y.block AS col, {r('sum(x.factor * y.factor)', 'p11')}, {r('sum(x.factor * y.g)', 'p10')}, {r('sum(x.g * y.g)', 'p00')} FROM lagged x JOIN lagged y ON x.date = y.date WHERE x.g IS NOT NULL AND y.g IS NOT NULL GROUP BY ALL",
-        "lagged AS (SELECT *, lag(factor) OVER (PARTITION BY block ORDER BY date) AS g FROM factors WHERE date BETWEEN DATE '1995-04-30' AND DATE '2001-06-30')",
+        "lagged AS (SELECT *, lag(factor) OVER (PARTITION BY block ORDER BY date) AS g FROM factors)",
     ),
     "em_degrees": sql("factors", f"SELECT {r('1 + avg(ln(w)) - avg(w)', 'gap')} FROM ww", _NOISE, _ROWS, _W),
     "em_orientation": sql(
@@ -95,6 +94,6 @@ SQL = {
         f"SELECT l.block, l.series, {r('l.loading * s.sign', 'loading')}, {r('s.sign', 'sign')} FROM loads l JOIN (SELECT block, CASE WHEN loading < 0 THEN -1.0 ELSE 1.0 END AS sign FROM loads WHERE series IN ('shipped_qty', 'avg_discount', 'unit_price')) s ON s.block = l.block",
     ),
     "em_unit_scale": sql("factors", f"SELECT block, {r('sqrt(var_pop(factor) + 0.05)', 'scale')} FROM factors GROUP BY block"),
-    "data_fingerprint": sql("levels", "SELECT series, left(sha1(string_agg(CAST(date AS VARCHAR) || '=' || CAST(CAST(value AS BIGINT) AS VARCHAR), ';' ORDER BY date)), 12) AS fingerprint FROM levels WHERE series IN ('order_count', 'shipped_qty') GROUP BY series"),
+    "data_fingerprint": sql("levels", "SELECT series, left(sha1(string_agg(CAST(date AS VARCHAR) || '=' || CAST(CAST(round(value * 1000) AS BIGINT) AS VARCHAR), ';' ORDER BY date)), 12) AS fingerprint FROM levels GROUP BY series"),
     "scenario_names": sql("levels", "SELECT series, format('mc_{}_T{:04d}_pi0.05_S20.json', series, count(*)) AS name FROM levels GROUP BY series"),
 }

@@ -89,7 +89,7 @@ def code_mismatches(spark: SparkSession, sf: str):
 def _vintages(spark: SparkSession, sf: str):
     """Each year's June as a vintage that knows the levels of all months before it, under older names until 1998."""
     years = F.explode(F.array(*[F.lit(y) for y in range(1996, 2002)])).alias("y")
-    rows = monthly_levels(spark, sf).filter(F.col("series").isin("order_value", "shipped_qty")).select("series", "date", "value", years)
+    rows = monthly_levels(spark, sf).select("series", "date", "value", years)
     known = rows.filter(F.col("date") < F.make_date(F.col("y"), F.lit(6), F.lit(1)))
     old = F.when((F.col("series") == "order_value") & (F.col("y") <= 1998), F.lit("order_worth")).otherwise(F.col("series"))
     return known.select((F.col("y") * 100 + 6).alias("vintage_ym"), old.alias("series"), "date", "value")
@@ -234,7 +234,7 @@ QUERIES = {
 
 _VINTAGES = """
 vint AS (SELECT y * 100 + 6 AS vintage_ym, series, date, value FROM levels CROSS JOIN (SELECT unnest(range(1996, 2002)) AS y)
-  WHERE series IN ('order_value', 'shipped_qty') AND date < make_date(y, 6, 1))"""
+  WHERE date < make_date(y, 6, 1))"""
 _CLASSED = """
 edges AS (SELECT *, min(CASE WHEN value IS NOT NULL THEN date END) OVER (PARTITION BY series) AS fv, max(CASE WHEN value IS NOT NULL THEN date END) OVER (PARTITION BY series) AS lv FROM panel)"""
 _PAIRS = """

@@ -118,9 +118,8 @@ def check_loss(spark: SparkSession, sf: str):
 def pit_verdict(spark: SparkSession, sf: str):
     facts = base.facts(spark, sf).filter("realised IS NOT NULL AND method = 'mean'").select("target_quarter", "as_of", "realised")
     draws = base.facts(spark, sf).filter("method = 'random_walk'").select("nowcast_level")
-    below = facts.join(F.broadcast(draws.agg(F.collect_list("nowcast_level").alias("draws"))))
-    pit = F.size(F.filter("draws", lambda d: d <= F.col("realised"))) / F.size("draws")
-    return below.select("target_quarter", "as_of", pit.alias("pit"), recovery.pit_verdict(pit).alias("verdict"))
+    below = recovery.share_below(facts, "realised", draws, "nowcast_level")
+    return below.select("target_quarter", "as_of", "pit", recovery.pit_verdict(F.col("pit")).alias("verdict"))
 
 
 def density_describe(spark: SparkSession, sf: str):

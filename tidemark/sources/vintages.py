@@ -64,7 +64,7 @@ def with_canonical_names(values: DataFrame, aliases: DataFrame) -> DataFrame:
 
     An inner range rule on a small table, met by an equi-join on the source name.
     """
-    a = F.broadcast(aliases.select(F.col("series").alias("_to"), F.col("source").alias("series"), "after_ym", "until_ym"))
+    a = aliases.select(F.col("series").alias("_to"), F.col("source").alias("series"), "after_ym", "until_ym")
     within = (F.col("vintage_ym") > F.col("after_ym")) & (F.col("vintage_ym") <= F.col("until_ym"))
     joined = values.join(a, "series", "left").withColumn("_in", F.coalesce(within, F.lit(False)))
     # a name that an alias knows counts in its months alone; other names are canonical
@@ -101,6 +101,6 @@ def load_vintages(values: DataFrame, codes: DataFrame, aliases: DataFrame, regis
     window = Window.partitionBy("vintage_ym", "series").orderBy("date")
     made = dense.withColumn("value", stationary(F.col("value"), F.coalesce("code", "transform"), window))
     if late is not None:
-        cut = made.join(F.broadcast(late), "series", "left").withColumn("until", F.last_day(F.add_months("last", -F.coalesce("months", F.lit(0)))))
+        cut = made.join(late, "series", "left").withColumn("until", F.last_day(F.add_months("last", -F.coalesce("months", F.lit(0)))))
         made = cut.withColumn("value", F.when(F.col("date") <= F.col("until"), F.col("value")))
     return made.select("vintage_ym", "series", "date", "value")
