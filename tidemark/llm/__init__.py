@@ -1,4 +1,4 @@
-"""Training-data operators: ten numbered components and their queries.
+"""Training-data operators: thirteen numbered components and their queries.
 
 Nothing else in the library imports this subpackage.
 """
@@ -19,6 +19,9 @@ MODULES = (
     "language_id",
     "packing",
     "suffix_dedup",
+    "byte_bpe",
+    "resampling",
+    "whitening",
 )
 
 
