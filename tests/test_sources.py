@@ -29,6 +29,64 @@ def test_vintage_files(spark, tmp_path):
         vintages.resolve_vintage(values, 200201)
 
 
+
+def test_vintage_files_of_mixed_layouts(spark, tmp_path):
+    old, new = tmp_path / "old", tmp_path / "new"
+    old.mkdir(), new.mkdir()
+    (old / "2005-01.csv").write_text("sasdate,AAA,BBB\nTransform:,5,2\n1/1/2004,1,10\n2/1/2004,2,20\n")
+    (old / "2005-02.csv").write_text("\ufeffsasdate,BBB,CCC,AAA\r\nTransform:,2,4,6\r\n01/01/2004,11,100,1.5\r\n2/1/2004,21,200\r\n,,,\r\n")
+    (old / "2005-03.csv").write_text("date,ZZZ\n1/1/2004,9\n")
+    (new / "XX-MD_2005m03.csv").write_text('"date","CCC",,"AAA","CCC"\n"Transform:",1,7,3,2\n"1/1/2004","7",5,x,8\n2004-02-01,1e3,,2.5,8\n')
+    (new / "notes.txt").write_text("not a vintage")
+    values, codes = vintages.read_vintages(spark, [str(old), str(new)])
+    day = lambda m: datetime.date(2004, m, 1)
+    got = {(r.vintage_ym, r.series, r.date): r.value for r in values.collect()}
+    assert got == {
+        (200501, "AAA", day(1)): 1.0, (200501, "BBB", day(1)): 10.0, (200501, "AAA", day(2)): 2.0, (200501, "BBB", day(2)): 20.0,
+        (200502, "AAA", day(1)): 1.5, (200502, "BBB", day(1)): 11.0, (200502, "CCC", day(1)): 100.0, (200502, "AAA", day(2)): None, (200502, "BBB", day(2)): 21.0, (200502, "CCC", day(2)): 200.0,
+        (200503, "AAA", day(1)): None, (200503, "CCC", day(1)): 7.0, (200503, "AAA", day(2)): 2.5, (200503, "CCC", day(2)): 1000.0,
+    }
+    assert {(r.vintage_ym, r.series): r.code for r in codes.collect()} == {(200501, "AAA"): 5, (200501, "BBB"): 2, (200502, "BBB"): 2, (200502, "CCC"): 4, (200502, "AAA"): 6, (200503, "CCC"): 1, (200503, "AAA"): 3}
+    only, _ = vintages.read_vintages(spark, [str(old), str(new)], 200502, 200502)
+    assert {r.vintage_ym for r in only.collect()} == {200502} and len(only.inputFiles()) == 1
+    with pytest.raises(FileNotFoundError):
+        vintages.read_vintages(spark, str(old), 201001)
+
+
+def test_vintages_are_written_with_their_own_columns(spark, tmp_path):
+    rows = [(200501, "a", "2004-01-31", 1.25), (200501, "b", "2004-01-31", None), (200501, "a", "2004-02-29", 2.0), (200502, "c", "2004-01-31", -3e-7), (200502, "a", "2004-01-31", 1.5)]
+    values = spark.createDataFrame(rows, "vintage_ym int, series string, date string, value double").withColumn("date", F.col("date").cast("date"))
+    codes = spark.createDataFrame([(200501, "a", 5), (200502, "c", 2)], "vintage_ym int, series string, code int")
+    order = spark.createDataFrame([(200502, "c", 0), (200502, "a", 1)], "vintage_ym int, series string, place int")
+    for _ in range(2):  # writing again replaces
+        vintages.write_vintages(values, codes, str(tmp_path / "v"), order)
+    assert (tmp_path / "v" / "2005-02.csv").read_text().splitlines()[:2] == ["date,c,a", "Transform:,2,"]
+    back, own = vintages.read_vintages(spark, str(tmp_path / "v"))
+    key = lambda r: (r.vintage_ym, r.series, str(r.date))
+    assert {key(r): r.value for r in back.collect() if r.value is not None} == {tuple(r[:3]): r[3] for r in rows if r[3] is not None}
+    assert {(r.vintage_ym, r.series): r.code for r in own.collect() if r.code} == {(200501, "a"): 5, (200502, "c"): 2}
+
+
+def test_series_known_to_be_late_and_raw_levels(spark):
+    reg = spark.createDataFrame([("a", "table", 2), ("b", "table", 1), ("c", "table", 1)], "name string, source string, transform int")
+    values = spark.createDataFrame([(200501, "a", "2004-11-01", 1.0), (200501, "a", "2004-12-01", 4.0), (200502, "a", "2004-12-01", 4.5), (200502, "b", "2004-12-01", 7.0)], "vintage_ym int, series string, date string, value double").withColumn("date", F.col("date").cast("date"))
+    codes = spark.createDataFrame([], "vintage_ym int, series string, code int")
+    aliases = spark.createDataFrame([("c", "c_old", 0, 200412)], "series string, source string, after_ym int, until_ym int")
+    late = spark.createDataFrame([("b", 200502)], "series string, first_ym int")
+    with pytest.raises(ValueError, match="200501 lacks b"):
+        vintages.load_vintages(values, codes, aliases, reg)
+    made = vintages.load_vintages(values, codes, aliases, reg, known_late=late, start="2004-12-01")
+    assert {(r.vintage_ym, r.series): r.value for r in made.collect()} == {(200501, "a"): 3.0, (200501, "b"): None, (200501, "c"): None, (200502, "a"): None, (200502, "b"): 7.0, (200502, "c"): None}
+    raw = vintages.raw_levels(values, aliases, ["b", "a"])
+    assert {(r.vintage_ym, r.series, str(r.date)): r.value for r in raw.collect()} == {
+        (200501, "a", "2004-11-30"): 1.0, (200501, "b", "2004-11-30"): None, (200501, "a", "2004-12-31"): 4.0, (200501, "b", "2004-12-31"): None, (200502, "a", "2004-12-31"): 4.5, (200502, "b", "2004-12-31"): 7.0,
+    }
+    panel = values.select("series", F.last_day("date").alias("date"), "value")
+    assert vintages.current_series(panel, ["a"], "2005-01-15").count() == 3
+    lags = spark.createDataFrame([("a", 1)], "series string, lag int")
+    assert [r.value for r in vintages.current_series(panel, ["a", "zz"], "2005-01-15", lags).collect()] == [1.0]
+
+
 def test_publication_timing(spark):
     rows = spark.createDataFrame([("2008-04-15",), ("2008-05-15",), ("2009-01-15",)], "d string").select(F.col("d").cast("date").alias("as_of"))
     quarters = spark.createDataFrame([("2007-12-31",), ("2008-03-31",), ("2008-06-30",), ("2008-09-30",), ("2008-12-31",)], "d string").select(F.col("d").cast("date").alias("date"), F.lit(1.0).alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import transforms as T
@@ -12,6 +12,7 @@ from ..sources import results, vintages
 from ..sources.facts import latest
 from ..sources.levels import table
 from ..sources.registry import default_registry
+from ..storage import new_path
 from . import base
 from .base import END, START, r, sql
 from .scores import _REPLICAS, _VOL, _replications, vol_lags
@@ -31,6 +32,42 @@ def _vintages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     return values, codes, aliases
 
 
+def _stored_vintages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stand-in vintages as files and read back: unit_price joins in 1998, and every other year the columns are in reverse order."""
+    values, codes, aliases = _vintages(spark, sf)
+    values = values.filter("NOT (series = 'unit_price' AND vintage_ym < 199800)")
+    place = F.row_number().over(Window.partitionBy("vintage_ym").orderBy("series"))
+    order = values.select("vintage_ym", "series").distinct().withColumn("place", F.when(F.floor(F.col("vintage_ym") / 100) % 2 == 1, -place).otherwise(place))
+    folder = new_path(spark, "vintage-files")
+    vintages.write_vintages(values, codes, folder, order)
+    return *vintages.read_vintages(spark, folder), aliases
+
+
+def vintage_scan(spark: SparkSession, sf: str):
+    return _stored_vintages(spark, sf)[0]
+
+
+def vintage_codes(spark: SparkSession, sf: str):
+    return _stored_vintages(spark, sf)[1].filter("code IS NOT NULL")
+
+
+def vintage_panel(spark: SparkSession, sf: str):
+    """From the files to each vintage's transformed panel."""
+    late = spark.createDataFrame([("order_count", 1), ("unit_price", 1)], "series string, months int")
+    known = spark.createDataFrame([("unit_price", 199812)], "series string, first_ym int")
+    return vintages.load_vintages(*_stored_vintages(spark, sf), default_registry(spark), late, known_late=known)
+
+
+def vintage_raw_levels(spark: SparkSession, sf: str):
+    values, _, aliases = _stored_vintages(spark, sf)
+    return vintages.raw_levels(values, aliases, ["order_count", "unit_price"])
+
+
+def current_revised(spark: SparkSession, sf: str):
+    lags = default_registry(spark).select(F.col("name").alias("series"), "lag")
+    return vintages.current_series(base.panel(spark, sf), ["unit_price", "avg_tax", "unknown"], "2000-06-15", lags)
+
+
 def vintage_load(spark: SparkSession, sf: str):
     late = spark.createDataFrame([("order_count", 1), ("unit_price", 1)], "series string, months int")
     return vintages.load_vintages(*_vintages(spark, sf), default_registry(spark), late)
@@ -122,7 +159,7 @@ def vol_regression(spark: SparkSession, sf: str):
 QUERIES = {
     f.__name__: f
     for f in (
-        vintage_load, vintage_index, vintage_listing, facts_upsert, backtest_ledger, panel_metadata, missing_pattern, calendar_extension, destandardised, drift_check,
+        vintage_scan, vintage_codes, vintage_panel, vintage_raw_levels, current_revised, vintage_load, vintage_index, vintage_listing, facts_upsert, backtest_ledger, panel_metadata, missing_pattern, calendar_extension, destandardised, drift_check,
         json_safe_levels, report_advantage, report_side_by_side, density_quantiles, vol_regression,
     )
 }
@@ -149,7 +186,25 @@ used AS (SELECT mean3 AS y, mean3_before AS x1, vol_before AS x2 FROM vlag WHERE
 s AS (SELECT count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y, var_pop(y) AS syy FROM used),
 b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s)"""
 
+_FILES = """
+fdays AS (SELECT DISTINCT vintage_ym, date FROM vals), fseries AS (SELECT DISTINCT vintage_ym, series FROM vals WHERE series <> 'unit_price' OR vintage_ym > 199800),
+cells AS (SELECT d.vintage_ym, d.date, s.series, v.value FROM fdays d JOIN fseries s ON s.vintage_ym = d.vintage_ym LEFT JOIN vals v ON v.vintage_ym = d.vintage_ym AND v.date = d.date AND v.series = s.series)"""
+_NAMED = "CASE WHEN series = 'order_count' AND vintage_ym < 199900 THEN 'orders_total' ELSE series END AS series"
+
 SQL = {
+    "vintage_scan": sql("levels", f"SELECT vintage_ym, {_NAMED}, date, {r('value', 'value')} FROM cells", _ENDS, _LOADED, _FILES),
+    "vintage_codes": sql(
+        "levels",
+        "SELECT f.vintage_ym, f.series, CASE WHEN f.series = 'shipped_qty' AND f.vintage_ym < 199900 THEN 2 ELSE transform END AS code FROM fseries f JOIN reg r ON r.series = f.series WHERE f.series <> 'order_count'",
+        _ENDS, _LOADED, _FILES,
+    ),
+    "vintage_panel": sql("levels", f"SELECT vintage_ym, series, date, {r('CASE WHEN series <> ' + chr(39) + 'unit_price' + chr(39) + ' OR vintage_ym > 199800 THEN value END', 'value')} FROM vmade", _ENDS, _LOADED),
+    "vintage_raw_levels": sql(
+        "levels",
+        f"SELECT d.vintage_ym, d.date, s.series, {r('c.value', 'value')} FROM fdays d CROSS JOIN (VALUES ('order_count'), ('unit_price')) s(series) LEFT JOIN cells c ON c.vintage_ym = d.vintage_ym AND c.date = d.date AND c.series = s.series",
+        _ENDS, _LOADED, _FILES,
+    ),
+    "current_revised": sql("panel", f"SELECT series, date, {r('value', 'value')} FROM panel WHERE value IS NOT NULL AND series IN ('unit_price', 'avg_tax') AND date <= CASE WHEN series = 'unit_price' THEN DATE '2000-04-30' ELSE DATE '2000-05-31' END"),
     "vintage_load": sql("levels", f"SELECT vintage_ym, series, date, {r('value', 'value')} FROM vmade", _ENDS, _LOADED),
     "vintage_index": sql(
         "levels",
