@@ -28,6 +28,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a task remembers: those of so many characters at most, and so many of them.
 REMEMBERED_CHARS, REMEMBERED = 48, 1 << 18
 WORD_BITS = 6
+#: White space but for single spaces before a word; a space at the text's start or end is a run, too.
+_RUNS = regex.compile(r"\s{2,}|[^\S ]|^\s|\s$").finditer
 
 
 class RankQueue:
@@ -72,15 +74,36 @@ class RankQueue:
         return rank, position
 
 
+class _Known(dict):
+    """Ids, as bytes of 32-bit numbers, of strings that have been encoded; a bounded number of short ones is remembered."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, text: str) -> bytes:
+        found = self._encode(text)
+        if len(text) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[text] = found
+        return found
+
+
 class ByteBpe:
     """Encodes and decodes by the ranks of a vocabulary, which must hold all single bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         self.ranks = ranks
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self._token = np.full(max(ranks.values(), default=0) + 1, None, object)
+        for token, rank in ranks.items():
+            self._token[rank] = token
         self._split = regex.compile(pattern).findall
-        self._queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._by_word = pattern == public_tokenizers.PATTERN
+        self._queue = RankQueue(len(self._token))
+        self._pieces = _Known(lambda piece: np.array(self.merge(piece.encode()), np.int32).tobytes())
+        self._words = _Known(lambda word: self._joined(self._split(word)))
+        self._spaced = _Known(lambda word: self._joined(self._split(" " + word)))
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: the pair of least rank is merged first, of equal ones the leftmost."""
@@ -115,24 +138,46 @@ class ByteBpe:
             i = end[i]
         return ids
 
+    def _joined(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self._pieces.__getitem__, pieces))
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, without special tokens: their strings are ordinary text."""
-        ids: list[int] = []
-        known = self._known
-        for part in self._split(text):
-            found = known.get(part)
-            if found is None:
-                found = tuple(self.merge(part.encode()))
-                if len(part) <= REMEMBERED_CHARS:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = found
-            ids.extend(found)
-        return np.array(ids, np.int32)
-
-    def decode(self, ids) -> bytes:
-        """The bytes that the ids stand for; an id that the vocabulary lacks raises KeyError."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return np.frombuffer(self._encoded_words(text) if self._by_word else self._joined(self._split(text)), np.int32)
+
+    def _encoded_words(self, text: str) -> bytes:
+        """The ids by words, which are cut at white space as the pattern cuts.
+
+        A pre-token never goes on across white space, and takes one space at its
+        front at most. Of a longer run before a word the last character stands alone
+        unless it is a space, which goes to the word; the run's rest is a pre-token,
+        and so is a run at the text's end.
+        """
+        out, at, spaced = [], 0, False
+        for run in _RUNS(text):
+            a, b = run.span()
+            self._add_words(out, text[at:a], spaced)
+            at, last = b, text[b - 1]
+            spaced = last == " " and b < len(text)
+            if b == len(text):
+                out.append(self._pieces[text[a:b]])
+            else:
+                out.append(self._pieces[text[a : b - 1]] if b - a > 1 else b"")
+                if not spaced:
+                    out.append(self._pieces[last])
+        self._add_words(out, text[at:], spaced)
+        return b"".join(out)
+
+    def _add_words(self, out: list[bytes], words: str, spaced: bool) -> None:
+        """Appends the ids of words between which single spaces stand; spaced: one stands before them as well."""
+        if words:
+            first, *others = words.split(" ")
+            out.append((self._spaced if spaced else self._words)[first])
+            out.extend(map(self._spaced.__getitem__, others))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that the ids stand for; an id that the vocabulary lacks raises."""
+        return b"".join(self._token[ids].tolist())
 
 
 @lru_cache(maxsize=2)
@@ -179,8 +224,11 @@ def decode_documents(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFra
     def run(batches):
         bpe = tokenizer(path)
         for batch in batches:
-            data = [bpe.decode(ids or ()) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc_id", "ids", "data"])
+            column = batch.column(1)
+            ends = np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()])
+            ids = column.flatten().to_numpy(zero_copy_only=False)
+            data = [bpe.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(data, pa.binary())], ["doc_id", "ids", "data"])
 
     rows = tokens.select("doc_id", "ids")
     return rows.mapInArrow(run, f"doc_id {_id_type(rows, 'doc_id')}, ids array<int>, data binary")
