@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def bottom_overlap(weights: DataFrame, share: float = 0.1) -> DataFrame:
     """How well the k least w_hat find the k least w_true, by key; the first date of a key is left out.
@@ -61,26 +63,23 @@ def block_rotation(loadings: DataFrame) -> DataFrame:
     )
 
 
-def replication_summary(metrics: DataFrame, truths: DataFrame) -> DataFrame:
+def replication_summary(metrics: DataFrame, truths: DataFrame, errors: str = "relerr|err_norm") -> DataFrame:
     """(scenario, metric, n, mean, std, median, q05, q95, bias, rmse) over finite values.
 
-    metrics: (scenario, metric, value); truths: (metric, truth), few rows. Bias is
-    against the truth where there is one; so is rmse, and against zero without.
+    metrics: (scenario, metric, value); truths: (metric, truth), few rows. Bias and
+    rmse are against the truth where there is one. Metrics that are errors, by the
+    pattern `errors`, have an rmse against zero; others without a truth have none.
+    Quantiles are exact and no group meets in one task, see exact_quantiles.
     """
     finite = metrics.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
     rows = finite.join(truths, "metric", "left")
-    q = lambda p: F.percentile("value", F.lit(p))
-    off = F.col("value") - F.coalesce(F.col("truth"), F.lit(0.0))
-    return rows.groupBy("scenario", "metric").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        q(0.5).alias("median"),
-        q(0.05).alias("q05"),
-        q(0.95).alias("q95"),
-        F.avg(F.col("value") - F.col("truth")).alias("bias"),
-        F.sqrt(F.avg(off * off)).alias("rmse"),
+    off = F.when(F.col("metric").rlike(errors), F.col("value") - F.coalesce(F.col("truth"), F.lit(0.0))).otherwise(F.col("value") - F.col("truth"))
+    moments = rows.groupBy("scenario", "metric").agg(
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.avg(F.col("value") - F.col("truth")).alias("bias"), F.sqrt(F.avg(off * off)).alias("rmse")
     )
+    own = exact_quantiles(finite, ["scenario", "metric"], "value", {"median": 0.5, "q05": 0.05, "q95": 0.95})
+    columns = ["scenario", "metric", "n", "mean", "std", "median", "q05", "q95", "bias", "rmse"]
+    return moments.join(own.withColumnsRenamed({"scenario": "_s", "metric": "_m"}), F.col("scenario").eqNullSafe(F.col("_s")) & F.col("metric").eqNullSafe(F.col("_m"))).select(*columns)
 
 
 def trend(summary: DataFrame, levels: list[str]) -> DataFrame:

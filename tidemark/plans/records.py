@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import transforms as T
 from ..operators import panel as P
 from ..operators import recovery, rolling
+from ..operators.quantiles import exact_quantiles
 from ..sources import results, vintages
 from ..sources.facts import latest
 from ..sources.levels import table
@@ -146,10 +147,11 @@ def _truths(spark: SparkSession) -> DataFrame:
 
 
 def density_quantiles(spark: SparkSession, sf: str):
-    """Seven quantiles and the Gaussian probability of 50, by type of event; exact quantiles keep a group's distinct values in one task."""
-    each = [F.percentile("value", F.lit(t)).alias(f"q{round(100 * t):02d}") for t in _TAUS]
-    made = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), *each)
-    return made.withColumn("gaussian_pit", T.normal_cdf((F.lit(50.0) - F.col("mean")) / F.col("std")))
+    """Seven quantiles and the Gaussian probability of 50, by type of event."""
+    events = table(spark, sf, "events")
+    moments = events.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    own = exact_quantiles(events, ["event_type"], "value", {f"q{round(100 * t):02d}": t for t in _TAUS})
+    return moments.join(own, "event_type").withColumn("gaussian_pit", T.normal_cdf((F.lit(50.0) - F.col("mean")) / F.col("std")))
 
 
 def vol_regression(spark: SparkSession, sf: str):

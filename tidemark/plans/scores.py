@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import accuracy as A
 from ..operators import profile, recovery, rolling
+from ..operators.quantiles import exact_quantiles
 from ..sources.facts import KEY, pending
 from ..sources.levels import quarterly_target, table
 from . import base
@@ -97,7 +98,8 @@ def trend_pivot(spark: SparkSession, sf: str):
 
 def _quantiles(spark: SparkSession, sf: str):
     """Per discount, quantiles of the line price at three taus; the middle one is moved so that some cross."""
-    rows = table(spark, sf, "lineitem").groupBy(F.col("l_discount").cast("string").alias("key")).agg(*[F.percentile("l_extendedprice", F.lit(t)).alias(n) for t, n in ((0.1, "a"), (0.5, "b"), (0.9, "c"))], F.count(F.lit(1)).alias("n"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_discount").cast("string").alias("key"), "l_extendedprice")
+    rows = exact_quantiles(lines, ["key"], "l_extendedprice", {"a": 0.1, "b": 0.5, "c": 0.9})
     moved = F.when(F.col("n") % 2 == 0, F.col("b") * 3).otherwise(F.col("b"))
     taus = F.array(*[F.struct(F.lit(t).alias("tau"), q.alias("q")) for t, q in ((0.1, F.col("a")), (0.5, moved), (0.9, F.col("c")))])
     return rows.select("key", F.explode(taus).alias("t")).select("key", "t.tau", "t.q")
@@ -123,11 +125,11 @@ def pit_verdict(spark: SparkSession, sf: str):
 
 
 def density_describe(spark: SparkSession, sf: str):
-    rows = table(spark, sf, "events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("exkurt"),
-        F.percentile("value", F.lit(0.05)).alias("q05"), F.percentile("value", F.lit(0.95)).alias("q95"), F.avg((F.col("value") <= 50).cast("double")).alias("pit"),
-    )
-    return rows
+    events = table(spark, sf, "events")
+    moments = events.groupBy("event_type").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("exkurt"), F.avg((F.col("value") <= 50).cast("double")).alias("pit")
+    )
+    return moments.join(exact_quantiles(events, ["event_type"], "value", {"q05": 0.05, "q95": 0.95}), "event_type")
 
 
 def vol_lags(spark: SparkSession, sf: str):
