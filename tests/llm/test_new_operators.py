@@ -31,21 +31,6 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_queue_gives_least_rank_then_leftmost():
-    rng = random.Random(1)
-    for ranks in (1, 2, 64, 65, 5000, 300_000):
-        queue, held = byte_bpe.RankQueue(ranks), []
-        for _ in range(3000):
-            if held and rng.random() < 0.5:
-                held.sort()
-                assert queue.pop() == held.pop(0)
-            else:
-                one = (rng.randrange(ranks), rng.randrange(50))
-                queue.push(*one)
-                held.append(one)
-        assert [queue.pop() for _ in range(len(held) + 1)] == [*sorted(held), None]
-
-
 def plain_merge(piece, ranks):
     if piece in ranks:
         return [ranks[piece]]
@@ -67,6 +52,7 @@ def test_merges_as_a_plain_version_whatever_the_ranks():
         for _ in range(10):
             piece = bytes(rng.choices(b"abc", k=rng.randint(1, 60)))
             assert bpe.merge(piece) == plain_merge(piece, bpe.ranks)
+            assert not bpe._buckets and not any(bpe._leaves)
 
 
 def test_ids_are_the_librarys(spark, texts, library):

@@ -3,15 +3,16 @@
 A text is cut into pre-tokens, each of which is merged by itself. A pre-token's
 bytes are a linked list of tokens. Every pair that the vocabulary knows waits in
 the bucket of its merge rank, under its left token's position. A bitmap says which
-buckets are in use, and 64-bit words over it which of its words are, level upon
-level, so the least rank is found by a find-first-set on each level, however many
-pairs wait. Entries whose pair has changed are skipped when they come up. A
-pre-token of n bytes takes O(n log n) steps.
+buckets are in use, and a second one which of its leaves are, so the least rank is
+found by two find-first-sets, however many pairs wait. Entries whose pair has
+changed are skipped when they come up. A pre-token of n bytes takes O(n log n)
+steps.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -27,64 +28,33 @@ from .common import table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a task remembers: those of so many characters at most, and so many of them.
 REMEMBERED_CHARS, REMEMBERED = 48, 1 << 18
-WORD_BITS = 6
+#: Ranks of a leaf of the bitmap.
+LEAF_BITS = 8
+LEAF_MASK = (1 << LEAF_BITS) - 1
+BIT = [1 << k for k in range(1 << LEAF_BITS)]
 #: White space but for single spaces before a word; a space at the text's start or end is a run, too.
 _RUNS = regex.compile(r"\s{2,}|[^\S ]|^\s|\s$").finditer
 
 
-class RankQueue:
-    """Positions by rank: pop gives the least rank, and of its positions the leftmost."""
-
-    def __init__(self, ranks: int):
-        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
-        self.levels: list[list[int]] = []
-        size = ranks
-        while size > 1 or not self.levels:
-            size = (size >> WORD_BITS) + 1 if size > 1 else 1
-            self.levels.append([0] * size)
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        heappush(bucket, position)
-        if len(bucket) == 1:
-            for words in self.levels:
-                at, bit = rank >> WORD_BITS, 1 << (rank & 63)
-                used = words[at]
-                words[at] = used | bit
-                if used:
-                    return  # the levels above know of this word
-                rank = at
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.levels[-1][0]:
-            return None
-        rank = 0
-        for words in reversed(self.levels):
-            word = words[rank]
-            rank = (rank << WORD_BITS) | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            at = rank
-            for words in self.levels:
-                words[at >> WORD_BITS] &= ~(1 << (at & 63))
-                if words[at >> WORD_BITS]:
-                    break
-                at >>= WORD_BITS
-        return rank, position
-
-
 class _Known(dict):
-    """Ids, as bytes of 32-bit numbers, of strings that have been encoded; a bounded number of short ones is remembered."""
+    """Ids, as bytes of 32-bit numbers, of strings that have been encoded.
+
+    Short strings are remembered. When there are REMEMBERED of them, they become the
+    older generation, those of the one before go, and what is asked for again comes
+    back, so memory is bounded and frequent strings stay.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self._encode = encode
+        self._encode, self._older = encode, {}
 
     def __missing__(self, text: str) -> bytes:
-        found = self._encode(text)
+        found = self._older.get(text)
+        if found is None:
+            found = self._encode(text)
         if len(text) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self._older = dict(self)
                 self.clear()
             self[text] = found
         return found
@@ -100,46 +70,91 @@ class ByteBpe:
             self._token[rank] = token
         self._split = regex.compile(pattern).findall
         self._by_word = pattern == public_tokenizers.PATTERN
-        self._queue = RankQueue(len(self._token))
-        self._pieces = _Known(lambda piece: np.array(self.merge(piece.encode()), np.int32).tobytes())
-        self._words = _Known(lambda word: self._joined(self._split(word)))
-        self._spaced = _Known(lambda word: self._joined(self._split(" " + word)))
+        self._leaves = [0] * ((len(self._token) >> LEAF_BITS) + 1)
+        self._buckets: dict[int, int | list[int]] = {}
+        self._pairs = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
+        self._pieces = _Known(self._merged)
+        self._words = _Known(self._encoded_word)
+        self._spaced = _Known(self._encoded_spaced)
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token: the pair of least rank is merged first, of equal ones the leftmost."""
+        """The ids of one pre-token: the pair of least rank is merged first, of equal ones the leftmost.
+
+        The queue's steps stand in line, as most pre-tokens are short. It is empty
+        before and after. A bucket is a position, or a heap of several.
+        """
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n, find, queue = len(piece), self.ranks.get, self._queue
-        # a token is named by its first byte's place: end is the next token's name
-        end, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-
-        def pair_up(i: int) -> None:
-            rank = find(piece[i : end[end[i]]]) if end[i] < n else None
-            pair[i] = -1 if rank is None else rank
-            if rank is not None:
-                queue.push(rank, i)
-
-        for i in range(n - 1):
-            pair_up(i)
-        while (least := queue.pop()) is not None:
-            rank, i = least
-            if pair[i] != rank:
-                continue  # stale: one of the pair's tokens has been merged since
+        n, find, leaves, buckets, pairs, top = len(piece), self.ranks.get, self._leaves, self._buckets, self._pairs, 0
+        # a token is named by its first byte's place: end is the next token's name, n the text's end
+        end, before = list(range(1, n + 2)), list(range(-1, n))
+        pair = [pairs[a][b] for a, b in zip(piece, piece[1:], strict=False)]
+        pair.append(-1)
+        fresh = list(enumerate(pair))
+        while True:
+            for i, rank in fresh:  # pairs that have come about since
+                if rank < 0:
+                    continue
+                if rank not in buckets:
+                    buckets[rank] = i
+                    at = rank >> LEAF_BITS
+                    leaves[at] |= BIT[rank & LEAF_MASK]
+                    top |= 1 << at
+                elif (bucket := buckets[rank]).__class__ is int:
+                    buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
+                else:
+                    heappush(bucket, i)
+            while top:
+                high = top & -top
+                at = high.bit_length() - 1
+                leaf = leaves[at]
+                low = leaf & -leaf
+                rank = (at << LEAF_BITS) + low.bit_length() - 1
+                i = buckets[rank]
+                if i.__class__ is int:
+                    del buckets[rank]
+                    leaves[at] = leaf ^ low
+                    if leaf == low:
+                        top ^= high
+                else:
+                    bucket = i
+                    i = heappop(bucket)
+                    if len(bucket) == 1:
+                        buckets[rank] = bucket[0]
+                if pair[i] == rank:
+                    break  # else stale: one of the pair's tokens has been merged since
+            else:
+                break
             gone = end[i]
-            end[i], pair[gone] = end[gone], -1
-            if end[i] < n:
-                before[end[i]] = i
-            pair_up(i)
-            if before[i] >= 0:
-                pair_up(before[i])
+            pair[gone] = -1
+            last = end[i] = end[gone]
+            before[last] = i
+            pair[i] = right = find(piece[i : end[last]], -1) if last < n else -1
+            left = before[i]
+            if left < 0:
+                fresh = ((i, right),)
+            else:
+                pair[left] = rank = find(piece[left:last], -1)
+                fresh = ((left, rank), (i, right))
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[piece[i : end[i]]])
             i = end[i]
         return ids
 
+    def _encoded_word(self, word: str) -> bytes:
+        return self._merged(word) if word.isalpha() else self._joined(self._split(word))
+
+    def _encoded_spaced(self, word: str) -> bytes:
+        # a space and letters alone are one pre-token
+        return self._merged(" " + word) if word.isalpha() else self._joined(self._split(" " + word))
+
+    def _merged(self, piece: str) -> bytes:
+        return array("i", self.merge(piece.encode())).tobytes()
+
     def _joined(self, pieces: list[str]) -> bytes:
-        return b"".join(map(self._pieces.__getitem__, pieces))
+        """The ids of several pre-tokens; those of a space and letters are remembered by the letters."""
+        return b"".join([self._spaced[p[1:]] if p[0] == " " and p[1:].isalpha() else self._pieces[p] for p in pieces])
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, without special tokens: their strings are ordinary text."""
