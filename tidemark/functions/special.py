@@ -1,13 +1,18 @@
-"""Special functions that Spark lacks, for numpy arrays, and as column functions over Arrow batches."""
+"""Special functions that Spark lacks, for numpy arrays and as column expressions."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Steps of the recurrence before the asymptotic series is used.
+_STEPS = 8
+
+
+def _series(i):
+    return i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i * (1 / 240 - i / 132))))
+
 
 def digamma(x):
     """The logarithmic derivative of the gamma function for x > 0: recurrence up to 6, then the asymptotic series."""
@@ -16,38 +21,21 @@ def digamma(x):
     while (small := x < 6).any():
         out[small] -= 1 / x[small]
         x[small] += 1
-    i = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i * (1 / 240 - i / 132))))
-
-
-gammaln = np.vectorize(math.lgamma, otypes=[float])
-_erf = np.vectorize(math.erf, otypes=[float])
-
-
-def normal_cdf(x):
-    return 0.5 * (1 + _erf(np.asarray(x, dtype=float) / math.sqrt(2)))
-
-
-def t_pdf(x, nu: float):
-    x = np.asarray(x, dtype=float)
-    scale = math.exp(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2)) / math.sqrt(nu * math.pi)
-    return scale * (1 + x * x / nu) ** (-(nu + 1) / 2)
-
-
-def t_cdf(x, nu: float):
-    """By the trapezoid rule in u = atan(x / sqrt(nu)), where the density is cos(u) ** (nu - 1) up to a constant."""
-    u = np.arctan(np.asarray(x, dtype=float) / math.sqrt(nu))
-    grid = np.linspace(-math.pi / 2, math.pi / 2, 4001)
-    density = np.maximum(np.cos(grid), 0) ** (nu - 1)
-    total = np.r_[0, np.cumsum((density[1:] + density[:-1]) / 2)]
-    return np.interp(u, grid, total / total[-1])
+    return out + np.log(x) - 0.5 / x - _series(1 / (x * x))
 
 
-def column_function(function, column):
-    """A numpy function over a column of doubles, in Arrow batches; nulls become NaN on the way."""
+def digamma_column(x: Column) -> Column:
+    """digamma of a column of positive doubles, by the same recurrence and series."""
+    y = x + _STEPS
+    made = F.log(y) - 0.5 / y - _series(1 / (y * y))
+    for k in range(_STEPS):
+        made = made - 1 / (x + k)
+    return made
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(function(x.to_numpy(dtype=float)))
 
-    return run(column)
+def digamma_sql(x: str) -> str:
+    """digamma_column of an SQL expression, as SQL text."""
+    y = f"({x} + {float(_STEPS)!r}::DOUBLE)"
+    i = f"(1 / ({y} * {y}))"
+    series = f"{i} * (1 / 12.0::DOUBLE - {i} * (1 / 120.0::DOUBLE - {i} * (1 / 252.0::DOUBLE - {i} * (1 / 240.0::DOUBLE - {i} / 132.0::DOUBLE))))"
+    return f"(ln({y}) - 0.5::DOUBLE / {y} - {series}" + "".join(f" - 1 / ({x} + {k})" for k in range(_STEPS)) + ")"
