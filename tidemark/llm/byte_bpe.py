@@ -12,6 +12,7 @@ steps.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -27,13 +28,13 @@ from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a task remembers: those of so many characters at most, and so many of them.
-REMEMBERED_CHARS, REMEMBERED = 48, 1 << 18
+REMEMBERED_CHARS, REMEMBERED = 48, 1 << 19
 #: Ranks of a leaf of the bitmap.
 LEAF_BITS = 8
 LEAF_MASK = (1 << LEAF_BITS) - 1
 BIT = [1 << k for k in range(1 << LEAF_BITS)]
-#: White space but for single spaces before a word; a space at the text's start or end is a run, too.
-_RUNS = regex.compile(r"\s{2,}|[^\S ]|^\s|\s$").finditer
+#: Runs of the pattern's white space (Unicode's, named in full) but for single spaces before a word; a space at the text's start or end is a run, too.
+_RUNS = re.compile(r"[{0} ]{{2,}}|[{0}]|^ | \Z".format("\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")).finditer
 
 
 class _Known(dict):
@@ -90,9 +91,10 @@ class ByteBpe:
         end, before = list(range(1, n + 2)), list(range(-1, n))
         pair = [pairs[a][b] for a, b in zip(piece, piece[1:], strict=False)]
         pair.append(-1)
-        fresh = list(enumerate(pair))
+        fresh = range(n - 1)
         while True:
-            for i, rank in fresh:  # pairs that have come about since
+            for i in fresh:  # pairs that have come about since
+                rank = pair[i]
                 if rank < 0:
                     continue
                 if rank not in buckets:
@@ -129,13 +131,13 @@ class ByteBpe:
             pair[gone] = -1
             last = end[i] = end[gone]
             before[last] = i
-            pair[i] = right = find(piece[i : end[last]], -1) if last < n else -1
+            pair[i] = find(piece[i : end[last]], -1) if last < n else -1
             left = before[i]
             if left < 0:
-                fresh = ((i, right),)
+                fresh = (i,)
             else:
-                pair[left] = rank = find(piece[left:last], -1)
-                fresh = ((left, rank), (i, right))
+                pair[left] = find(piece[left:last], -1)
+                fresh = (left, i)
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[piece[i : end[i]]])
