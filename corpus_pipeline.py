@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, exact_dedup, language_id, packing, simhash
-from tidemark.llm.common import discard_all_but, materialise, table
+from tidemark.llm.common import table
+from tidemark.storage import discard, materialise, scope
 
 #: Documents whose best language has a lower calibrated probability are rejected; four languages guess at 0.25.
 MIN_LANGUAGE_SCORE = 0.35
@@ -17,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays; null texts are equal to empty ones, null ids below all others."""
+    """Of equal texts, one row with the largest doc_id stays; null texts are equal to empty ones, null ids below all others."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
@@ -51,10 +52,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again; an empty table gives no rows.
 
-    Tables that operators wrote on the way to a stage are deleted when the stage is written.
+    Tables that a stage's own operators wrote are deleted when the stage is written,
+    and so is the stage before it; those of other queries are left alone.
     """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-        discard_all_but(docs)
+        with scope(spark) as own:
+            kept = own.keep(materialise(stage(spark, docs, sf_dir), name))
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
