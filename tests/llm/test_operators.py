@@ -256,17 +256,15 @@ def test_training_equals_a_plain_version():
 
 def test_encoder_gives_the_tokenizers_ids(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    encode = packing.encoder(public_tokenizers.path(packing.VOCABULARY)).encode_to_numpy
+    encode = packing.encoder(public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.ADDED))
     rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").filter("text IS NOT NULL").collect()
-    texts = [r.text for r in rows] + ["</s><|endoftext|>[INST]", "\x00\x01 \u200b\ufeff \U0001f600", " " * 500, "\r\n\r\n\t x"]
+    texts = [r.text for r in rows] + ["</s><|endoftext|>[INST]", "a<|endoftext|>b", " <|endoftext|> <|endoftext|><|endoftext", "<|endoftext|>", "\x00\x01 \u200b\ufeff \U0001f600", " " * 500, "\r\n\r\n\t x"]
     for t, own in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert encode(t, disallowed_special=()).tolist() == own.ids
+        assert encode(t).tolist() == own.ids
 
 
 def test_packing(spark, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {k: np.array(tokenizer.encode(v or "", add_special_tokens=False).ids + [1], "<u4") for k, v in texts.items()}
     made = packing.query(spark, SF).toPandas()
     for doc_id, pieces in made.sort_values("start").groupby("doc_id"):
@@ -280,6 +278,40 @@ def test_packing(spark, texts):
         assert pieces["offset"].tolist() == [0, *np.cumsum(pieces["length"])[:-1]] and total <= 2048 and total & (total - 1) == 0
 
 
+def test_packing_many_ranges_and_special_strings(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = {i: f"number {i} " * (i % 70) + ("a<|endoftext|>b" if i % 3 else "") for i in range(700)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        made = packing.pack_documents(frame).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    total = 0
+    for doc_id, pieces in made.sort_values("start").groupby("doc_id"):
+        ids, at = np.array(tokenizer.encode(docs[doc_id], add_special_tokens=False).ids + [1], "<u4"), 0
+        for p in pieces.itertuples():
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
+            at += p.length
+        assert at == len(ids)
+        total += at
+    filled = made.groupby("sequence_id")["length"].sum()
+    assert set(made["doc_id"]) == set(docs) and (filled & (filled - 1) == 0).all() and (filled == 2048).sum() == total // 2048
+    for _, pieces in made.sort_values("offset").groupby("sequence_id"):
+        assert pieces["offset"].tolist() == [0, *np.cumsum(pieces["length"])[:-1]]
+
+
+def test_shards_of_weight_zero_draw_nothing(spark):
+    ids = spark.range(3000).select(F.col("id").cast("string").alias("key"))
+    plain, drained = sharding.layout(24), sharding.layout(24, weights={s: 0.0 for s in (0, 8, 9, 10, 11)})
+    rows = ids.select(sharding.shard_of(F.col("key"), plain).alias("a"), sharding.shard_of(F.col("key"), drained).alias("b")).collect()
+    assert {r.b for r in rows} == set(range(24)) - {0, 8, 9, 10, 11}
+    assert all(r.a in (0, 8, 9, 10, 11) or r.b == r.a or r.a // 8 in (0, 1) for r in rows)  # regions that kept their weight lose no rows
+    for bad in ({0: -1.0}, {0: float("nan")}, {s: 0.0 for s in range(24)}):
+        with pytest.raises(ValueError):
+            sharding.layout(24, weights=bad)
+
+
 def test_hilbert_neighbours_are_adjacent():
     grid = np.array(list(itertools.product(range(8), repeat=3)))
     keys = packing.hilbert_keys(grid, 3)

@@ -1,15 +1,18 @@
 """The stages one after another, and the whole against plain versions of what SQL cannot express."""
 
 import itertools
+import os
 import re
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, exact_dedup, language_id, simhash
+from tidemark import storage
+from tidemark.llm import decontaminate, exact_dedup, language_id, packing, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,7 +71,6 @@ def test_run_equals_plain_stages(spark):
         windows |= {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))} - {()}
     kept = {i: t for i, t in kept if label[i] == i and not contaminated(t, windows)}
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     made = corpus_pipeline.run(spark, SF).toPandas()
     assert set(made["doc_id"]) == set(kept)
     for doc_id, pieces in made.sort_values("start").groupby("doc_id"):
@@ -82,3 +84,34 @@ def test_run_equals_plain_stages(spark):
 def test_letterless_documents_go(spark):
     docs = spark.createDataFrame([(1, "123 456", None), (2, None, None), (3, "the words of one", "en"), (4, "les mots de un", "fr")], "doc_id long, text string, lang string")
     assert {r.doc_id for r in language_id.keep_identified(docs, 0.35).collect()} == {3, 4}
+
+
+def test_queries_built_side_by_side_keep_their_tables(spark):
+    first = {"exact": exact_dedup.query(spark, SF), "pack": packing.query(spark, SF), "run": corpus_pipeline.run(spark, SF)}
+    with ThreadPoolExecutor(2) as pool:
+        others = [pool.submit(corpus_pipeline.run, spark, SF), pool.submit(exact_dedup.query, spark, SF)]
+        others = [o.result() for o in others]
+    counts = [df.count() for df in (others[0], first["run"], others[1], first["exact"], first["pack"])]
+    assert counts[0] == counts[1] > 0 and counts[2] == counts[3] > 0 and counts[4] > 0
+
+
+def test_a_scope_deletes_its_own_tables_alone(spark):
+    files = lambda df: df.inputFiles()[0].removeprefix("file://")
+    before = storage.materialise(spark.range(3), "before")
+    with storage.scope(spark) as outer:
+        with storage.scope(spark) as inner:
+            made, kept = storage.materialise(spark.range(4), "made"), inner.keep(storage.materialise(spark.range(5), "kept"))
+            gone = files(made)
+        assert not os.path.exists(gone) and kept.count() == 5
+        again = storage.materialise(spark.range(6), "again")
+        outer.keep(again)
+        held = files(kept)
+    assert not os.path.exists(held) and again.count() == 6 and before.count() == 3
+    storage.discard(before, before)
+
+
+def test_exact_copies_of_rows_leave_one(spark):
+    rows = [(1, "a", "en"), (1, "a", "en"), (1, "a", None), (0, "a", "en"), (None, None, "x"), (None, "", "x"), (2, "b", "en"), (3, "c", "z"), (3, "d", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(map(repr, map(tuple, exact_dedup.drop_exact_duplicates(docs).collect())))
+    assert got == sorted(map(repr, [(1, "a", None), (None, None, "x"), (2, "b", "en"), (3, "c", "z"), (3, "d", "z")]))

@@ -30,6 +30,34 @@ def test_tokens_that_are_weak_alone_block_together(spark):
     assert judged(spark, rows) == {i: "block" if t else "allow" for i, _, t in rows}
 
 
+def test_support_counts_all_labelled_pages(spark):
+    rows = [([], False)] * 900 + [(["p"], True)] * 3 + [(["q"], True)] * 5 + [(["r"], False)] * 92
+    labelled = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    got = {tuple(r.tokens): (r.confidence, r.support) for r in url_filter.mine_rules(labelled, min_support=0.004).collect()}
+    assert got == {("q",): (1.0, pytest.approx(0.005))}  # p is on 3 of 1,000 pages
+
+
+def test_tokens_that_always_go_together_are_one_item(spark):
+    many = [f"t{i:02d}" for i in range(40)]
+    rows = [([*many, "x"], True)] * 30 + [([*many, "x", "y"], True)] * 30 + [(["x"], False)] * 100 + [(["x", "y"], False)] * 40
+    labelled = spark.createDataFrame(rows, "tokens array<string>, blocked boolean").repartition(6)
+    classes = url_filter.mine_classes(labelled).collect()
+    assert [r.classes for r in classes] == [[many]] and classes[0].confidence == 1.0
+    assert {tuple(r.tokens) for r in url_filter.mine_rules(labelled).collect()} == {(t,) for t in many}
+    pages = [(i, f"http://h{'' if i % 2 else '/' + '/'.join(many)}/{i}", i % 2 == 0) for i in range(400)]
+    verdicts = judged(spark, [(i, u, int(t)) for i, u, t in pages])
+    assert verdicts == {i: "block" if t else "allow" for i, _, t in pages}
+
+
+def test_a_page_needs_one_token_of_each_class(spark):
+    rows = [(i, "http://h.example" + ("/a/b" if i % 4 in (0, 1) else "") + ("/c/d" if i % 4 in (0, 2) else "") + f"/{i}", int(i % 4 == 0)) for i in range(800)]
+    more = [(1000, "http://h.example/a/d/1"), (1001, "http://h.example/b/1"), (1002, "http://h.example/c/b/1")]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows] + more, "page_id long, url string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    got = {r.page_id: (r.verdict, r.mined) for r in url_filter.judge_urls(pages, labels, rules=()).collect()}
+    assert got[1000] == ("block", "path:a path:d") and got[1001] == ("allow", None) and got[1002] == ("block", "path:b path:c") and got[0] == ("block", "path:a path:c")
+
+
 def test_rules_of_the_real_table_equal_counts_of_all_combinations(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic IS NOT NULL").selectExpr("doc_id AS page_id", "toxic = 1 AS blocked")

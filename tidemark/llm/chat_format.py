@@ -29,6 +29,8 @@ class Template:
     loss_roles: tuple[str, ...]
     #: state -> roles that may follow; a state is the role before, or "" at the start.
     follows: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: Accepting states: the roles that a conversation may end on.
+    ends: tuple[str, ...] = ()
 
     @property
     def controls(self) -> tuple[str, ...]:
@@ -43,6 +45,7 @@ CHAT = Template(
     escape="\x1b",
     loss_roles=("assistant",),
     follows={"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)},
+    ends=("assistant",),
 )
 
 
@@ -60,7 +63,7 @@ def unescaped(text: Column, template: Template) -> Column:
 
 
 def _first_error(roles: Column, template: Template) -> Column:
-    """The machine over the roles: the first turn, from 0, that may not follow its predecessor; -1 if none."""
+    """The machine over the roles: the first turn, from 0, that may not follow its predecessor; the number of turns if only an end is missing; -1 if none."""
     allowed = F.create_map(*[x for state, to in template.follows.items() for x in (F.lit(state), F.array(*map(F.lit, to)))])
     start = F.struct(F.lit("").alias("state"), F.lit(0).alias("at"), F.lit(-1).alias("error"))
 
@@ -72,7 +75,8 @@ def _first_error(roles: Column, template: Template) -> Column:
             F.when((s["error"] < 0) & ~fits, s["at"]).otherwise(s["error"]).alias("error"),
         )
 
-    return F.aggregate(roles, start, step, lambda s: s["error"])
+    ended = lambda s: F.coalesce(s["state"].isin(*template.ends), F.lit(False))
+    return F.aggregate(roles, start, step, lambda s: F.when((s["error"] < 0) & ~ended(s), s["at"]).otherwise(s["error"]))
 
 
 def format_conversations(turns: DataFrame, template: Template = CHAT) -> DataFrame:
@@ -80,8 +84,9 @@ def format_conversations(turns: DataFrame, template: Template = CHAT) -> DataFra
 
     Turns are ordered by turn, nulls first, ties by role and text; a null role or
     text counts as empty. Every conversation is formatted, valid or not: `valid`
-    says whether the machine accepts its order of roles, error_turn names the
-    first turn, from 0, that it does not (else null). Rows with a null conv_id make
+    says whether the machine accepts its order of roles and stops in an accepting
+    state, error_turn names the first turn, from 0, that it does not accept, or, if
+    only an end is missing, the turn after the last (else null). Rows with a null conv_id make
     one conversation. Repeated rows are repeated turns. Empty tables give no rows.
     Other columns are ignored, so their names cannot clash. A conversation is one
     row of output, so its turns meet in one task, those of others do not.
@@ -160,6 +165,8 @@ def _sql_escaped(x: str) -> str:
 
 _FITS = " OR ".join(f"(before = '{state}' AND role IN ({', '.join(repr(x) for x in to)}))" for state, to in CHAT.follows.items())
 
+_ENDS = ", ".join(map(repr, CHAT.ends))
+
 ORACLE_SQL = f"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -173,6 +180,7 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(3 + sum(17 + length({_sql_escaped("role")}) + length({_sql_escaped("text")})) AS BIGINT) AS formatted_chars,
-       bool_and(fits) AS valid, coalesce(min(nth) FILTER (WHERE NOT fits), -1) AS error_turn
+       bool_and(fits) AND max_by(role, nth) IN ({_ENDS}) AS valid,
+       coalesce(min(nth) FILTER (WHERE NOT fits), CASE WHEN max_by(role, nth) IN ({_ENDS}) THEN -1 ELSE count(*) END) AS error_turn
 FROM checked GROUP BY conv_id
 """

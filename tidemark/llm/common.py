@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
-import weakref
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Measured bytes up to which a table may be broadcast, rows counting ROW_BYTES each beside their values.
-BROADCAST_BYTES, ROW_BYTES = 32 << 20, 24
-#: Bytes meant for a task of a result that is bounded by a measured table.
-SMALL_TASK_BYTES = 8 << 20
+from ..storage import broadcast_limit, discard, materialise, measured, renamed, scope, sized, weight
+
+__all__ = ["ascii_lower", "discard", "lookup", "materialise", "measured", "renamed", "repeated_rows", "scope", "sized", "table", "tasks_for", "weight"]
+
 #: A key is hot if it has more than this share of all rows, so at most 1,000 keys are.
 HOT_SHARE = 0.001
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_local: dict[str, str] = {}
-#: Where materialised tables lie, and which of them a DataFrame at hand reads.
-_paths: set[str] = set()
-_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-#: What was measured while they were written.
-_measured: weakref.WeakKeyDictionary[DataFrame, dict] = weakref.WeakKeyDictionary()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,123 +26,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Only a session on one machine may do without; it gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _local:
-        _local[key] = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, _local[key], ignore_errors=True)
-    return _local[key]
-
-
-def materialise(df: DataFrame, name: str, within: DataFrame | None = None, **measures: Column) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again.
-
-    Cuts the lineage, gives the optimizer true sizes and lets a lost executor's
-    work be read again from the folder rather than be computed again. Rows, bytes
-    and further aggregates are measured while it is written. within: a table whose
-    measured bytes bound df's, so that a small result is not cut into many tasks
-    and files, however many partitions Spark shuffles to. It is an eager job, so
-    operators that use it run part of their work while the query is built. The
-    folder goes when it is discarded, or when the driver's JVM ends.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    if within is not None:
-        df = df.coalesce(max(1, math.ceil(weight(within)[1] / SMALL_TASK_BYTES)))
-    seen = Observation()
-    columns = [c.alias(k) for k, c in measures.items()]
-    df.observe(seen, F.count(F.lit(1)).alias("_rows"), F.sum(_row_bytes(df)).alias("_bytes"), *columns).write.option("compression", "zstd").parquet(path)
-    folder, files = _files(df.sparkSession, path)
-    files.deleteOnExit(folder)
-    made = df.sparkSession.read.schema(df.schema).parquet(path)
-    _written[made], _measured[made] = path, seen.get
-    _paths.add(path)
-    return made
-
-
-def renamed(made: DataFrame, **names: str) -> DataFrame:
-    """A materialised table with columns renamed, which keeps its measures."""
-    other = made.withColumnsRenamed(names)
-    _written[other], _measured[other] = _written[made], _measured[made]
-    return other
-
-
-def measured(made: DataFrame, name: str):
-    """An aggregate that was taken while a materialised table was written."""
-    return _measured[made][name]
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes materialised tables that nothing reads any more; others are left alone."""
-    for made in tables:
-        _delete(made.sparkSession, {_written.pop(made, "")})
-
-
-def discard_all_but(kept: DataFrame) -> None:
-    """Deletes all tables that operators wrote in this process but the one given, once that result is stored."""
-    _delete(kept.sparkSession, _paths - {_written.get(kept, "")})
-
-
-def _delete(spark: SparkSession, paths: set[str]) -> None:
-    for path in paths & _paths:
-        folder, files = _files(spark, path)
-        files.delete(folder, True)
-        _paths.discard(path)
-
-
-def _files(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def weight(df: DataFrame) -> tuple[int, int]:
-    """(rows, bytes): the values' own bytes and ROW_BYTES for each row, as measured when df was written; others are aggregated now."""
-    if df in _measured:
-        return measured(df, "_rows") or 0, measured(df, "_bytes") or 0
-    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first())
-
-
-def _row_bytes(df: DataFrame) -> Column:
-    each = F.lit(ROW_BYTES).cast("long")
-    for column in df.schema.fields:
-        each = each + F.coalesce(_bytes(F.col(f"`{column.name}`"), column.dataType), F.lit(0))
-    return each
-
-
-def _bytes(value: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, T.StringType | T.BinaryType):
-        return F.octet_length(value).cast("long") + 16
-    if isinstance(kind, T.ArrayType):
-        if isinstance(kind.elementType, T.StringType | T.BinaryType):
-            return F.aggregate(value, F.lit(24).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
-        return F.size(value).cast("long") * (8 if not isinstance(kind.elementType, T.StructType) else 8 * len(kind.elementType.fields) + 16) + 24
-    return F.lit(16 if isinstance(kind, T.DecimalType | T.StructType) else 8).cast("long")
-
-
-def sized(df: DataFrame, of: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, to be broadcast if its measured bytes are within the limit; else Spark shuffles.
-
-    of: the materialised table that df selects from, whose bytes bound df's.
-    """
-    return F.broadcast(df) if weight(df if of is None else of)[1] <= limit else df
-
-
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], of: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], of: DataFrame | None = None) -> DataFrame:
     """Left join of big with small, which has each key once.
 
     Within the limit, small is broadcast. Beyond, both are shuffled by the key and
     a salt: a key with more than HOT_SHARE of big's rows (at most 1,000 such keys
     exist) is dealt to several tasks and its row of small is repeated for each.
     """
-    if weight(small if of is None else of)[1] <= limit:
+    if weight(small if of is None else of)[1] <= broadcast_limit():
         return big.join(F.broadcast(small), keys, "left")
     counts = materialise(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "counts")
     share = max(1, int((counts.agg(F.sum("_n")).first()[0] or 0) * HOT_SHARE))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, materialise, measured, renamed, sized
+from .common import discard, lookup, materialise, measured, renamed
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,8 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     the node that its own label names, and then takes its label's label, so the
     number of rounds grows with the logarithm of a component's diameter. Each round
     is written to the shared folder, and the tables of the round before are
-    deleted. Links meet by their ends, whose degrees links bound; a label that many
-    nodes share is met by partial aggregation, or by a lookup that salts hot keys.
+    deleted. A node with many links, and a label that many nodes share, are met by
+    partial aggregation, or by a lookup that salts hot keys.
     Self-links and repeated links do no harm; no links, no rows.
     """
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     mark = F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels", both, mark=mark)
     while True:
-        near = both.join(sized(labels.withColumnRenamed("node", "v"), labels), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        near = lookup(both, labels.withColumnRenamed("node", "v"), ["v"], labels).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         seen = labels.join(near, "node")
         handed = seen.select("node", F.least("label", "near").alias("label")).unionByName(seen.select(F.col("label").alias("node"), F.col("near").alias("label")))
         hooked = materialise(handed.groupBy("node").agg(F.min("label").alias("label")), "hooked", both)

@@ -64,7 +64,8 @@ def _hits(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: st
 
     # For each length, (length, first word, key) of the grams at multiples of the stride; one more for the document itself.
     grams = [windows.filter("false").select(F.lit(0).alias("length"), F.lit(0).cast("long").alias("key"))]
-    probes = [F.array(F.struct(F.lit(0).alias("length"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("key")))]
+    # That one meets nothing; its key is the document's hash, so that a join that shuffles spreads them.
+    probes = [F.array(F.struct(F.lit(0).alias("length"), F.lit(0).alias("at"), F.col("hash").alias("key")))]
     for n in lengths:
         k, stride = _gram(n)
         held = F.explode(F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda i: F.slice("words", i, k))).alias("g")  # noqa: B023

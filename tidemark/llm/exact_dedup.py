@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quotient_filter as cqf
-from .common import lookup, materialise, sized, table
+from .common import lookup, materialise, measured, sized, table
 
 #: Fingerprints that a block of the filter is meant to hold.
 BLOCK_FINGERPRINTS = 1 << 17
@@ -106,13 +106,21 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; see exact_duplicates for which, nulls and ties.
 
-    Rows that repeat both id and text stay or go together, so they all stay if the
-    id is their group's largest. Empty tables stay empty.
+    Of rows that repeat both id and text one stays, that whose other columns are
+    least, nulls first. Empty tables stay empty.
     """
-    dropped = exact_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct()
+    copies = exact_duplicates(docs).filter("group_size > 1").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"), "kept")
+    decided = materialise(copies.groupBy("_id", "_sha", "kept").agg(F.count(F.lit(1)).alias("_rows")), "decided")
     sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    right = sized(materialise(dropped, "dropped"))
-    return docs.join(right, docs["doc_id"].eqNullSafe(right["_id"]) & (sha == right["_sha"]), "left_anti")
+    dropped = sized(decided.filter("NOT kept OR _rows > 1"), decided)
+    stay = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]) & (sha == dropped["_sha"]), "left_anti")
+    if not measured(decided, "_rows") or decided.filter("kept AND _rows > 1").isEmpty():
+        return stay
+    repeats = sized(decided.filter("kept AND _rows > 1").select("_id", "_sha"), decided)
+    same = docs.join(repeats, docs["doc_id"].eqNullSafe(repeats["_id"]) & (sha == repeats["_sha"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = same.groupBy("_id", "_sha").agg(F.min(row).alias("row")).select("row.*")
+    return stay.unionByName(one)
 
 
 QUERY = "op2_exact_dedup"

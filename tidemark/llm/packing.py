@@ -3,13 +3,14 @@
 A document's tokens vote with fixed pseudo-random signs in a few dimensions; the
 direction of the sum, on a grid, gives a Hilbert key. Documents are range-sorted by
 key, so neighbours on the curve, which are alike, lie together. Each range is cut
-into full sequences; the tokens that are left at its end go into sequences of
-powers of two, so nothing is padded.
+into full sequences; the tokens that are left at the ends of all ranges are packed
+in a second pass, the last of them in sequences of powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from functools import lru_cache
 
@@ -27,16 +28,22 @@ SEQUENCE, END = 2048, 1
 DIMENSIONS, GRID_BITS = 4, 8
 #: Bytes of ids meant for a range, which one task packs.
 TASK_BYTES = 32 << 20
+#: Ranges whose tails, of less than a sequence each, one task packs.
+RANGES_PER_TAIL_TASK = 1000
 #: The ranks of byte_bpe_50k.json; this encoder gives the same ids in a quarter of the time (a test compares).
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, ADDED = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 VOCABULARY_SIZE = 50_257
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> tiktoken.Encoding:
+def encoder(path: str, added_path: str):
+    """A function from a text to its ids: those of the ranks in one file and, for their strings, of the tokens that the other adds."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(added_path) as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    own = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: own.encode_to_numpy(text, allowed_special="all")
 
 
 @lru_cache(maxsize=1)
@@ -77,13 +84,13 @@ def hilbert_keys(points: np.ndarray, bits: int = GRID_BITS) -> np.ndarray:
     return key
 
 
-def _tokenise(path: str):
+def _tokenise(*paths: str):
     def run(batches):
-        encode, signs = encoder(path).encode_to_numpy, _signs()
+        encode, signs = encoder(*paths), _signs()
         for batch in batches:
             ids, sums = [], np.zeros((batch.num_rows, DIMENSIONS))
             for row, text in enumerate(batch.column(1).to_pylist()):
-                own = encode(text, disallowed_special=())
+                own = encode(text)
                 sums[row] = signs[own].sum(axis=0)
                 ids.append(np.append(own, END).astype("<u2").tobytes())
             length = np.maximum(1e-9, np.sqrt((sums**2).sum(axis=1, keepdims=True)))
@@ -94,77 +101,111 @@ def _tokenise(path: str):
 
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: A tail's pieces carry their ids, for the second pass; place orders them along the curve.
+_TAIL = "place long, ids binary"
+
+
+class _Packer:
+    """Pieces (doc_id, ids, start, length, document's length) in full sequences, numbered from `first`; what is left over is in `held`."""
+
+    def __init__(self, size: int, first: int):
+        self.size, self.sequence, self.held, self.fill, self.out = size, first, [], 0, []
+
+    def add(self, doc_id, ids: np.ndarray, start: int, of: int) -> None:
+        """The ids, which begin at `start` of a document of `of` ids."""
+        at = 0
+        while at < len(ids):
+            n = min(len(ids) - at, self.size - self.fill)
+            self.held.append((doc_id, ids[at : at + n], start + at, of))
+            at, self.fill = at + n, self.fill + n
+            if self.fill == self.size:
+                self._close(self.held)
+                self.held, self.fill = [], 0
+
+    def finish(self) -> None:
+        """Packs the rest into sequences of powers of two."""
+        for bit in range(self.fill.bit_length() - 1, -1, -1):
+            room, pieces = self.fill & (1 << bit), []
+            while room:
+                doc_id, ids, start, of = self.held.pop(0)
+                pieces.append((doc_id, ids[:room], start, of))
+                if len(ids) > room:
+                    self.held.insert(0, (doc_id, ids[room:], start + room, of))
+                room -= min(len(ids), room)
+            if pieces:
+                self._close(pieces)
+
+    def _close(self, pieces) -> None:
+        offset = 0
+        for doc_id, ids, start, of in pieces:
+            self.out.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), of, self.sequence, offset))
+            offset += len(ids)
+        self.sequence += 1
+
+    def flushed(self, tails=()) -> pa.RecordBatch:
+        """The pieces that are packed, and tails: those that are not."""
+        rows = [(*r, None, None) for r in self.out] + list(tails)
+        columns = list(zip(*rows, strict=True)) or [[]] * 9
+        self.out = []
+        kinds = [*[pa.int64()] * 8, pa.binary()]
+        names = [f.split()[0] for f in f"{_PIECE}, {_TAIL}".split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def _pack(size: int):
-    def run(batches):
-        sequence = TaskContext.get().partitionId() << 40
-        held: list[tuple] = []  # pieces of the open sequence: (doc_id, ids, start, length)
-        fill = 0
-        out: list[tuple] = []
-
-        def close(pieces):
-            nonlocal sequence
-            offset = 0
-            for doc_id, ids, start, n in pieces:
-                crc = zlib.crc32(ids[start : start + n].astype("<u4").tobytes())
-                out.append((doc_id, start, n, crc, len(ids), sequence, offset))
-                offset += n
-            sequence += 1
-
-        def flushed():
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in _PIECE.split(", ")])
-            out.clear()
-            return made
+    """Full sequences of a range of documents; its tail, less than a sequence, is handed on."""
 
+    def run(batches):
+        range_ = TaskContext.get().partitionId()
+        packer = _Packer(size, range_ << 40)
         for batch in batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, start = np.frombuffer(data.as_buffer(), "<u2"), 0
-                while start < len(ids):
-                    n = min(len(ids) - start, size - fill)
-                    held.append((doc_id, ids, start, n))
-                    start, fill = start + n, fill + n
-                    if fill == size:
-                        close(held)
-                        held, fill = [], 0
-                if len(out) > 50_000:
-                    yield flushed()
-        # the rest, in sequences of powers of two
-        for bit in range(fill.bit_length() - 1, -1, -1):
-            room, pieces = fill & (1 << bit), []
-            while room:
-                doc_id, ids, start, n = held.pop(0)
-                take = min(n, room)
-                pieces.append((doc_id, ids, start, take))
-                room -= take
-                if take < n:
-                    held.insert(0, (doc_id, ids, start + take, n - take))
-            if pieces:
-                close(pieces)
-        yield flushed()
+                ids = np.frombuffer(data.as_buffer(), "<u2")
+                packer.add(doc_id, ids, 0, len(ids))
+                if len(packer.out) > 50_000:
+                    yield packer.flushed()
+        yield packer.flushed((d, start, len(ids), None, of, None, None, (range_ << 20) + k, ids.tobytes()) for k, (d, ids, start, of) in enumerate(packer.held))
+
+    return run
+
+
+def _pack_tails(size: int):
+    def run(batches):
+        packer = _Packer(size, (1 << 62) | (TaskContext.get().partitionId() << 40))
+        for batch in batches:
+            for doc_id, start, of, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                packer.add(doc_id, np.frombuffer(data, "<u2"), start, of)
+        packer.finish()
+        yield packer.flushed()
 
     return run
 
 
-def pack_documents(docs: DataFrame, size: int = SEQUENCE, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SEQUENCE, vocabulary: str = VOCABULARY, added: str = ADDED) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its text's ids and the end id; null counts as empty and has the
-    end id alone. Control strings in a text are plain text. Documents are cut
-    freely; every id lies in exactly one piece. Sequences have `size` tokens, or a
-    power of two below at a range's end. Equal texts have one key; a tie-break by
-    row deals them to as many ranges as they need; it is stored with the ids before
-    they are dealt, so no later task can number rows anew. doc_id is a number.
-    Repeated rows are packed each, null ids stay null. Empty tables give no rows.
-    Other columns are ignored, so their names cannot clash.
+    end id alone. The strings of tokens that the vocabulary adds have those tokens'
+    ids, as its tokenizer gives them. Documents are cut freely; every id lies in
+    exactly one piece. Sequences have `size` tokens, but for a last few, of powers
+    of two: each range of the curve hands on the tail that fills no sequence, and
+    the tails are packed in order of the curve, a thousand ranges in one task. Equal
+    texts have one key; a tie-break by row deals them to as many ranges as they
+    need; it is stored with the ids before they are dealt, so no later task can
+    number rows anew. doc_id is a number. Repeated rows are packed each, null ids
+    stay null. Empty tables give no rows. Other columns are ignored, so their names
+    cannot clash.
     """
-    path = public_tokenizers.path(vocabulary)
+    paths = public_tokenizers.path(vocabulary), public_tokenizers.path(added)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    tokens = rows.mapInArrow(_tokenise(path), "doc_id long, key long, ids binary")
+    tokens = rows.mapInArrow(_tokenise(*paths), "doc_id long, key long, ids binary")
     tokens = materialise(tokens.withColumn("tie", F.monotonically_increasing_id()), "tokens")
-    ranged = tokens.repartitionByRange(tasks_for(tokens, TASK_BYTES), "key", "tie").sortWithinPartitions("key", "tie")
-    return ranged.select("doc_id", "ids").mapInArrow(_pack(size), _PIECE)
+    tasks = tasks_for(tokens, TASK_BYTES)
+    ranged = tokens.repartitionByRange(tasks, "key", "tie").sortWithinPartitions("key", "tie")
+    packed = materialise(ranged.select("doc_id", "ids").mapInArrow(_pack(size), f"{_PIECE}, {_TAIL}"), "packed")
+    tails = packed.filter("ids IS NOT NULL").repartitionByRange(max(1, tasks // RANGES_PER_TAIL_TASK), "place").sortWithinPartitions("place")
+    last = tails.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack_tails(size), f"{_PIECE}, {_TAIL}")
+    return packed.filter("ids IS NULL").unionByName(last).drop("place", "ids")
 
 
 QUERY = "op9_packing"

@@ -30,8 +30,17 @@ Tree = list[list[list[tuple[int, float]]]]
 
 
 def layout(shards: int, planned: int = PLANNED, regions: int = REGIONS, racks: int = RACKS, weights: dict[int, float] | None = None) -> Tree:
-    """Regions of racks of (shard, weight). The planned shards are dealt evenly; each later one has a region."""
+    """Regions of racks of (shard, weight). The planned shards are dealt evenly; each later one has a region.
+
+    weights: those of shards that have another than 1. A shard of weight 0 is
+    drained: it keeps its place and draws nothing. A weight below 0 or that isn't
+    finite raises, and so does a tree in which no shard has weight.
+    """
     weights = weights or {}
+    if not all(0 <= w < float("inf") for w in weights.values()):
+        raise ValueError("weights must be finite and not below 0")
+    if not any(weights.get(s, 1.0) > 0 for s in range(shards)):
+        raise ValueError("no shard has weight")
     base = min(shards, planned)
     rows = [[[] for _ in range(racks)] for _ in range(regions)]
     per = max(1, -(-planned // (regions * racks)))
@@ -44,12 +53,12 @@ def layout(shards: int, planned: int = PLANNED, regions: int = REGIONS, racks: i
 
 
 def _levels(tree: Tree) -> list[list[tuple[str, str, float]]]:
-    """For regions, racks and shards: (parent's path, path, weight) of each node."""
+    """For regions, racks and shards: (parent's path, path, weight) of each node that has weight, so that no other is drawn."""
     total = lambda racks: sum(w for rack in racks for _, w in rack)
     regions = [("", f"{r}", total(racks)) for r, racks in enumerate(tree)]
     racks = [(f"{r}", f"{r}/{k}", total([rack])) for r, all_racks in enumerate(tree) for k, rack in enumerate(all_racks)]
     shards = [(f"{r}/{k}", f"{r}/{k}/{s}", w) for r, all_racks in enumerate(tree) for k, rack in enumerate(all_racks) for s, w in rack]
-    return [regions, racks, shards]
+    return [[node for node in level if node[2] > 0] for level in (regions, racks, shards)]
 
 
 def _draw(key: Column, path: Column, weight: Column) -> Column:
