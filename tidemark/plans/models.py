@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import quarter_index
 from ..functions.transforms import standardise
 from ..operators import benchmarks, factor_model, montecarlo, panel as P, recovery, rolling, tails
-from ..operators.scalar_filter import scalar_filter
+from ..operators.scalar_filter import scalar_filter, scalar_smoother
 from ..sources.levels import quarterly_target
 from . import base
 from .base import r, sql
@@ -63,13 +63,20 @@ def density_simulated(spark: SparkSession, sf: str):
     return tails.describe_draws(tails.density_draws(spark, parameters, 20_000), realised)
 
 
+def _observed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = base.standardised(spark, sf).filter("freq = 'monthly'")
+    return rows.select(F.col("series").alias("key"), "date", F.col("z").alias("y"))
+
+
 def scalar_kalman(spark: SparkSession, sf: str):
-    rows = base.standardised(spark, sf).filter("freq = 'monthly' AND date >= date'1995-03-31'")
-    return scalar_filter(rows.select(F.col("series").alias("key"), "date", F.col("z").alias("y")), 0.9, 0.2, 0.5)
+    return scalar_filter(_observed(spark, sf).filter("date >= date'1995-03-31'"), 0.9, 0.2, 0.5)
+
 
+def scalar_smooth(spark: SparkSession, sf: str):
+    return scalar_smoother(_observed(spark, sf), 0.9, 0.2, 0.5)
 
 
-QUERIES = {f.__name__: f for f in (dfm_fit, dfm_nowcast, arma_nowcast, mc_grid, quantile_tails, density_simulated, scalar_kalman)}
+QUERIES = {f.__name__: f for f in (dfm_fit, dfm_nowcast, arma_nowcast, mc_grid, quantile_tails, density_simulated, scalar_kalman, scalar_smooth)}
 
 SQL = {
     "scalar_kalman": sql(
@@ -83,5 +90,20 @@ SQL = {
              ll + CASE WHEN y IS NULL THEN 0 ELSE -0.5::DOUBLE * (ln(2 * pi()) + ln(0.81::DOUBLE * p + 0.7::DOUBLE) + (y - 0.9::DOUBLE * m) * (y - 0.9::DOUBLE * m) / (0.81::DOUBLE * p + 0.7::DOUBLE)) END
            FROM k JOIN o ON o.key = k.key AND o.i = k.i + 1)""",
         recursive=True,
-    )
+    ),
+    "scalar_smooth": sql(
+        "z",
+        f"SELECT key, date, {r('ms', 'mean')}, {r('ps', 'variance')}, {r('ps * 0.9 * p0 / (0.81 * p0 + 0.2)', 'lag_one')} FROM back",
+        "o AS (SELECT series AS key, date, z AS y, row_number() OVER (PARTITION BY series ORDER BY date) AS i, count(*) OVER (PARTITION BY series) AS n FROM zpanel WHERE freq = 'monthly')",
+        """fwd AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, n, NULL::DATE AS date, 0.0::DOUBLE AS m, 1.0::DOUBLE AS p, 1.0::DOUBLE AS p0 FROM o
+           UNION ALL SELECT o.key, o.i, o.n, o.date,
+             CASE WHEN y IS NULL THEN 0.9::DOUBLE * m ELSE 0.9::DOUBLE * m + (0.81::DOUBLE * p + 0.2::DOUBLE) / (0.81::DOUBLE * p + 0.7::DOUBLE) * (y - 0.9::DOUBLE * m) END,
+             CASE WHEN y IS NULL THEN 0.81::DOUBLE * p + 0.2::DOUBLE ELSE (0.81::DOUBLE * p + 0.2::DOUBLE) * 0.5::DOUBLE / (0.81::DOUBLE * p + 0.7::DOUBLE) END, p
+           FROM fwd JOIN o ON o.key = fwd.key AND o.i = fwd.i + 1)""",
+        """back AS (SELECT key, i, date, p0, m AS ms, p AS ps FROM fwd WHERE i = n
+           UNION ALL SELECT f.key, f.i, f.date, f.p0, f.m + 0.9::DOUBLE * f.p / (0.81::DOUBLE * f.p + 0.2::DOUBLE) * (b.ms - 0.9::DOUBLE * f.m),
+             f.p + (0.9::DOUBLE * f.p / (0.81::DOUBLE * f.p + 0.2::DOUBLE)) ** 2 * (b.ps - 0.81::DOUBLE * f.p - 0.2::DOUBLE)
+           FROM back b JOIN fwd f ON f.key = b.key AND f.i = b.i - 1 WHERE b.i > 1)""",
+        recursive=True,
+    ),
 }
