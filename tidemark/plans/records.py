@@ -14,6 +14,7 @@ from ..sources.facts import latest
 from ..sources.levels import table
 from ..sources.registry import default_registry
 from ..storage import new_path
+from ..streaming.upsert import upsert_stream
 from . import base
 from .base import END, START, r, sql
 from .scores import _REPLICAS, _VOL, _replications, vol_lags
@@ -87,11 +88,25 @@ def vintage_listing(spark: SparkSession, sf: str):
     return vintages.available_vintages(values)
 
 
-def facts_upsert(spark: SparkSession, sf: str):
+def _batches(spark: SparkSession, sf: str) -> DataFrame:
     """Facts written once, then those from 1999 on again, twice, with other levels."""
     first = base.facts(spark, sf).select("as_of", "target_quarter", "method", "horizon", "nowcast_level").withColumn("batch", F.lit(1))
     again = first.filter("year(as_of) >= 1999").withColumn("nowcast_level", F.col("nowcast_level") + 1).withColumn("batch", F.lit(2))
-    return latest(first.unionByName(again).unionByName(again))
+    return first.unionByName(again).unionByName(again)
+
+
+def facts_upsert(spark: SparkSession, sf: str):
+    return latest(_batches(spark, sf))
+
+
+def facts_stream(spark: SparkSession, sf: str):
+    """The same batches as files on a stream, the later batch's file first, a file in each micro-batch."""
+    folder, out, checkpoint = (new_path(spark, name) for name in ("facts-in", "facts-out", "facts-checkpoint"))
+    rows = _batches(spark, sf)
+    for batch in (2, 1):
+        rows.filter(F.col("batch") == batch).coalesce(1).write.mode("append").parquet(folder)
+    upsert_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder), out, checkpoint)
+    return latest(spark.read.parquet(out).drop("run"))
 
 
 def backtest_ledger(spark: SparkSession, sf: str):
@@ -161,7 +176,7 @@ def vol_regression(spark: SparkSession, sf: str):
 QUERIES = {
     f.__name__: f
     for f in (
-        vintage_scan, vintage_codes, vintage_panel, vintage_raw_levels, current_revised, vintage_load, vintage_index, vintage_listing, facts_upsert, backtest_ledger, panel_metadata, missing_pattern, calendar_extension, destandardised, drift_check,
+        facts_stream, vintage_scan, vintage_codes, vintage_panel, vintage_raw_levels, current_revised, vintage_load, vintage_index, vintage_listing, facts_upsert, backtest_ledger, panel_metadata, missing_pattern, calendar_extension, destandardised, drift_check,
         json_safe_levels, report_advantage, report_side_by_side, density_quantiles, vol_regression,
     )
 }
@@ -214,6 +229,7 @@ SQL = {
     ),
     "vintage_listing": sql("levels", "SELECT DISTINCT vintage_ym FROM levels JOIN ends ON date <= known WHERE vintage_ym >= 200008", _ENDS),
     "facts_upsert": sql("facts", f"SELECT as_of, target_quarter, method, horizon, {r('CASE WHEN year(as_of) >= 1999 THEN nowcast_level + 1 ELSE nowcast_level END', 'nowcast_level')} FROM facts"),
+    "facts_stream": sql("facts", f"SELECT as_of, target_quarter, method, horizon, {r('CASE WHEN year(as_of) >= 1999 THEN nowcast_level + 1 ELSE nowcast_level END', 'nowcast_level')} FROM facts"),
     "backtest_ledger": sql(
         "facts",
         f"SELECT as_of, target_quarter, horizon, method, {r('CASE WHEN horizon <> 3 THEN nowcast_level END', 'nowcast_level')}, {r('CASE WHEN horizon <> 3 THEN horizon ELSE -1 END', 'n_iter')}, horizon <> 3 AS converged FROM facts WHERE month(as_of) <> 2",

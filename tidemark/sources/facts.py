@@ -38,9 +38,9 @@ def append_facts(facts: DataFrame, path: str, batch: int) -> None:
 
 
 def latest(stored: DataFrame) -> DataFrame:
-    """One row for each key, that of the greatest batch, without `batch`; equal rows of one batch count once."""
+    """One row for each key, that of the greatest batch, of one batch the greatest row, without `batch`; nulls are least."""
     others = [c for c in stored.columns if c not in (*KEY, "batch")]
-    won = stored.groupBy(*KEY).agg(F.max_by(F.struct(*others), "batch").alias("won"))
+    won = stored.groupBy(*KEY).agg(F.max(F.struct("batch", *others)).alias("won"))
     return won.select(*KEY, *[F.col(f"won.{c}").alias(c) for c in others])
 
 
