@@ -44,7 +44,9 @@ def arma_nowcast(spark: SparkSession, sf: str):
 
 
 def mc_grid(spark: SparkSession, sf: str):
-    done = montecarlo.replications(montecarlo.grid(spark, [60, 120], ["student_t", "gaussian"], [0.0, 0.05], 2))
+    """Panels as long as the given series are, and half as long."""
+    lengths = base.levels(spark, sf).groupBy("series").agg(F.count(F.lit(1)).cast("int").alias("n")).agg(F.max("n")).first()[0]
+    done = montecarlo.replications(montecarlo.grid(spark, [lengths // 2, lengths], ["student_t", "gaussian"], [0.0, 0.05], 2))
     truths = spark.createDataFrame([], "metric string, truth double")
     return recovery.replication_summary(montecarlo.long_metrics(done), truths)
 

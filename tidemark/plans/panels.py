@@ -9,7 +9,7 @@ from ..functions import dates as D
 from ..functions import transforms as T
 from ..operators import panel as P
 from ..operators import profile, rolling
-from ..sources.levels import monthly_levels, quarterly_target, table
+from ..sources.levels import monthly_levels, order_months, quarterly_target, table
 from ..sources.registry import default_registry, registry_errors
 from ..sources.vintages import vintage_month, with_canonical_names
 from . import base
@@ -19,18 +19,21 @@ _ID = "series, block, freq, date"
 
 
 def series_registry(spark: SparkSession, sf: str):
-    reg = default_registry(spark)
-    return reg.select("ord", F.col("name").alias("series"), "block", "freq", "source", "transform", "lag")
+    """The registry, and what the tables hold of each series."""
+    reg = default_registry(spark).select("ord", F.col("name").alias("series"), "block", "freq", "source", "transform", "lag")
+    held = monthly_levels(spark, sf).groupBy("series").agg(F.count("value").alias("months"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    return reg.join(held, "series", "left").withColumn("months", F.coalesce("months", F.lit(0)))
 
 
 def registry_validation(spark: SparkSession, sf: str):
-    reg = default_registry(spark)
-    bad = reg.limit(0).unionByName(
-        spark.createDataFrame(
-            [(0, "a", "real", "monthly", "table", 9, None, 0), (1, "b", "odd", "weekly", "spread", 1, ["a"], 0), (2, "b", "other", "monthly", "table", None, None, 0)], reg.schema
-        )
-    )
-    return registry_errors(reg.unionByName(bad))
+    """Nations stand in for the series of a registry that breaks rules; those of region 0 are listed twice."""
+    k = F.col("n_nationkey").cast("int")
+    pick = lambda key, *values: F.element_at(F.array(*map(F.lit, values)), (key.cast("int") % len(values) + 1))
+    rows = table(spark, sf, "nation").select(
+        k.alias("ord"), F.col("n_name").alias("name"), pick(F.col("n_regionkey"), "real", "financial", "other", "odd").alias("block"), pick(k, "monthly", "quarterly", "weekly").alias("freq"),
+        pick(k, "table", "current", "spread", "file").alias("source"), F.nullif(k % 10, F.lit(0)).alias("transform"), F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("b"))).alias("components"), F.lit(0).alias("lag"), F.col("n_regionkey").alias("region"),
+    )
+    return registry_errors(rows.unionByName(rows.filter("region = 0")))
 
 
 def panel_monthly(spark: SparkSession, sf: str):
@@ -73,7 +76,7 @@ def panel_contract(spark: SparkSession, sf: str):
 
 
 def block_counts(spark: SparkSession, sf: str):
-    return default_registry(spark).groupBy("block", "freq").agg(F.count(F.lit(1)).alias("n"))
+    return base.panel(spark, sf).groupBy("block", "freq").agg(F.countDistinct("series").alias("n"), F.count("value").alias("n_values"))
 
 
 def missing_series(spark: SparkSession, sf: str):
@@ -106,9 +109,12 @@ def alias_range_join(spark: SparkSession, sf: str):
 
 
 def vintage_names(spark: SparkSession, sf: str):
-    names = ["2001-07.csv", "XX-MD_1999m11.csv", "2020-03-MD.csv", "notes.csv", "2001-13.csv", "2001-7.csv"]
-    rows = spark.createDataFrame([(n,) for n in names], "file_name string")
-    return rows.select("file_name", vintage_month(F.col("file_name")).alias("vintage_ym"))
+    """File names of the order months, in each of the known forms and in two that are none."""
+    months = order_months(spark, sf)
+    form = lambda text: F.date_format("date", text)
+    names = F.array(form("yyyy-MM'.csv'"), F.concat(F.lit("XX-MD_"), form("yyyy'm'MM'.csv'")), form("yyyy-MM'-MD.csv'"), form("yyyy-M'.CSV'"), form("'notes-'yyyy-MM'.csv'"), F.concat(form("yyyy"), F.lit("-"), F.month("date") + 12, F.lit(".csv")))
+    rows = months.select("date", F.explode(names).alias("file_name"))
+    return rows.select("file_name", "date", vintage_month(F.col("file_name")).alias("vintage_ym"))
 
 
 def revision_advance(spark: SparkSession, sf: str):
@@ -124,7 +130,9 @@ def revision_size(spark: SparkSession, sf: str):
 
 
 def as_of_coercion(spark: SparkSession, sf: str):
-    rows = spark.createDataFrame([("2006-01",), (" 2006-1 ",), ("2008-04-20",), ("2001-12",)], "text string")
+    """The order months as dates are written: as a month, with spaces, as the last day with an order."""
+    texts = F.array(F.date_format("date", "yyyy-MM"), F.concat(F.lit(" "), F.date_format("date", "yyyy-M"), F.lit(" ")), F.date_format("last", "yyyy-MM-dd"))
+    rows = order_months(spark, sf).select(F.explode(texts).alias("text"))
     return rows.select("text", D.as_of_day(F.col("text")).alias("day15"), D.as_of_first(F.col("text")).alias("day1"), D.last_complete_month(D.as_of_day(F.col("text"))).alias("complete"))
 
 
@@ -142,7 +150,8 @@ def publication_asof(spark: SparkSession, sf: str):
 
 
 def publication_lag_cutoff(spark: SparkSession, sf: str):
-    return P.cutoffs(default_registry(spark), rolling.as_of_dates(spark, START, END))
+    work = rolling.rolling_calendar(quarterly_target(spark, sf), rolling.as_of_dates(spark, START, END))
+    return P.cutoffs(default_registry(spark), work.select("as_of").distinct())
 
 
 def point_in_time_panel(spark: SparkSession, sf: str):
@@ -241,8 +250,11 @@ _PAIRS = """
 pairs AS (SELECT x.series AS a, y.series AS b, x.date, x.value AS x, y.value AS y FROM panel x JOIN panel y ON x.date = y.date AND x.series <= y.series WHERE x.value IS NOT NULL AND y.value IS NOT NULL)"""
 
 SQL = {
-    "series_registry": sql("levels", "SELECT CAST(ord AS INTEGER) AS ord, series, block, freq, source, CAST(transform AS INTEGER) AS transform, CAST(lag AS INTEGER) AS lag FROM reg"),
-    "registry_validation": "SELECT * FROM (VALUES ('a', 'transform out of range'), ('b', 'unknown block'), ('b', 'unknown frequency'), ('b', 'a spread needs two components'), ('b', 'no transform'), ('b', 'duplicate name')) AS t(name, error)",
+    "series_registry": sql("levels", "SELECT CAST(ord AS INTEGER) AS ord, reg.series, block, freq, source, CAST(transform AS INTEGER) AS transform, CAST(lag AS INTEGER) AS lag, count(value) AS months, min(date) AS first_date, max(date) AS last_date FROM reg LEFT JOIN levels ON levels.series = reg.series GROUP BY ALL"),
+    "registry_validation": """WITH n AS (SELECT CAST(n_nationkey AS INTEGER) AS k, n_name AS name, CAST(n_regionkey AS INTEGER) AS g FROM nation), t AS (SELECT * FROM n UNION ALL SELECT * FROM n WHERE g = 0)
+        SELECT name, 'unknown block' AS error FROM t WHERE g % 4 = 3 UNION ALL SELECT name, 'unknown frequency' FROM t WHERE k % 3 = 2 UNION ALL SELECT name, 'unknown source' FROM t WHERE k % 4 = 3
+        UNION ALL SELECT name, 'no transform' FROM t WHERE k % 4 IN (0, 2) AND k % 10 = 0 UNION ALL SELECT name, 'transform out of range' FROM t WHERE k % 10 > 7
+        UNION ALL SELECT name, 'a spread needs two components' FROM t WHERE k % 4 = 2 AND k % 3 <> 0 UNION ALL SELECT name, 'duplicate name' FROM n WHERE g = 0""",
     "panel_monthly": sql("levels", f"SELECT series, date, {r('value', 'value')} FROM levels"),
     "transform_codes": sql(
         "coded",
@@ -261,14 +273,16 @@ SQL = {
         "panel",
         "SELECT bool_and(date = last_day(date)) AS month_ends, bool_and(NOT (freq = 'quarterly' AND value IS NOT NULL) OR month(date) % 3 = 0) AS quarterly_at_quarter_ends, count(DISTINCT series) AS series, count(DISTINCT date) AS months FROM panel",
     ),
-    "block_counts": sql("levels", "SELECT block, freq, count(*) AS n FROM reg GROUP BY ALL"),
+    "block_counts": sql("panel", "SELECT block, freq, count(DISTINCT series) AS n, count(value) AS n_values FROM panel GROUP BY ALL"),
     "missing_series": sql("levels", "SELECT series AS name FROM reg WHERE source = 'table' AND series NOT IN (SELECT series FROM levels WHERE series NOT IN ('avg_tax', 'order_count'))"),
     "code_mismatches": sql(
         "levels",
         "SELECT series, CAST(code AS INTEGER) AS code, CAST(transform AS INTEGER) AS transform FROM (SELECT series, CASE WHEN count(*) > 82 THEN 5 ELSE 2 END AS code FROM levels GROUP BY series) JOIN reg USING (series) WHERE code IS DISTINCT FROM transform",
     ),
     "alias_range_join": sql("levels", "SELECT CAST(vintage_ym AS INTEGER) AS vintage_ym, series, count(*) AS n, max(date) AS last_date FROM vint GROUP BY ALL", _VINTAGES),
-    "vintage_names": "SELECT file_name, CAST(ym AS INTEGER) AS vintage_ym FROM (VALUES ('2001-07.csv', 200107), ('XX-MD_1999m11.csv', 199911), ('2020-03-MD.csv', 202003), ('notes.csv', NULL), ('2001-13.csv', NULL), ('2001-7.csv', 200107)) AS t(file_name, ym)",
+    "vintage_names": """WITH m AS (SELECT DISTINCT last_day(CAST(o_orderdate AS DATE)) AS date FROM orders), n AS (SELECT date, unnest([strftime(date, '%Y-%m') || '.csv', 'XX-MD_' || strftime(date, '%Y') || 'm' || strftime(date, '%m') || '.csv', strftime(date, '%Y-%m') || '-MD.csv',
+        year(date) || '-' || month(date) || '.CSV', 'notes-' || strftime(date, '%Y-%m') || '.csv', year(date) || '-' || (month(date) + 12) || '.csv']) AS file_name FROM m)
+        SELECT file_name, date, CASE WHEN file_name LIKE 'notes%' OR file_name = year(date) || '-' || (month(date) + 12) || '.csv' THEN NULL ELSE CAST(year(date) * 100 + month(date) AS INTEGER) END AS vintage_ym FROM n""",
     "revision_advance": sql(
         "levels",
         "SELECT CAST(v.vintage_ym AS INTEGER) AS vintage_ym, v.series, count(*) AS n, min(v.date) AS first_date FROM vint v WHERE v.vintage_ym > 199606 AND NOT EXISTS (SELECT 1 FROM vint p WHERE p.vintage_ym = v.vintage_ym - 100 AND p.series = v.series AND p.date = v.date) GROUP BY ALL",
@@ -278,12 +292,14 @@ SQL = {
         "levels",
         f"SELECT l.series, count(*) AS n, {r('max(abs(e.value - l.value))', 'largest')} FROM levels l JOIN (SELECT last_day(CAST(o_orderdate AS DATE)) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS value FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) e ON e.date = l.date WHERE l.series = 'order_value' GROUP BY l.series",
     ),
-    "as_of_coercion": "SELECT text, CAST(a AS DATE) AS day15, CAST(b AS DATE) AS day1, CAST(c AS DATE) AS complete FROM (VALUES ('2006-01', '2006-01-15', '2006-01-01', '2005-12-31'), (' 2006-1 ', '2006-01-15', '2006-01-01', '2005-12-31'), ('2008-04-20', '2008-04-20', '2008-04-20', '2008-03-31'), ('2001-12', '2001-12-15', '2001-12-01', '2001-11-30')) AS t(text, a, b, c)",
+    "as_of_coercion": """WITH m AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS date, max(CAST(o_orderdate AS DATE)) AS last FROM orders GROUP BY 1), d AS (SELECT date, last, make_date(year(date), month(date), 1) AS first FROM m)
+        SELECT strftime(date, '%Y-%m') AS text, first + 14 AS day15, first AS day1, first - 1 AS complete FROM d UNION ALL SELECT ' ' || year(date) || '-' || month(date) || ' ', first + 14, first, first - 1 FROM d
+        UNION ALL SELECT strftime(last, '%Y-%m-%d'), last, last, CASE WHEN last = date THEN date ELSE first - 1 END FROM d""",
     "quarter_labels": """SELECT q AS quarter, count(*) AS orders, year(q) || 'Q' || quarter(q) AS label, right(year(q) || 'Q' || quarter(q), 4) AS short, q AS parsed,
         CAST(year(q) * 4 + quarter(q) - (1995 * 4 + 1) AS INTEGER) AS since_1995q1
         FROM (SELECT last_day(make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1)) AS q FROM orders) GROUP BY q""",
     "publication_asof": sql("calendar", "SELECT * FROM lastpub"),
-    "publication_lag_cutoff": sql("levels", "SELECT as_of, series, last_day(CAST(make_date(year(as_of), month(as_of), 1) - to_months(CAST(1 + lag AS INTEGER)) AS DATE)) AS cutoff FROM reg CROSS JOIN dates15 WHERE freq = 'monthly'", base._CALENDAR.split("lastpub AS")[0].rstrip().rstrip(",")),
+    "publication_lag_cutoff": sql("calendar", "SELECT as_of, series, last_day(CAST(make_date(year(as_of), month(as_of), 1) - to_months(CAST(1 + lag AS INTEGER)) AS DATE)) AS cutoff FROM reg CROSS JOIN (SELECT DISTINCT as_of FROM cal) WHERE freq = 'monthly'", base._REGISTRY),
     "point_in_time_panel": sql(
         "panel",
         f"""SELECT as_of, series, count(*) AS n, max(date) AS last_date, {r('arg_max(value, date)', 'last_value')} FROM panel JOIN dates15 ON CASE WHEN freq = 'quarterly' THEN last_day(CAST(date + to_months(CAST(lag AS INTEGER)) AS DATE)) <= as_of

@@ -146,6 +146,25 @@ def json_safe_levels(spark: SparkSession, sf: str):
     return results.json_safe(base.levels(spark, sf).withColumn("value", bad))
 
 
+def json_safe_nested(spark: SparkSession, sf: str):
+    """A year's levels as an array of structs, some of which hold no number, read back from JSON."""
+    bad = F.when(F.month("date") == 1, F.lit(float("nan"))).when(F.month("date") == 2, F.lit(float("-inf"))).otherwise(F.col("value"))
+    rows = base.levels(spark, sf).groupBy("series", F.year("date").alias("year")).agg(F.array_sort(F.collect_list(F.struct("date", bad.alias("value")))).alias("months"))
+    path = new_path(spark, "nested")
+    results.write_json(rows, path)
+    back = results.read_json(spark, path, "series string, year int, months array<struct<date:date,value:double>>")
+    return back.select("series", "year", F.explode("months").alias("m")).select("series", "year", "m.date", "m.value")
+
+
+def resume_settings(spark: SparkSession, sf: str):
+    """Work and results of a grid over the as-of months: those before 1999 were done with 50 iterations, those of one method under other settings."""
+    work = base.facts(spark, sf).select("as_of", "target_quarter", "method").withColumn("max_iter", F.lit(100)).withColumn("tolerance", F.lit(0.001))
+    done = work.filter("method <> 'mean'").withColumn("max_iter", F.when(F.year("as_of") < 1999, 50).otherwise(100)).withColumn("tolerance", F.when(F.col("method") == "seasonal", 0.01).otherwise(0.001))
+    todo, kept, stale = results.resumed(work, done, ["as_of", "target_quarter", "method"], ["max_iter", "tolerance"])
+    each = [df.select("as_of", "target_quarter", "method", F.lit(name).alias("state")) for df, name in ((todo, "todo"), (kept, "kept"), (stale, "stale"))]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 def report_advantage(spark: SparkSession, sf: str):
     made = recovery.advantage(recovery.replication_summary(_replications(spark, sf), _truths(spark)), "1")
     return made.select("metric", "scenario", *[F.round(c, 3).alias(c) for c in ("mean", "advantage")], "gap")
@@ -177,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         facts_stream, vintage_scan, vintage_codes, vintage_panel, vintage_raw_levels, current_revised, vintage_load, vintage_index, vintage_listing, facts_upsert, backtest_ledger, panel_metadata, missing_pattern, calendar_extension, destandardised, drift_check,
-        json_safe_levels, report_advantage, report_side_by_side, density_quantiles, vol_regression,
+        json_safe_levels, json_safe_nested, resume_settings, report_advantage, report_side_by_side, density_quantiles, vol_regression,
     )
 }
 
@@ -249,6 +268,11 @@ SQL = {
     "destandardised": sql("z", f"SELECT series, date, {r('z * std + mean', 'value')} FROM zpanel WHERE z IS NOT NULL"),
     "drift_check": sql("z", f"SELECT DISTINCT series, {r(chr(67) + 'ASE WHEN series = ' + chr(39) + 'unit_price' + chr(39) + ' THEN 0.5 END', 'off')} FROM zpanel WHERE series IN ('unit_price', 'avg_tax')"),
     "json_safe_levels": sql("levels", f"SELECT series, date, {r('CASE WHEN month(date) > 2 THEN value END', 'value')} FROM levels"),
+    "json_safe_nested": sql("levels", f"SELECT series, CAST(year(date) AS INTEGER) AS year, date, {r('CASE WHEN month(date) > 2 THEN value END', 'value')} FROM levels"),
+    "resume_settings": sql(
+        "facts",
+        """SELECT as_of, target_quarter, method, unnest(CASE WHEN method = 'mean' THEN ['todo'] WHEN method = 'seasonal' OR year(as_of) < 1999 THEN ['todo', 'stale'] ELSE ['kept'] END) AS state FROM facts""",
+    ),
     "report_advantage": "WITH " + _REPLICAS + ", " + _MEANS + f" SELECT m.metric, m.scenario, {r('round(m.mean, 3)', 'mean')}, {r('round(o.mean - m.mean, 3)', 'advantage')}, {r('m.mean / o.mean - 1', 'gap')} FROM means m JOIN means o ON o.metric = m.metric AND o.scenario = '1'",
     "report_side_by_side": "WITH " + _REPLICAS + ", " + _MEANS + " SELECT metric, " + ", ".join(r(f"round(max(mean) FILTER (WHERE scenario = '{i}'), 3)", f"scenario_{i}") for i in range(1, 6)) + " FROM means GROUP BY metric",
     "density_quantiles": "SELECT event_type, n, "
