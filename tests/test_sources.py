@@ -152,3 +152,28 @@ def test_results_round_trip(spark, tmp_path):
     assert results.unfinished(fits, fits.filter("fit_id = 'x'"), ["fit_id"]).count() == 1
     stats = spark.createDataFrame([("s", 1.0, 2.0), ("t", 1.0, 2.0)], "series string, mean double, std double")
     assert [r.series for r in results.drifted(stats, stats.filter("series = 's'"), ["series"]).collect()] == ["t"]
+
+
+def test_resume_tells_stale_settings(spark):
+    from tidemark.sources import results
+
+    work = spark.createDataFrame([("a", 1, 100), ("b", 1, 100), ("c", 1, 100)], "name string, seed int, max_iter int")
+    done = spark.createDataFrame([("a", 1, 100, 0.5), ("b", 1, 50, 0.6), ("b", 1, None, 0.7), ("z", 1, 100, 0.8)], "name string, seed int, max_iter int, score double")
+    todo, kept, stale = results.resumed(work, done, ["name", "seed"], ["max_iter"])
+    assert sorted(r.name for r in todo.collect()) == ["b", "c"]
+    assert [tuple(r) for r in kept.select("name", "score").collect()] == [("a", 0.5)] and sorted(r.score for r in stale.collect()) == [0.6, 0.7]
+
+
+def test_json_has_no_numbers_that_are_not_finite(spark, tmp_path):
+    from tidemark.sources import results
+
+    nan, inf = float("nan"), float("inf")
+    kind = "a array<double>, s struct<x:double,t:array<struct<y:double,n:string>>>, m map<string,double>, f float, n int"
+    rows = spark.createDataFrame([([1.0, nan, None, inf], (nan, [(-inf, "k"), (2.0, None)]), {"p": inf, "q": 1.0}, nan, 3), (None, None, None, None, None)], kind)
+    made = results.json_safe(rows)
+    assert made.schema.simpleString() == rows.schema.simpleString()
+    first, second = made.collect()
+    assert first.a == [1.0, None, None, None] and first.s.x is None and [t.y for t in first.s.t] == [None, 2.0] and first.m == {"p": None, "q": 1.0} and first.f is None
+    assert tuple(second) == (None,) * 5
+    results.write_json(rows, str(tmp_path / "x"))
+    assert "NaN" not in "".join(p.read_text() for p in (tmp_path / "x").glob("*.json"))
