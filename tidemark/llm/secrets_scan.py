@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, sized, table
+from ..storage import broadcast_limit
+from .common import materialise, sized, table, weight
 from .trigrams import trigram_query
 
 
@@ -107,7 +108,16 @@ def find_secrets(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_c
     found = materialise(candidates(rows, rules), "candidates")
     right = sized(found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "kinds"), found)
     same = rows["doc_id"].eqNullSafe(right["_id"]) & (rows["hash"] == right["_hash"])
-    told = rows.join(right, same, "left").select("doc_id", "text", "kinds")
+    if weight(found)[1] <= broadcast_limit():
+        told = rows.join(right, same, "left").select("doc_id", "text", "kinds")
+    else:
+        # texts are shuffled only if a rule that the index serves may match them
+        asks = F.lit(False)
+        for rule in rules:
+            if trigram_query(rule.pattern) is not None:
+                asks = asks | F.col("text").rlike(_screen(rule))
+        told = rows.filter(asks).join(right, same, "left").select("doc_id", "text", "kinds")
+        told = told.unionByName(rows.filter(~asks).select("doc_id", "text", F.lit(None).cast("array<string>").alias("kinds")))
     none = F.array().cast("array<struct<length:int,kept:boolean>>")
     parts = []
     for order, rule in enumerate(rules):
