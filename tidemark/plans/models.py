@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import quarter_index
 from ..functions.transforms import standardise
-from ..operators import benchmarks, factor_model, montecarlo, panel as P, recovery, rolling, tails
+from ..operators import benchmarks, densities, factor_model, montecarlo, panel as P, recovery, rolling, tails
 from ..operators.scalar_filter import scalar_filter, scalar_smoother
-from ..sources.levels import quarterly_target
+from ..sources.levels import quarterly_target, table
 from . import base
 from .base import r, sql
 
@@ -65,6 +65,23 @@ def density_simulated(spark: SparkSession, sf: str):
     return tails.describe_draws(tails.density_draws(spark, parameters, 20_000), realised)
 
 
+def _skewed(spark: SparkSession, sf: str) -> DataFrame:
+    """A density for each type of event, whose skew and tails follow from its moments."""
+    m = table(spark, sf, "events").groupBy(F.col("event_type").alias("key")).agg(F.avg("value").alias("xi"), F.stddev_samp("value").alias("omega"), F.avg((F.col("value") < 50).cast("double")).alias("low_share"), F.count(F.lit(1)).alias("n"))
+    m = m.select("key", "xi", "omega", (4 * F.col("low_share") - 2).alias("alpha"), (3 + F.col("n") % 7).cast("double").alias("nu"))
+    return m.withColumn("low", F.col("xi") - 6 * F.col("omega")).withColumn("high", F.col("xi") + 6 * F.col("omega"))
+
+
+def skewed_quantiles(spark: SparkSession, sf: str):
+    return densities.quantiles_of(densities.skewed_grid(_skewed(spark, sf), 500), list(tails.TAUS))
+
+
+def skewed_probability(spark: SparkSession, sf: str):
+    """The share of each day's mean value under its type's density."""
+    events = table(spark, sf, "events").groupBy(F.col("event_type").alias("key"), F.col("ts").cast("date").alias("date")).agg(F.avg("value").alias("value"))
+    return densities.probabilities_of(densities.skewed_grid(_skewed(spark, sf), 500), events)
+
+
 def _observed(spark: SparkSession, sf: str) -> DataFrame:
     rows = base.standardised(spark, sf).filter("freq = 'monthly'")
     return rows.select(F.col("series").alias("key"), "date", F.col("z").alias("y"))
@@ -78,9 +95,22 @@ def scalar_smooth(spark: SparkSession, sf: str):
     return scalar_smoother(_observed(spark, sf), 0.9, 0.2, 0.5)
 
 
-QUERIES = {f.__name__: f for f in (dfm_fit, dfm_nowcast, arma_nowcast, mc_grid, quantile_tails, density_simulated, scalar_kalman, scalar_smooth)}
+QUERIES = {f.__name__: f for f in (dfm_fit, dfm_nowcast, arma_nowcast, mc_grid, quantile_tails, density_simulated, scalar_kalman, scalar_smooth, skewed_quantiles, skewed_probability)}
+
+_RULE = "[" + ", ".join(f"{{'node': {n!r}::DOUBLE, 'weight': {w!r}::DOUBLE}}" for n, w in zip(densities.NODES, densities.WEIGHTS, strict=True)) + "]"
+_ARC = lambda upper: f"({upper} / 2 * list_sum(list_transform(rule, lambda r: r.weight * cos({upper} * (0.5::DOUBLE + 0.5::DOUBLE * r.node)) ** nu)))"
+_SKEWED = f"""WITH m AS (SELECT event_type AS key, avg(value) AS xi, stddev_samp(value) AS omega, 4 * avg(CAST(value < 50 AS DOUBLE)) - 2 AS alpha, CAST(3 + count(*) % 7 AS DOUBLE) AS nu FROM events GROUP BY 1),
+g AS (SELECT *, xi - 6 * omega + i * (12 * omega / 499) AS x, {_RULE} AS rule FROM m CROSS JOIN (SELECT unnest(range(500)) AS i)),
+z AS (SELECT *, (x - xi) / omega AS z FROM g),
+u AS (SELECT *, atan(alpha * z * sqrt((nu + 1) / (z * z + nu)) / sqrt(nu + 1)) AS u FROM z),
+f AS (SELECT key, i, x, omega, (1 + z * z / nu) ** (-(nu + 1) / 2) * (0.5::DOUBLE + 0.5::DOUBLE * {_ARC('u')} / {_ARC('(pi() / 2)')}) AS pdf FROM u),
+a AS (SELECT *, coalesce((pdf + lag(pdf) OVER (PARTITION BY key ORDER BY i)) / 2 * 12 * omega / 499, 0) AS area FROM f),
+c AS (SELECT key, i, x, sum(area) OVER (PARTITION BY key ORDER BY i) / sum(area) OVER (PARTITION BY key) AS cdf FROM a),
+n AS (SELECT *, lead(x) OVER (PARTITION BY key ORDER BY i) AS nx, lead(cdf) OVER (PARTITION BY key ORDER BY i) AS nc FROM c)"""
 
 SQL = {
+    "skewed_quantiles": f"{_SKEWED} SELECT key, tau, {r('x + (tau - cdf) / (nc - cdf) * (nx - x)', 'q')} FROM n JOIN (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in tails.TAUS)}]) AS tau) ON cdf <= tau AND tau < nc",
+    "skewed_probability": f"{_SKEWED}, d AS (SELECT event_type AS key, CAST(ts AS DATE) AS date, avg(value) AS value FROM events GROUP BY ALL) SELECT d.key, date, {r('value', 'value')}, {r('cdf + (value - x) / (nx - x) * (nc - cdf)', 'pit')} FROM d JOIN n ON n.key = d.key AND value >= x AND value < nx",
     "scalar_kalman": sql(
         "z",
         f"SELECT key, date, {r('m', 'mean')}, {r('p', 'variance')}, {r('ll', 'loglik')} FROM k WHERE i > 0",
