@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import matrices as X
 from tidemark.functions.special import digamma, digamma_column
 from tidemark.operators import moments as M
+from tidemark.operators import recovery
 
 
 def table(spark, matrices):
@@ -61,3 +62,28 @@ def test_digamma_column(spark):
     xs = [0.05, 0.5, 1.0, 2.5, 9.0, 500.0]
     rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", digamma_column(F.col("x")).alias("d")).collect()
     assert all(r.d == pytest.approx(digamma(r.x)[0], rel=1e-9) for r in rows)
+
+
+def test_rotations_and_changes_of_basis(spark):
+    rng = np.random.default_rng(3)
+    ms = [rng.standard_normal((n, n)) for n in (1, 2, 3, 6)] + [np.diag([1e-4, 1.0, 1e4])]
+    for r in table(spark, ms).select("fit", X.polar(F.col("a")).alias("p")).collect():
+        u, _, v = np.linalg.svd(ms[r.fit])
+        p = np.array(r.p)
+        assert np.abs(p.T @ p - np.eye(len(p))).max() < 1e-9 and np.allclose(p, u @ v, atol=1e-8)
+    assert table(spark, [np.ones((2, 2))]).select(X.polar(F.col("a")).alias("p")).first().p is None
+    h, q = ms[2], ms[2] @ ms[2].T
+    row = table(spark, [h]).select(X.changed_basis(F.lit(ms[2].tolist()), F.col("a")).alias("b"), X.changed_covariance(F.lit(q.tolist()), F.col("a")).alias("c")).first()
+    assert np.allclose(row.b, np.linalg.inv(h) @ ms[2] @ h) and np.allclose(row.c, np.eye(3), atol=1e-8)
+
+
+def test_free_rotation_undoes_a_rotation(spark):
+    rng = np.random.default_rng(4)
+    rows, turns = [], {}
+    for fit in ("a", "b"):
+        star = rng.standard_normal((12, 3))
+        turns[fit], _ = np.linalg.qr(rng.standard_normal((3, 3)))
+        hat = star @ turns[fit].T + (0 if fit == "a" else 0.1) * rng.standard_normal((12, 3))
+        rows += [(fit, f"s{i}", f"f{j}", float(hat[i, j]), float(star[i, j])) for i in range(12) for j in range(3)]
+    made = {r.fit: r for r in recovery.free_rotation(spark.createDataFrame(rows, "fit string, series string, factor string, hat double, star double")).collect()}
+    assert np.allclose(made["a"].rotation, turns["a"], atol=1e-9) and made["a"].error < 1e-7 < made["b"].error < 0.2

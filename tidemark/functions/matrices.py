@@ -114,3 +114,20 @@ def leading(a: Column, squarings: int = 40) -> Column:
 def deflated(a: Column, pair: Column) -> Column:
     """a without the part along an eigenvector, given as leading gives it."""
     return F.transform(a, lambda row, i: F.zip_with(row, pair["vector"], lambda x, v: x - pair["value"] * pair["vector"][i] * v))
+
+
+def polar(a: Column, rounds: int = 60) -> Column:
+    """The orthogonal matrix nearest a regular one, by Newton's iteration: the mean of a matrix and its transposed inverse, again and again; null for a singular one."""
+    empty = F.lit(None).cast("array<array<double>>")
+    step = lambda m, _: F.when(m.isNotNull(), scaled(plus(m, transposed(inverse(m))), F.lit(0.5))).otherwise(empty)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), a, step)
+
+
+def changed_basis(a: Column, h: Column) -> Column:
+    """h^-1 a h: what a is for coordinates in the columns of h."""
+    return solve(h, product(a, h))
+
+
+def changed_covariance(q: Column, h: Column) -> Column:
+    """h^-1 q h'^-1: the covariance of coordinates in the columns of h."""
+    return transposed(solve(h, transposed(solve(h, q))))

@@ -104,6 +104,14 @@ def matrix_rows(fits: DataFrame, columns: list[str]) -> DataFrame:
     return one.select("fit", "row", "col", *[F.col(c)[F.col("i")][F.col("j")].alias(c) for c in columns])
 
 
+def in_unit_scale(fits: DataFrame, scales: DataFrame) -> DataFrame:
+    """fits (fit, names, a, q) for factors that are divided by their scales (fit, block, scale): a change of basis by a diagonal matrix."""
+    own = scales.groupBy("fit").agg(F.map_from_entries(F.collect_list(F.struct("block", "scale"))).alias("s"))
+    diagonal = F.transform("names", lambda n, i: F.transform("names", lambda m, j: F.when(i == j, F.element_at("s", n)).otherwise(0.0)))
+    joined = fits.join(own, "fit").withColumn("h", diagonal)
+    return joined.select("fit", "names", X.changed_basis(F.col("a"), F.col("h")).alias("a"), X.changed_covariance(F.col("q"), F.col("h")).alias("q"))
+
+
 def impulse_responses(fits: DataFrame, horizon: int = 30) -> DataFrame:
     """(fit, h, row, col, response): A^h, for h from 0 to the horizon, of fits (fit, names, a)."""
     start = F.array(X.identity(F.size("names")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import matrices as X
+from .moments import matrices_of
 from .quantiles import exact_quantiles
 
 
@@ -63,6 +65,26 @@ def block_rotation(loadings: DataFrame) -> DataFrame:
     )
 
 
+def free_rotation(loadings: DataFrame) -> DataFrame:
+    """(fit, names, rotation, error): the rotation that brings hat nearest star, and the relative distance after it, of many fits at once.
+
+    loadings: (fit, series, factor, hat, star). Rotations mix all factors, in the
+    order of names. Cells that lack are 0; cross products are summed before they
+    meet, so series may be many. The rotation is null if the products are singular;
+    reflections are allowed.
+    """
+    by_series = loadings.groupBy("fit", "series").agg(F.collect_list(F.struct("factor", "hat", "star")).alias("f"))
+    left = by_series.select("fit", "f", F.explode("f").alias("x"))
+    cells = left.select("fit", F.col("x.factor").alias("row"), F.col("x.hat").alias("hat"), F.explode("f").alias("y")).groupBy("fit", "row", F.col("y.factor").alias("col"))
+    products = cells.agg(F.sum(F.col("hat") * F.col("y.star")).alias("cross"), F.sum(F.col("hat") * F.col("y.hat")).alias("own"))
+    total = loadings.groupBy("fit").agg(F.sum(F.col("star") * F.col("star")).alias("star2"))
+    m = matrices_of(products, ["fit"], "row", "col", ["cross", "own"]).withColumn("rotation", X.polar(F.col("cross"))).join(total, "fit")
+    trace = lambda a: F.aggregate(F.transform(a, lambda row, i: row[i]), F.lit(0.0), lambda s, x: s + x)
+    # |hat R - star|^2 = |hat|^2 - 2 tr(R' hat' star) + |star|^2, as R is orthogonal
+    off = trace(F.col("own")) - 2 * trace(X.product(X.transposed(F.col("rotation")), F.col("cross"))) + F.col("star2")
+    return m.select("fit", "names", "rotation", (F.sqrt(F.greatest(F.lit(0.0), off)) / F.sqrt(F.nullif(F.col("star2"), F.lit(0.0)))).alias("error"))
+
+
 def replication_summary(metrics: DataFrame, truths: DataFrame, errors: str = "relerr|err_norm") -> DataFrame:
     """(scenario, metric, n, mean, std, median, q05, q95, bias, rmse) over finite values.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import digamma_sql
 from ..operators import moments as M
-from ..operators import profile
+from ..operators import profile, recovery
 from ..sources import results
 from . import base
 from .base import r, sql
@@ -77,6 +77,26 @@ def transition_roots(spark: SparkSession, sf: str):
     return M.roots_of_three(_transitions(spark, sf)).select("fit", "nth", F.abs("re").alias("re"), F.abs("im").alias("im"), "modulus")
 
 
+def basis_change(spark: SparkSession, sf: str):
+    """The transition of factors that are scaled to a total variance of one."""
+    scales = M.unit_scale(_factors(spark, sf))
+    both = scales.unionByName(scales.withColumn("fit", F.lit("weighted")))
+    return M.matrix_rows(M.in_unit_scale(_transitions(spark, sf), both), ["a", "q"])
+
+
+def _correlations(spark: SparkSession, sf: str) -> DataFrame:
+    """(fit, series, factor, hat, star): correlations of series with each block's factor until 1998, and over all dates."""
+    z, factors = base.factors(spark, sf)
+    rows = z.filter("freq = 'monthly' AND z IS NOT NULL").select("series", "date", "z").join(factors.withColumnRenamed("block", "f"), "date")
+    early = F.when(F.col("date") < F.lit("1999-01-01").cast("date"), F.col("z"))
+    return rows.groupBy("series", F.col("f").alias("factor")).agg(F.corr(early, "factor").alias("hat"), F.corr("z", "factor").alias("star")).withColumn("fit", F.lit("a"))
+
+
+def procrustes_free(spark: SparkSession, sf: str):
+    made = recovery.free_rotation(_correlations(spark, sf))
+    return M.matrix_rows(made, ["rotation"]).join(made.select("fit", "error"), "fit")
+
+
 def _block_gram(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     z = base.standardised(spark, sf).filter("freq = 'monthly'")
     blocks = z.select("series", "block").distinct()
@@ -114,7 +134,7 @@ def scenario_names(spark: SparkSession, sf: str):
     return rows.select("series", results.scenario_name(F.col("series"), F.col("months"), F.lit(0.05), F.lit(20)).alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (em_weights, em_shock_distances, em_loadings, em_transition_moments, em_transition, impulse_responses, transition_roots, block_pca, pca_factors, em_degrees, em_degrees_by_year, em_orientation, em_unit_scale, data_fingerprint, scenario_names)}
+QUERIES = {f.__name__: f for f in (em_weights, em_shock_distances, em_loadings, em_transition_moments, em_transition, impulse_responses, transition_roots, basis_change, procrustes_free, block_pca, pca_factors, em_degrees, em_degrees_by_year, em_orientation, em_unit_scale, data_fingerprint, scenario_names)}
 
 _NOISE = "own AS (SELECT series, loading, var_samp(residual) AS noise FROM fits GROUP BY series, loading)"
 _ROWS = "mrows AS (SELECT z.series, z.block, z.date, z.z AS y, f.factor AS f, 0.05::DOUBLE AS v FROM zpanel z JOIN factors f ON f.block = z.block AND f.date = z.date WHERE z.freq = 'monthly')"
@@ -141,6 +161,8 @@ def _cell(m: str, i: int, j: int) -> str:
 _BLOCKS = ("financial", "other", "real")
 _NINE = [(i, j) for i in range(3) for j in range(3)]
 _COF = {(i, j): f"(p00_{(i + 1) % 3}{(j + 1) % 3} * p00_{(i + 2) % 3}{(j + 2) % 3} - p00_{(i + 1) % 3}{(j + 2) % 3} * p00_{(i + 2) % 3}{(j + 1) % 3})" for i, j in _NINE}
+_XCOF = {k: v.replace("p00_", "x_") for k, v in _COF.items()}
+_XDET = f"(x_00 * {_XCOF[0, 0]} + x_01 * {_XCOF[0, 1]} + x_02 * {_XCOF[0, 2]})"
 _TRANSITION = [
     "lagged AS (SELECT *, lag(factor) OVER (PARTITION BY block ORDER BY date) AS g FROM factors)",
     """tm AS (SELECT 'a' AS fit, x.block AS row, y.block AS col, sum(x.factor * y.factor) AS p11, sum(x.factor * y.g) AS p10, sum(x.g * y.g) AS p00, count(*) AS n
@@ -181,6 +203,21 @@ SQL = {
     "em_degrees_by_year": sql("factors", f"SELECT fit, {_NU} FROM roots", _NOISE, _ROWS, _W, *_bisected("SELECT year(date) AS fit, 1 + avg(ln(w)) - avg(w) AS gap FROM ww GROUP BY 1", "fit, "), recursive=True),
     "em_transition": sql("factors", f"SELECT fit, row, col, {r('a', 'a')}, {r('q', 'q')} FROM cells", _NOISE, _ROWS, _W, *_TRANSITION),
     "impulse_responses": sql("factors", f"SELECT fit, CAST(h AS INTEGER) AS h, b.name AS row, b.name AS col, {r('m[k][k]', 'response')} FROM powers CROSS JOIN (VALUES (1, 'financial'), (2, 'other'), (3, 'real')) b(k, name)", _NOISE, _ROWS, _W, *_TRANSITION, _POWERS, recursive=True),
+    "basis_change": sql(
+        "factors",
+        f"SELECT fit, row, col, {r('a * y.scale / x.scale', 'a')}, {r('q / x.scale / y.scale', 'q')} FROM cells JOIN sc x ON x.block = row JOIN sc y ON y.block = col",
+        _NOISE, _ROWS, _W, *_TRANSITION, "sc AS (SELECT block, sqrt(var_pop(factor) + 0.05) AS scale FROM factors GROUP BY block)",
+    ),
+    "procrustes_free": sql(
+        "factors",
+        f"SELECT 'a' AS fit, row, col, {r('rotation', 'rotation')}, {r('sqrt(greatest(0, h2 - 2 * (' + ' + '.join(f'x_{i}{j} * c_{i}{j}' for i, j in _NINE) + ') + s2)) / sqrt(s2)', 'error')} FROM (SELECT *, unnest([" + ", ".join(f"{{'row': '{_BLOCKS[i]}', 'col': '{_BLOCKS[j]}', 'rotation': x_{i}{j}}}" for i, j in _NINE) + "], recursive := true) FROM newton WHERE k = 60)",
+        "co AS (SELECT series, f.block AS f, corr(z, factor) FILTER (WHERE z.date < DATE '1999-01-01') AS hat, corr(z, factor) AS star FROM zpanel z JOIN factors f ON f.date = z.date WHERE z.freq = 'monthly' AND z.z IS NOT NULL GROUP BY ALL)",
+        "crossed AS (SELECT x.f AS i, y.f AS j, sum(x.hat * y.star) AS c FROM co x JOIN co y ON x.series = y.series GROUP BY ALL)",
+        "mm AS (SELECT " + ", ".join(f"max(c) FILTER (WHERE i = '{_BLOCKS[i]}' AND j = '{_BLOCKS[j]}') AS c_{i}{j}" for i, j in _NINE) + ", (SELECT sum(hat * hat) FROM co) AS h2, (SELECT sum(star * star) FROM co) AS s2 FROM crossed)",
+        # the transposed inverse is the cofactors over the determinant
+        "newton AS (SELECT 0 AS k, mm.*, " + ", ".join(f"c_{i}{j} AS x_{i}{j}" for i, j in _NINE) + " FROM mm UNION ALL SELECT k + 1, " + ", ".join(f"c_{i}{j}" for i, j in _NINE) + ", h2, s2, " + ", ".join(f"(x_{i}{j} + {_XCOF[i, j]} / {_XDET}) / 2" for i, j in _NINE) + " FROM newton WHERE k < 60)",
+        recursive=True,
+    ),
     "block_pca": sql("z", f"SELECT block, s.series AS series, {r('s.x * CASE WHEN list_sum(v) < 0 THEN -1 ELSE 1 END', 'loading')}, {r('value', 'value')} FROM (SELECT block, v, value, unnest(list_transform(names, lambda n, i: {{'series': n, 'x': v[i]}})) AS s FROM pcs)", *_PCA, recursive=True),
     "pca_factors": sql(
         "z",
