@@ -8,7 +8,7 @@ import xxhash
 
 SEED = 42
 #: Bytes of text worked on at a time; longer texts are cut between words.
-PIECE = 2_000_000
+PIECE = 1 << 19
 #: Longer shingles are hashed one by one.
 VECTOR_BYTES = 160
 
