@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.special import digamma_sql
 from ..operators import moments as M
 from ..operators import profile, recovery
+from ..operators.static_em import fit_static
 from ..sources import results
 from . import base
 from .base import r, sql
@@ -97,6 +98,17 @@ def procrustes_free(spark: SparkSession, sf: str):
     return M.matrix_rows(made, ["rotation"]).join(made.select("fit", "error"), "fit")
 
 
+def static_em(spark: SparkSession, sf: str):
+    """One fit of all months, and one of each of two halves, from least-squares loadings on block means."""
+    z, factors = base.factors(spark, sf)
+    rows = z.filter("freq = 'monthly'").select("series", "block", "date", F.col("z").alias("y"))
+    half = F.when(F.col("date") < F.lit("1998-07-01").cast("date"), "early").otherwise("late")
+    rows = rows.withColumn("fit", F.lit("all")).unionByName(rows.withColumn("fit", half))
+    start = profile.loadings(z, factors).select("series", "loading", F.greatest("residual_var", F.lit(0.01)).alias("noise"))
+    start = rows.select("fit", "series").distinct().join(start, "series")
+    return fit_static(rows, start, tolerance=2e-3, max_iter=12)
+
+
 def _block_gram(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     z = base.standardised(spark, sf).filter("freq = 'monthly'")
     blocks = z.select("series", "block").distinct()
@@ -134,7 +146,7 @@ def scenario_names(spark: SparkSession, sf: str):
     return rows.select("series", results.scenario_name(F.col("series"), F.col("months"), F.lit(0.05), F.lit(20)).alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (em_weights, em_shock_distances, em_loadings, em_transition_moments, em_transition, impulse_responses, transition_roots, basis_change, procrustes_free, block_pca, pca_factors, em_degrees, em_degrees_by_year, em_orientation, em_unit_scale, data_fingerprint, scenario_names)}
+QUERIES = {f.__name__: f for f in (em_weights, em_shock_distances, em_loadings, em_transition_moments, em_transition, impulse_responses, transition_roots, basis_change, procrustes_free, static_em, block_pca, pca_factors, em_degrees, em_degrees_by_year, em_orientation, em_unit_scale, data_fingerprint, scenario_names)}
 
 _NOISE = "own AS (SELECT series, loading, var_samp(residual) AS noise FROM fits GROUP BY series, loading)"
 _ROWS = "mrows AS (SELECT z.series, z.block, z.date, z.z AS y, f.factor AS f, 0.05::DOUBLE AS v FROM zpanel z JOIN factors f ON f.block = z.block AND f.date = z.date WHERE z.freq = 'monthly')"
