@@ -117,3 +117,10 @@ def test_many_matches_in_one_text(spark):
     docs = spark.createDataFrame([(1, "0123456789abcdef " * 20_000)], "doc_id long, text string")
     spans = secrets_scan.find_secrets(docs).first().spans
     assert [(s.start, s.end) for s in spans] == [(17 * i, 17 * i + 16) for i in range(20_000)]
+
+
+def test_conversations_end_in_an_accepting_state(spark):
+    rows = [(1, 0, "system"), (2, 0, "user"), (2, 1, "assistant"), (2, 2, "user"), (3, 0, "user"), (3, 1, "assistant"), (4, 0, "assistant"), (4, 1, "user")]
+    turns = spark.createDataFrame([(c, t, r, "x") for c, t, r in rows], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.valid, r.error_turn) for r in chat_format.format_conversations(turns).collect()}
+    assert got == {1: (False, 1), 2: (False, 3), 3: (True, None), 4: (False, 0)}
