@@ -212,7 +212,7 @@ SQL = {
         "lagged AS (SELECT *, lag(factor) OVER (PARTITION BY block ORDER BY date) AS g FROM factors)",
     ),
     "em_degrees": sql("factors", f"SELECT {r('gap', 'gap')}, {_NU} FROM roots", _NOISE, _ROWS, _W, *_bisected("SELECT 1 + avg(ln(w)) - avg(w) AS gap FROM ww"), recursive=True),
-    "em_degrees_by_year": sql("factors", f"SELECT fit, {_NU} FROM roots", _NOISE, _ROWS, _W, *_bisected("SELECT year(date) AS fit, 1 + avg(ln(w)) - avg(w) AS gap FROM ww GROUP BY 1", "fit, "), recursive=True),
+    "em_degrees_by_year": sql("factors", f"SELECT fit, {_NU} FROM roots", _NOISE, _ROWS, _W, *_bisected("SELECT CAST(year(date) AS INTEGER) AS fit, 1 + avg(ln(w)) - avg(w) AS gap FROM ww GROUP BY 1", "fit, "), recursive=True),
     "em_transition": sql("factors", f"SELECT fit, row, col, {r('a', 'a')}, {r('q', 'q')} FROM cells", _NOISE, _ROWS, _W, *_TRANSITION),
     "impulse_responses": sql("factors", f"SELECT fit, CAST(h AS INTEGER) AS h, b.name AS row, b.name AS col, {r('m[k][k]', 'response')} FROM powers CROSS JOIN (VALUES (1, 'financial'), (2, 'other'), (3, 'real')) b(k, name)", _NOISE, _ROWS, _W, *_TRANSITION, _POWERS, recursive=True),
     "basis_change": sql(
