@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -155,6 +156,18 @@ def test_resampling_on_awkward_tables(spark):
     assert alone.count() == len(ROWS) and alone.filter("rank IS NOT NULL").count() == 0
 
 
+def test_matrix_is_stored_in_small_parts(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(vocabulary, 300))) for i in range(9000)], "doc_id long, text string").coalesce(1)
+    blocks = resampling.matrix(docs)
+    sizes = [r[0] for r in blocks.select(F.size("columns")).collect()]
+    assert max(sizes) < (1 << 14) + 10_000 and sum(sizes) > 2_000_000
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    # of a file's rows a reader decodes a group at a time
+    assert max(m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)) <= 110 < len(sizes)
+
+
 def test_jacobi_finds_small_eigenvalues():
     rng = np.random.default_rng(4)
     for n in (1, 2, 7, 40):

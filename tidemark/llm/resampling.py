@@ -23,8 +23,11 @@ from .common import materialise, measured, sized, table, tasks_for
 #: Features are runs of 1 to ORDER words.
 ORDER, BUCKETS = 1, 10_000
 SEED, PERCENT, LEAST_WORDS = 2024, 10, 20
-#: Rows and entries at which a block of the matrix is closed.
-BLOCK_ROWS, BLOCK_ENTRIES = 4096, 1 << 18
+#: Rows and entries at which a block of the matrix is closed, and bytes at which its row group is. A reader decodes a row group whole,
+#: and entries take many times their bytes in the file, so both are small.
+BLOCK_ROWS, BLOCK_ENTRIES, GROUP_BYTES = 1024, 1 << 14, 1 << 20
+#: Texts of a batch that a task turns into words at a time.
+TEXTS = 256
 #: Bytes of scores meant for a task that ranks.
 TASK_BYTES = 32 << 20
 
@@ -42,15 +45,15 @@ def row_of(words: list[bytes], order: int, buckets: int) -> tuple[np.ndarray, np
     for n in range(2, order + 1):
         seen.update(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
     if not seen:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), 0
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), 0
     bucket = np.fromiter((zlib.crc32(f) % buckets for f in seen), np.int64, len(seen))
     count = np.fromiter(seen.values(), np.int64, len(seen))
     at, where = np.unique(bucket, return_inverse=True)
     sums = np.bincount(where, weights=count).astype(np.int64)
-    return at.astype(np.int32), sums, int(sums.sum())
+    return at.astype(np.int32), sums.astype(np.int32), int(sums.sum())
 
 
-_BLOCK = "words array<long>, features array<long>, starts array<int>, columns array<int>, counts array<long>"
+_BLOCK = "words array<long>, features array<long>, starts array<int>, columns array<int>, counts array<int>"
 
 
 def matrix(docs: DataFrame, order: int = ORDER, buckets: int = BUCKETS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -58,35 +61,40 @@ def matrix(docs: DataFrame, order: int = ORDER, buckets: int = BUCKETS, id_colum
 
     A block: ids, words and features of its documents, starts (where each row's
     entries begin, and the end), columns and counts. A null text has no words, so its
-    row is empty.
+    row is empty. Blocks, row groups and the texts in hand are bounded, so a task's
+    memory does not grow with the table.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        ids, made, entries = [], [], 0  # the open block: each row's id and its (buckets, counts, features, words)
+        ids, made, entries = [], [], 0  # the open block: copies of its ids, and each row's (buckets, counts, features, words)
 
         def closed():
             one = lambda xs, t: pa.array([xs], pa.list_(t))
-            joined = lambda k, t: np.concatenate([np.zeros(0, t), *(m[k] for m in made)])
+            joined = lambda k: np.concatenate([np.zeros(0, np.int32), *(m[k] for m in made)])
             starts = np.cumsum([0, *(len(m[0]) for m in made)])
-            own = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(ids))
-            columns = [own, one([m[3] for m in made], pa.int64()), one([m[2] for m in made], pa.int64()), one(starts, pa.int32()), one(joined(0, np.int32), pa.int32()), one(joined(1, np.int64), pa.int64())]
+            own = pa.ListArray.from_arrays(pa.array([0, len(made)], pa.int32()), pa.concat_arrays(ids))
+            columns = [own, one([m[3] for m in made], pa.int64()), one([m[2] for m in made], pa.int64()), one(starts, pa.int32()), one(joined(0), pa.int32()), one(joined(1), pa.int32())]
             return pa.RecordBatch.from_arrays(columns, ["ids", "words", "features", "starts", "columns", "counts"])
 
         for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = words_of(text or "")
-                made.append((*row_of(words, order, buckets), len(words)))
-                ids.append(batch.column(0).slice(i, 1))
-                entries += len(made[-1][0])
-                if len(made) >= BLOCK_ROWS or entries >= BLOCK_ENTRIES:
-                    yield closed()
-                    ids, made, entries = [], [], 0
+            for at in range(0, batch.num_rows, TEXTS):
+                first = at  # of the rows whose ids are not in the open block yet
+                for i, text in enumerate(batch.column(1).slice(at, TEXTS).to_pylist(), at):
+                    words = words_of(text or "")
+                    made.append((*row_of(words, order, buckets), len(words)))
+                    entries += len(made[-1][0])
+                    if len(made) >= BLOCK_ROWS or entries >= BLOCK_ENTRIES:
+                        ids.append(batch.column(0).take(pa.array(range(first, i + 1))))
+                        yield closed()
+                        ids, made, entries, first = [], [], 0, i + 1
+                # a copy, as a slice would hold the batch's texts
+                ids.append(batch.column(0).take(pa.array(range(first, min(at + TEXTS, batch.num_rows)), pa.int64())))
         if made:
             yield closed()
 
-    return materialise(rows.mapInArrow(run, f"ids array<{kind}>, {_BLOCK}"), "matrix")
+    return materialise(rows.mapInArrow(run, f"ids array<{kind}>, {_BLOCK}"), "matrix", group_bytes=GROUP_BYTES)
 
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -95,8 +103,9 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     def run(batches):
         sums = np.zeros(buckets, np.int64)
         for batch in batches:
-            columns, counts = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
-            np.add.at(sums, columns, counts)
+            for k in range(batch.num_rows):
+                columns, counts = (batch.column(c).slice(k, 1).flatten().to_numpy() for c in (0, 1))
+                np.add.at(sums, columns, counts)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], ["bucket", "n"])
 
@@ -123,13 +132,14 @@ def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            made = [np.zeros(0, np.int64)]
             for k in range(batch.num_rows):
-                ids, words, features, starts, columns, counts = (batch.column(c).slice(k, 1).flatten() for c in range(6))
-                n, at = features.to_numpy(), starts.to_numpy()
-                running = np.r_[0, np.cumsum(gain[columns.to_numpy()] * counts.to_numpy())]
-                product = running[at[1:]] - running[at[:-1]]
-                weight = np.where(n > 0, product // np.maximum(n, 1), 0)
-                yield pa.RecordBatch.from_arrays([ids, words, features, pa.array(weight, pa.int64())], ["doc_id", "n_words", "n_features", "weight"])
+                features, starts, columns, counts = (batch.column(c).slice(k, 1).flatten().to_numpy() for c in range(2, 6))
+                running = np.r_[0, np.cumsum(gain[columns] * counts)]
+                product = running[starts[1:]] - running[starts[:-1]]
+                made.append(np.where(features > 0, product // np.maximum(features, 1), 0))
+            ids, words, features = (batch.column(c).flatten() for c in range(3))
+            yield pa.RecordBatch.from_arrays([ids, words, features, pa.array(np.concatenate(made), pa.int64())], ["doc_id", "n_words", "n_features", "weight"])
 
     return blocks.mapInArrow(run, f"doc_id {kind}, n_words long, n_features long, weight long")
 

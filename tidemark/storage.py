@@ -94,20 +94,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str, within: DataFrame | None = None, **measures: Column) -> DataFrame:
+def materialise(df: DataFrame, name: str, within: DataFrame | None = None, group_bytes: int | None = None, **measures: Column) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again.
 
     Rows, bytes and further aggregates are measured while it is written. within: a
     table whose measured bytes bound df's, so that a small result is not cut into
-    many tasks and files, however many partitions Spark shuffles to. It is an eager
-    job, so whoever uses it runs part of the work while the query is built.
+    many tasks and files, however many partitions Spark shuffles to. group_bytes: at
+    about so many bytes a row group is closed, for rows that are large when decoded.
+    It is an eager job, so whoever uses it runs part of the work while the query is
+    built.
     """
     path = new_path(df.sparkSession, name)
     if within is not None:
         df = df.coalesce(max(1, math.ceil(weight(within)[1] / SMALL_TASK_BYTES)))
     seen = Observation()
     columns = [c.alias(k) for k, c in measures.items()]
-    df.observe(seen, F.count(F.lit(1)).alias("_rows"), F.sum(_row_bytes(df)).alias("_bytes"), *columns).write.option("compression", "zstd").parquet(path)
+    writer = df.observe(seen, F.count(F.lit(1)).alias("_rows"), F.sum(_row_bytes(df)).alias("_bytes"), *columns).write.option("compression", "zstd")
+    if group_bytes is not None:
+        writer = writer.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[made], _measured[made] = path, seen.get
     return made
