@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -90,6 +91,15 @@ def test_bpe_remembers_a_bounded_number(monkeypatch, library):
     assert bpe.encode(text).tolist() == library.encode_ordinary(text) and max(map(len, (bpe._pieces, bpe._words, bpe._spaced))) <= 3
 
 
+def test_bpe_query_has_one_python_worker_a_task_and_small_batches(spark, library):
+    docs = spark.createDataFrame([(i, f"row {i} lorem" if i % 7 else None) for i in range(1000)], "doc_id long, text string").coalesce(1)
+    both = byte_bpe.encode_and_decode(docs)
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, byte_bpe.decode_documents(byte_bpe.encode_documents(docs)).collect()))
+    assert all(r.ids == library.encode_ordinary(bytes(r.data).decode()) for r in both.collect())
+    plan = byte_bpe.query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and max(p.num_rows for p in byte_bpe._parts(pa.record_batch({"x": list(range(n))}) for n in (0, 1000))) == byte_bpe.ROWS
+
+
 SCHEMA = "doc_id long, text string, ids string, words string, features int, rank string, tie int, part int, score string, data string, id int, n int"
 ROWS = [(1, "A b c"), (2, None), (3, ""), (None, "word " * 25), (5, "lorem ipsum " * 60_000), (5, "lorem ipsum " * 60_000), (6, " \n."), (7, "\x00 éÉ 1"), (None, None), (8, "A b c")]
 

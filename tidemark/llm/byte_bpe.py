@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens whose ids a task remembers: those of so many characters at most, and so many of them.
-REMEMBERED_CHARS, REMEMBERED = 48, 1 << 19
+#: Pre-tokens whose ids a task remembers: those of so many characters at most, and so many of a space and letters, a quarter of it of others.
+REMEMBERED_CHARS, REMEMBERED = 48, 5 << 17
+#: Rows that a task encodes or decodes at a time.
+ROWS = 256
 #: Ranks of a leaf of the bitmap.
 LEAF_BITS = 8
 LEAF_MASK = (1 << LEAF_BITS) - 1
@@ -40,22 +42,23 @@ _RUNS = re.compile(r"[{0} ]{{2,}}|[{0}]|^ | \Z".format("\t-\r\x85\xa0\u1680\u200
 class _Known(dict):
     """Ids, as bytes of 32-bit numbers, of strings that have been encoded.
 
-    Short strings are remembered. When there are REMEMBERED of them, they become the
+    Short strings are remembered. When there are as many as REMEMBERED allows, they become the
     older generation, those of the one before go, and what is asked for again comes
     back, so memory is bounded and frequent strings stay.
     """
 
-    def __init__(self, encode):
+    def __init__(self, encode, share: int = 4):
         super().__init__()
-        self._encode, self._older = encode, {}
+        self._encode, self._older, self._share = encode, {}, share
 
     def __missing__(self, text: str) -> bytes:
         found = self._older.get(text)
         if found is None:
             found = self._encode(text)
         if len(text) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self._older = dict(self)
+            if len(self) >= REMEMBERED // self._share:
+                self._older.clear()
+                self._older.update(self)
                 self.clear()
             self[text] = found
         return found
@@ -76,7 +79,7 @@ class ByteBpe:
         self._pairs = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
         self._pieces = _Known(self._merged)
         self._words = _Known(self._encoded_word)
-        self._spaced = _Known(self._encoded_spaced)
+        self._spaced = _Known(self._encoded_spaced, 1)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: the pair of least rank is merged first, of equal ones the leftmost.
@@ -204,6 +207,18 @@ def tokenizer(path: str) -> ByteBpe:
         return ByteBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
 
+def _parts(batches):
+    """The batches cut into ROWS rows, so that what a task holds beside a batch is bounded."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+
+
 def _id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
@@ -220,11 +235,9 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_column: s
 
     def run(batches):
         bpe = tokenizer(path)
-        for batch in batches:
-            found = [bpe.encode(text or "") for text in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+        for part in _parts(batches):
+            ids = _lists([bpe.encode(text or "") for text in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(run, f"doc_id {_id_type(rows, 'doc_id')}, ids array<int>")
@@ -240,7 +253,7 @@ def decode_documents(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFra
 
     def run(batches):
         bpe = tokenizer(path)
-        for batch in batches:
+        for batch in _parts(batches):
             column = batch.column(1)
             ends = np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()])
             ids = column.flatten().to_numpy(zero_copy_only=False)
@@ -251,11 +264,26 @@ def decode_documents(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFra
     return rows.mapInArrow(run, f"doc_id {_id_type(rows, 'doc_id')}, ids array<int>, data binary")
 
 
+def encode_and_decode(docs: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """decode_documents(encode_documents(docs)) by one Python worker for each task, so one copy of the vocabulary."""
+    path = public_tokenizers.path(vocabulary)
+
+    def run(batches):
+        bpe = tokenizer(path)
+        for part in _parts(batches):
+            found = [bpe.encode(text or "") for text in part.column(1).to_pylist()]
+            data = pa.array([bpe.decode(ids) for ids in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(found), data], ["doc_id", "ids", "data"])
+
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {_id_type(rows, 'doc_id')}, ids array<int>, data binary")
+
+
 QUERY = "op11_byte_bpe"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = decode_documents(encode_documents(table(spark, sf_dir, "documents")))
+    tokens = encode_and_decode(table(spark, sf_dir, "documents"))
     return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
