@@ -23,7 +23,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8), the smallest doc_id stays; so do rows with a null id or without words."""
+    """Of each group of near duplicates (five-word shingles, 0.8; SimHash, then exact for the rest), the smallest doc_id stays; so do rows with a null id or without words."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -1,6 +1,7 @@
 """Near duplicates against brute force over all pairs, where a sieve or a sketch would lose or invent links."""
 
 import itertools
+import random
 
 import numpy as np
 
@@ -97,3 +98,16 @@ def test_sets_decide_and_not_counts(spark):
     docs += [(3, f"{base} " + f"{part} " * 3), (4, f"{base} " + f"{part} " * 300)]  # one set, other counts
     assert brute(docs) == {3: 3, 4: 3}
     assert found(spark, docs) == {3: 3, 4: 3}
+
+
+def test_near_duplicates_are_linked_by_ball_hashing_first(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    texts = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in (10, 1500, 2990)] + [" ".join(f"v{rng.randrange(10**6)}" for _ in range(200)) for _ in range(5)]
+    balls, pairs = simhash.fingerprint_links, []
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *a: pairs.append(balls(*a)) or pairs[-1])
+    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == [(0, 0), (1, 0), (2, 0)]
+    nodes = spark.createDataFrame([(n, {4: -1, 7: 5}.get(n, 0)) for n in range(8)], "node long, fp long")
+    got = {frozenset(r) for r in simhash.fingerprint_pairs(nodes).collect()}
+    assert len(pairs) == 2 and got == {frozenset((0, n)) for n in (1, 2, 3, 5, 6, 7)}

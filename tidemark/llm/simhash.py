@@ -166,8 +166,8 @@ def fingerprint_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return lookup(prints, classes, ["fp"]).select("doc_id", "fp", "component_id")
 
 
-# Similarity of 0.8 is some ten differing bits of 64, far beyond the radius, and no number of fingerprints finds every
-# such pair. Near-duplicate removal therefore finds them by an exact rule: under any one order of all shingles, two sets
+# Near-duplicate removal links by ball hashing first. Similarity of 0.8 is some ten differing bits of 64, far beyond the
+# radius, and no number of fingerprints finds every such pair, so what is left is found by an exact rule: under any one order of all shingles, two sets
 # of Jaccard similarity t share a shingle among the first n - ceil(t n) + 1 of each, n being the set's size.
 
 
@@ -182,6 +182,13 @@ def _set_hash(h: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), start)
 
 
+def _set_fingerprint(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The SimHash of each set of shingles: a bit is 1 if it is set in over half of the hashes."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def _lists(h: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(h.view(np.int64)))
 
@@ -200,7 +207,7 @@ def _sets(words: int):
 
 
 def _prefixes(words: int, similarity: float, common, often):
-    """Rows (doc_id, text) in, (doc_id, node, size, prefix, plain) out; common, sorted, are the shingles that come last, by how often they are seen.
+    """Rows (doc_id, text) in, (doc_id, node, fp, size, prefix, plain) out; fp is the set's SimHash; common, sorted, are the shingles that come last, by how often they are seen.
 
     plain counts the shingles of the prefix before those that are seen in more than PAIRED sampled texts.
     """
@@ -212,7 +219,7 @@ def _prefixes(words: int, similarity: float, common, often):
             for owner, h in shingle_sets(batch.column(1), words):
                 start = _starts(owner)
                 size = np.diff(np.r_[start, len(h)])
-                node = _set_hash(h, start)
+                node, fp = _set_hash(h, start), _set_fingerprint(h, start, size)
                 rank = np.zeros(len(h), np.int64)
                 if len(last):
                     at = np.minimum(np.searchsorted(last, h), len(last) - 1)
@@ -223,8 +230,8 @@ def _prefixes(words: int, similarity: float, common, often):
                 length = np.minimum(length, size)
                 inside = np.arange(len(h)) - np.repeat(start, size) < np.repeat(length, size)
                 plain = np.add.reduceat((inside & (rank <= PAIRED)).astype(np.int64), start)
-                columns = [pa.array(ids[owner[start]]), pa.array(node.view(np.int64)), pa.array(size.astype(np.int64)), _lists(h[inside], length), pa.array(plain)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "prefix", "plain"])
+                columns = [pa.array(ids[owner[start]]), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64)), _lists(h[inside], length), pa.array(plain)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "size", "prefix", "plain"])
 
     return run
 
@@ -282,9 +289,26 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.filter(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b")
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp) by ball hashing, to be verified; their number grows with that of the nodes.
+
+    Nodes of one fingerprint are paired with the smallest of them, and so are those
+    of fingerprints that fingerprint_links links.
+    """
+    leads = materialise(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "distinct")
+    links = materialise(fingerprint_links(leads.select("fp"), weight(leads)[0]).distinct(), "balls")
+    lead = lambda end: sized(leads.select(F.col("fp").alias(end), F.col("lead").alias(f"node_{end}")), leads)
+    near = links.join(lead("a"), "a").join(lead("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    same = lookup(nodes.select("node", "fp"), leads, ["fp"]).filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return near.unionByName(same)
+
+
 def set_components(nodes: DataFrame, rows: DataFrame, expected: int, words: int, similarity: float) -> DataFrame:
-    """(node, component) by all pairs of nodes (doc_id, node, size, prefix, plain) that similar; rows have the texts (doc_id, text).
+    """(node, component) by all pairs of nodes (doc_id, node, fp, size, prefix, plain) that are similar; rows have the texts (doc_id, text).
 
+    Ball hashing of the SimHash fingerprints gives the first pairs, which are
+    verified by the sets. It cannot reach all similar pairs, so the prefixes give
+    the rest; of these, pairs within one class of the first need no comparison.
     Nodes that share a shingle of their prefixes meet in its bucket. Small buckets
     give all their pairs. A large bucket's leader, the one in most large buckets, is
     compared with all of it; where that leaves more than one component, nodes
@@ -335,13 +359,19 @@ def set_components(nodes: DataFrame, rows: DataFrame, expected: int, words: int,
         either = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
         return pairs.select(either("a", "b").alias("a"), either("b", "a").alias("b"), either("size_a", "size_b").alias("size_a"), either("size_b", "size_a").alias("size_b"))
 
+    close = verified(materialise(fingerprint_pairs(nodes), "close"))
     first = may(counted)
     if some_large:
         leaders = members.join(sized(often), "node").groupBy("key").agg(F.max(F.struct("large", "size", "node", "at")).alias("l"))
         leaders = materialise(leaders.select("key", F.col("l.node").alias("b"), F.col("l.size").alias("size_b"), F.col("l.at").alias("at_b")), "leaders", members)
         led = lookup(members.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a")), leaders, ["key"])
         first = first.unionByName(of_large(ordered(led.filter((F.col("a") != F.col("b")) & fits & first_common)))).distinct()
-    links = verified(materialise(first, "first"))
+    if weight(close)[0]:
+        classes = components(close)
+        for end in ("a", "b"):
+            first = first.join(sized(classes.select(F.col("node").alias(end), F.col("component").alias(f"class_{end}")), classes), end, "left")
+        first = first.filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
+    links = verified(materialise(first, "first")).unionByName(close)
     found = components(links)
     if not some_large:
         return found
@@ -372,7 +402,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.filter(F.col("doc_id").isNotNull() & text.rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     common, often = map(rows.sparkSession.sparkContext.broadcast, _common(rows, words))
-    made = materialise(rows.mapInArrow(_prefixes(words, similarity, common, often), "doc_id long, node long, size long, prefix array<long>, plain long"), "prefixes", entries=F.sum(F.size("prefix")))
+    made = materialise(rows.mapInArrow(_prefixes(words, similarity, common, often), "doc_id long, node long, fp long, size long, prefix array<long>, plain long"), "prefixes", entries=F.sum(F.size("prefix")))
     # equal sets are one node, so copies are never compared with each other
     nodes = materialise(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "nodes")
     expected = measured(made, "entries") or 0
