@@ -391,3 +391,12 @@ def test_mined_url_rules(spark):
     for t, r in tokens.items():
         hit = [x for x in rows[:300] if all(k.split(":")[1] in x[1] for k in t)]
         assert r.confidence == pytest.approx(sum(x[2] for x in hit) / len(hit))
+
+
+def test_packing_tokenises_few_texts_at_a_time():
+    path, added = public_tokenizers.path(packing.VOCABULARY), packing.added_tokens(public_tokenizers.path(packing.ADDED))
+    batch = pa.record_batch({"doc_id": list(range(1000)), "text": [f"text {i}" for i in range(1000)]})
+    made = list(packing._tokenise(path, added)([batch]))
+    assert max(b.num_rows for b in made) == packing.TEXTS and [i for b in made for i in b.column(0).to_pylist()] == list(range(1000))
+    encode = packing.encoder(path, public_tokenizers.path(packing.ADDED))
+    assert made[3].column(2)[5].as_py() == bytes([*encode("text 773").astype("<u2").tobytes(), packing.END, 0])

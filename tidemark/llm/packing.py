@@ -33,16 +33,26 @@ RANGES_PER_TAIL_TASK = 1000
 #: The ranks of byte_bpe_50k.json; this encoder gives the same ids in a quarter of the time (a test compares).
 VOCABULARY, ADDED = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 VOCABULARY_SIZE = 50_257
+#: Texts of a batch that a task encodes at a time.
+TEXTS = 256
+
+
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(string, id) of the tokens that a tokenizer's file adds. The file is large when parsed, so the driver reads it for all tasks."""
+    with open(path) as file:
+        return tuple((t["content"], t["id"]) for t in json.load(file)["added_tokens"])
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str, added_path: str):
     """A function from a text to its ids: those of the ranks in one file and, for their strings, of the tokens that the other adds."""
+    return _encoder(path, added_tokens(added_path))
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, added: tuple[tuple[str, int], ...]):
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    with open(added_path) as file:
-        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
-    own = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    own = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
     return lambda text: own.encode_to_numpy(text, allowed_special="all")
 
 
@@ -84,10 +94,10 @@ def hilbert_keys(points: np.ndarray, bits: int = GRID_BITS) -> np.ndarray:
     return key
 
 
-def _tokenise(*paths: str):
+def _tokenise(path: str, added: tuple[tuple[str, int], ...]):
     def run(batches):
-        encode, signs = encoder(*paths), _signs()
-        for batch in batches:
+        encode, signs = _encoder(path, added), _signs()
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             ids, sums = [], np.zeros((batch.num_rows, DIMENSIONS))
             for row, text in enumerate(batch.column(1).to_pylist()):
                 own = encode(text)
@@ -196,9 +206,9 @@ def pack_documents(docs: DataFrame, size: int = SEQUENCE, vocabulary: str = VOCA
     stay null. Empty tables give no rows. Other columns are ignored, so their names
     cannot clash.
     """
-    paths = public_tokenizers.path(vocabulary), public_tokenizers.path(added)
+    path, added_ids = public_tokenizers.path(vocabulary), added_tokens(public_tokenizers.path(added))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    tokens = rows.mapInArrow(_tokenise(*paths), "doc_id long, key long, ids binary")
+    tokens = rows.mapInArrow(_tokenise(path, added_ids), "doc_id long, key long, ids binary")
     tokens = materialise(tokens.withColumn("tie", F.monotonically_increasing_id()), "tokens")
     tasks = tasks_for(tokens, TASK_BYTES)
     ranged = tokens.repartitionByRange(tasks, "key", "tie").sortWithinPartitions("key", "tie")
