@@ -14,14 +14,17 @@ WINDOW, GRAM = 100, 32
 #: Bytes that a window may have before its anchor.
 BEFORE = WINDOW - GRAM
 CONTEXT = BEFORE + WINDOW
-#: Bytes of a text worked on at a time.
-PIECE = 1 << 21
+#: Bytes of texts worked on at a time, so that their hashes stay in the cache.
+PIECE = 1 << 16
 
 
 def _mix(a: np.ndarray) -> np.ndarray:
-    a = (a ^ (a >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    a = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return a ^ (a >> np.uint64(32))
+    a = a ^ (a >> np.uint64(32))
+    a *= np.uint64(0x9E3779B97F4A7C15)
+    a ^= a >> np.uint64(29)
+    a *= np.uint64(0xBF58476D1CE4E5B9)
+    a ^= a >> np.uint64(32)
+    return a
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -44,30 +47,41 @@ def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions, gram hashes, context hashes) of a text's anchors, in order; none below WINDOW bytes."""
-    n = len(data)
-    found = [_piece_anchors(data, at, min(n, at + PIECE)) for at in range(0, n if n >= WINDOW else 0, PIECE)]
+    return text_anchors(data, np.array([0, len(data)]))[1:]
+
+
+def text_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, positions, gram hashes, context hashes) of the anchors of many texts, in order; text k is data[offsets[k] : offsets[k + 1]]."""
+    first, last = int(offsets[0]), int(offsets[-1])
+    found = [_piece_anchors(data, offsets, at, min(last, at + PIECE)) for at in range(first, last, PIECE)]
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _piece_anchors(data: np.ndarray, start: int, stop: int):
-    n = len(data)
-    low, high = max(0, start - WINDOW), min(n, stop + 2 * WINDOW)
+def _piece_anchors(data: np.ndarray, offsets: np.ndarray, start: int, stop: int):
+    low, high = max(int(offsets[0]), start - WINDOW), min(int(offsets[-1]), stop + 2 * WINDOW)
+    if high - low < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = _gram_hashes(data[low:high])
     width = BEFORE + 1
     least = _sliding(h, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    most = _sliding(np.concatenate([edge, least, edge]), width, np.maximum)
+    # no window reaches from one text into the next
+    for edge in offsets[np.searchsorted(offsets, low, "right") : np.searchsorted(offsets, high)].tolist():
+        least[max(0, edge - low - WINDOW + 1) : edge - low] = 0
+    none = np.zeros(width - 1, np.uint64)
+    most = _sliding(np.concatenate([none, least, none]), width, np.maximum)
     at = np.flatnonzero(most == h)
     at = at[(at + low >= start) & (at + low < stop)]
-    pos = at + low
-    left, right = np.minimum(pos, BEFORE), np.minimum(n - pos, WINDOW)
+    place = at + low
+    text = np.searchsorted(offsets, place, "right") - 1
+    pos = place - offsets[text]
+    left, right = np.minimum(pos, BEFORE), np.minimum(offsets[text + 1] - place, WINDOW)
     x = _mix((left * 256 + right).astype(np.uint64))
     for offset in (-BEFORE, -BEFORE + GRAM, -BEFORE + 2 * GRAM, -BEFORE + 3 * GRAM, -BEFORE + 4 * GRAM, WINDOW - GRAM):
-        block = np.clip(pos + offset, pos - left, pos + right - GRAM)
-        x = _mix(x * np.uint64(7) + h[block - low])
-    return pos, h[at], x
+        block = np.clip(offset, -left, right - GRAM)
+        x = _mix(x * np.uint64(7) + h[at + block])
+    return text, pos, h[at], x
 
 
 def row_hashes(rows: np.ndarray, start: np.ndarray) -> np.ndarray:

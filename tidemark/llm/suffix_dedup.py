@@ -29,6 +29,8 @@ ANCHOR, SPAN, ASKED = 0, 1, 2
 _ROW = "kind int, h long, x long, doc_id long, hash long, a long, b long"
 #: Bytes of texts that are worked on, and contexts that are sorted, at a time.
 BATCH_BYTES, BATCH_CONTEXTS = 16_000_000, 20_000
+#: Occurrences of repeats that are held before they widen their contexts' spans.
+BATCH_MEMBERS = 1_000_000
 #: Anchors meant for a task.
 TASK_ANCHORS = 2_000_000
 #: Different contexts of one anchor up to which they are sorted in one task; beyond, they are split by what is around the anchor.
@@ -41,12 +43,16 @@ def _table(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _ROW.split(", ")])
 
 
+def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A numpy view of the texts' bytes, and where each begins and the last ends in it."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    raw = texts.buffers()[2]
+    return np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8), offsets
+
+
 def _bytes_of(batch: pa.RecordBatch, column: int):
     """A numpy view of each text's bytes."""
-    texts = batch.column(column)
-    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    data, offsets = _buffer(batch.column(column))
     return [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
@@ -55,16 +61,31 @@ def _anchors(batches):
     held, size = [], 0
     for batch in batches:
         ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for doc_id, text_hash, data in zip(ids.tolist(), hashes.tolist(), _bytes_of(batch, 2), strict=True):
-            pos, h, x = repeats.anchors(data)
-            if len(pos):
-                held.append((pos, h, x, doc_id, text_hash, len(data)))
-                size += len(data)
-            if size >= BATCH_BYTES:
+        data, offsets = _buffer(batch.column(2))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES - size, "right")) - 1)
+            text, pos, h, x = repeats.text_anchors(data, offsets[at : stop + 1])
+            text += at
+            held.append((pos, h, x, ids[text], hashes[text], offsets[text + 1] - offsets[text]))
+            size += int(offsets[stop] - offsets[at])
+            at = stop
+            if size >= BATCH_BYTES or at < batch.num_rows:
                 yield from _dealt(held)
                 held, size = [], 0
-    if held:
-        yield from _dealt(held)
+    yield from _dealt(held)
+
+
+def _runs(rows: np.ndarray) -> np.ndarray:
+    """Spans (document, text, start, stop as rows of an array) in order, of which those that touch are merged."""
+    doc, text_hash, a, b = rows
+    if not len(doc):
+        return rows
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])]
+    reach = np.maximum.accumulate((np.cumsum(new) << 32) + b)  # a text is below 2 GB
+    reach &= (1 << 32) - 1
+    start = np.flatnonzero(new | np.r_[True, a[1:] > reach[:-1]])
+    return np.stack([doc[start], text_hash[start], a[start], reach[np.r_[start[1:], len(doc)] - 1]])
 
 
 def _elsewhere(first: np.ndarray, *place: np.ndarray) -> np.ndarray:
@@ -73,26 +94,30 @@ def _elsewhere(first: np.ndarray, *place: np.ndarray) -> np.ndarray:
 
 
 def _dealt(held: list):
-    pos, h, x = (np.concatenate([t[k] for t in held]) for k in range(3))
-    counts = [len(t[0]) for t in held]
-    doc, text_hash, length = (np.repeat(np.array([t[k] for t in held], np.int64), counts) for k in (3, 4, 5))
-    order = np.lexsort((pos, text_hash, doc, x, h))
-    pos, h, x, doc, text_hash, length = (v[order] for v in (pos, h, x, doc, text_hash, length))
-    new = np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(pos)), 0))
-    later = ~new & _elsewhere(first, doc, text_hash, pos)
-    go = new
+    pos, h, x, doc, text_hash, length = (np.concatenate([t[k] for t in held]) for k in range(6)) if held else [np.zeros(0, np.int64)] * 6
+    if not len(pos):
+        return
+    # contexts are equal if both hashes are; only those that recur need an order
+    order = np.argsort(x)
+    alike = x[order][1:] == x[order][:-1]
+    recurs = np.r_[alike, False] | np.r_[False, alike]
+    once, several = order[~recurs], order[recurs]
+    several = several[np.lexsort((pos[several], text_hash[several], doc[several], h[several], x[several]))]
+    new = np.r_[True, (h[several][1:] != h[several][:-1]) | (x[several][1:] != x[several][:-1])] if len(several) else np.zeros(0, bool)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(several)), 0))
+    later = several[~new & _elsewhere(first, doc[several], text_hash[several], pos[several])]
+    go = np.r_[once, several[new]]
     begin, end = pos - np.minimum(pos, repeats.BEFORE), pos + np.minimum(length - pos, repeats.WINDOW)
-    # a span is dealt by a hash of its own, so a hot anchor's spans don't meet
-    spread = (doc * 31 + pos * 7).astype(np.int64)
-    for rows, kind in ((np.flatnonzero(go), ANCHOR), (np.flatnonzero(later), SPAN)):
-        for i in range(0, len(rows), 200_000):
-            r = rows[i : i + 200_000]
-            if kind == ANCHOR:  # a: position, b: bytes before and from it on
-                left, right = pos[r] - begin[r], end[r] - pos[r]
-                yield _table([np.full(len(r), kind), h[r].view(np.int64), x[r].view(np.int64), doc[r], text_hash[r], pos[r], left * 256 + right])
-            else:
-                yield _table([np.full(len(r), kind), spread[r], np.zeros(len(r), np.int64), doc[r], text_hash[r], begin[r], end[r]])
+    for i in range(0, len(go), 200_000):  # a: position, b: bytes before and from it on
+        r = go[i : i + 200_000]
+        left, right = pos[r] - begin[r], end[r] - pos[r]
+        yield _table([np.full(len(r), ANCHOR), h[r].view(np.int64), x[r].view(np.int64), doc[r], text_hash[r], pos[r], left * 256 + right])
+    later = later[np.lexsort((begin[later], text_hash[later], doc[later]))]
+    spans = _runs(np.stack([doc[later], text_hash[later], begin[later], end[later]]))
+    for i in range(0, spans.shape[1], 200_000):
+        owner, text, a, b = spans[:, i : i + 200_000]
+        # a span is dealt by a hash of its own, so a hot anchor's spans don't meet
+        yield _table([np.full(len(a), SPAN), owner * 31 + a * 7, np.zeros(len(a), np.int64), owner, text, a, b])
 
 
 def _classes(batches):
@@ -136,24 +161,19 @@ _CONTEXT = "h long, doc_id long, hash long, a long, b long, context binary"
 def _contexts(batches):
     """The bytes around each position that a document is asked for."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
+        data, offsets = _buffer(batch.column(2))
         asked = batch.column(3)
-        for k, data in enumerate(_bytes_of(batch, 2)):
-            raw = data.tobytes()
-            for one in asked[k].as_py():
-                left, right = one["b"] // 256, one["b"] % 256
-                row = (one["h"], batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), one["a"], one["b"], raw[one["a"] - left : one["a"] + right])
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            if len(out[0]) > 50_000:
-                yield _context_batch(out)
-                out = [[] for _ in range(6)]
-        yield _context_batch(out)
-
-
-def _context_batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _CONTEXT.split(", ")])
+        owner = np.repeat(np.arange(batch.num_rows), asked.value_lengths().to_numpy())
+        h, a, b = (x.to_numpy() for x in asked.flatten().flatten())
+        ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for i in range(0, len(h), BATCH_CONTEXTS):
+            own, at, sides = owner[i : i + BATCH_CONTEXTS], a[i : i + BATCH_CONTEXTS], b[i : i + BATCH_CONTEXTS]
+            left, right = sides // 256, sides % 256
+            ends = np.r_[0, np.cumsum(left + right)]
+            place = np.arange(ends[-1]) + np.repeat(offsets[own] + at - left - ends[:-1], left + right)
+            context = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[place])])
+            columns = [*(pa.array(v, pa.int64()) for v in (h[i : i + BATCH_CONTEXTS], ids[own], hashes[own], at, sides)), context]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _CONTEXT.split(", ")])
 
 
 def _repeat_spans(batches):
@@ -191,23 +211,36 @@ def _matrix(contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _spans_of(contexts: pa.Table):
+    """One span for each context that has bytes to remove: all spans around an anchor hold it, so their union has no gap."""
     h, doc, text_hash, a = (contexts.column(k).to_numpy() for k in range(4))
     context, left, right = _matrix(contexts)
-    reach: dict[tuple[int, int], int] = {}
-    for l, rows, length in repeats.maximal_repeats(h, context, left, right):  # noqa: E741
-        members = rows.tolist()
-        place = {r: (doc[r], text_hash[r], a[r]) for r in members}
-        first = min(place.values())
-        for r in members:
-            if place[r] != first and reach.get((r, l), 0) < length:
-                reach[r, l] = length
-    if not reach:
-        return
-    found = np.array([(r, l, n) for (r, l), n in reach.items()], np.int64)
-    for i in range(0, len(found), 200_000):
-        r, l, n = found[i : i + 200_000].T  # noqa: E741
-        begin = a[r] - l
-        yield _table([np.full(len(r), SPAN), h[r], np.zeros(len(r), np.int64), doc[r], text_hash[r], begin, begin + n])
+    order = np.lexsort((a, text_hash, doc))
+    ranks = np.r_[0, np.cumsum(np.logical_or.reduce([v[order][1:] != v[order][:-1] for v in (doc, text_hash, a)]))]
+    place = np.empty(len(a), np.int64)
+    place[order] = ranks
+    before, after = np.full(len(a), -1, np.int64), np.zeros(len(a), np.int64)
+    held, members = [], 0
+
+    def reach():
+        size = np.array([len(rows) for _, rows, _ in held])
+        rows = np.concatenate([rows for _, rows, _ in held])
+        l, length = (np.repeat([t[k] for t in held], size) for k in (0, 2))  # noqa: E741
+        first = np.minimum.reduceat(place[rows], np.r_[0, np.cumsum(size)[:-1]])
+        later = place[rows] != np.repeat(first, size)
+        np.maximum.at(before, rows[later], l[later])
+        np.maximum.at(after, rows[later], (length - l)[later])
+
+    for found in repeats.maximal_repeats(h, context, left, right):
+        held.append(found)
+        members += len(found[1])
+        if members >= BATCH_MEMBERS:
+            reach()
+            held, members = [], 0
+    if held:
+        reach()
+    r = np.flatnonzero(before >= 0)
+    if len(r):
+        yield _table([np.full(len(r), SPAN), h[r], np.zeros(len(r), np.int64), doc[r], text_hash[r], a[r] - before[r], a[r] + after[r]])
 
 
 _PART = f"{_CONTEXT}, region int"
@@ -265,31 +298,30 @@ _MERGED = "doc_id long, hash long, starts array<long>, stops array<long>, n long
 
 def _merged(batches):
     """Spans sorted by document and start, merged to one row for each document."""
-    key, starts, stops, out = None, [], [], []
-
-    def made():
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
-        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _MERGED.split(", ")])
-        out.clear()
-        return batch
-
+    closed: list[np.ndarray] = []  # merged spans of the document that is open
+    last = np.zeros((4, 0), np.int64)  # its last one, which may go on
     for batch in batches:
-        for doc_id, text_hash, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if (doc_id, text_hash) != key:
-                if key:
-                    out.append((*key, starts, stops, len(starts)))
-                key, starts, stops = (doc_id, text_hash), [a], [b]
-                if len(out) >= 10_000:
-                    yield made()
-            elif a <= stops[-1]:
-                stops[-1] = max(stops[-1], b)
-            else:
-                starts.append(a)
-                stops.append(b)
-    if key:
-        out.append((*key, starts, stops, len(starts)))
-    yield made()
+        runs = _runs(np.concatenate([last, np.stack([batch.column(k).to_numpy() for k in range(4)])], axis=1))
+        closed.append(runs[:, :-1])
+        last = runs[:, -1:]
+        if (runs[:2, :1] == last[:2]).all():
+            continue
+        done = np.concatenate(closed, axis=1)
+        whole = int(np.argmax(np.r_[(done[:2] == last[:2]).all(axis=0), True]))
+        yield _documents(done[:, :whole])
+        closed = [done[:, whole:]]
+    if last.shape[1]:
+        yield _documents(np.concatenate([*closed, last], axis=1))
+
+
+def _documents(runs: np.ndarray) -> pa.RecordBatch:
+    """One row for each document of merged spans."""
+    doc, text_hash, a, b = runs
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])])
+    edges = pa.array(np.r_[first, len(doc)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(edges, pa.array(v)) for v in (a, b)]
+    columns = [pa.array(doc[first]), pa.array(text_hash[first]), *lists, pa.array(np.diff(np.r_[first, len(doc)]))]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _MERGED.split(", ")])
 
 
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
