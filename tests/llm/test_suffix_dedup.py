@@ -1,8 +1,12 @@
 """The steps of the repeat removal give few rows, whatever the batches."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from tidemark import storage
 from tidemark.llm import repeats, suffix_dedup
 
 
@@ -72,3 +76,14 @@ def test_merged_spans_go_on_in_later_batches():
         got = [r for b in suffix_dedup._merged(batches) for r in b.to_pylist()]
         assert {(r["doc_id"], r["hash"]): [list(x) for x in zip(r["starts"], r["stops"], strict=True)] for r in got} == want
         assert len(got) == len(want) and all(r["n"] == len(r["starts"]) for r in got)
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_CONTEXTS, 2])
+def test_only_the_merged_spans_outlive_the_search(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
+    rng = np.random.default_rng(9)
+    line = "".join(rng.choice(list("abcd"), 120))
+    docs = spark.createDataFrame([(k, "".join(rng.choice(list("abcd"), 80)) + line + "".join(rng.choice(list("abcd"), 80))) for k in range(5)], "doc_id long, text string")
+    before = set(os.listdir(storage.shared_folder(spark)))
+    assert sorted(r.n_removed for r in suffix_dedup.remove_repeats(docs).collect())[:2] == [0, 120]
+    assert {x.split("-")[0] for x in set(os.listdir(storage.shared_folder(spark))) - before} == {"merged"}

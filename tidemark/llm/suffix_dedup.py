@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import lookup, materialise, sized, table
+from .common import lookup, materialise, scope, sized, table
 
 #: What a row of the anchors' table is: an anchor, a span to remove, an anchor whose context is asked for.
 ANCHOR, SPAN, ASKED = 0, 1, 2
@@ -106,7 +106,7 @@ def _dealt(held: list):
     new = np.r_[True, (h[several][1:] != h[several][:-1]) | (x[several][1:] != x[several][:-1])] if len(several) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(new, np.arange(len(several)), 0))
     later = several[~new & _elsewhere(first, doc[several], text_hash[several], pos[several])]
-    go = np.r_[once, several[new]]
+    go = np.sort(np.r_[once, several[new]])  # by text, which shuffles in fewer bytes
     begin, end = pos - np.minimum(pos, repeats.BEFORE), pos + np.minimum(length - pos, repeats.WINDOW)
     for i in range(0, len(go), 200_000):  # a: position, b: bytes before and from it on
         r = go[i : i + 200_000]
@@ -385,7 +385,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    merged = materialise(repeated_spans(rows), "merged")
+    with scope(docs.sparkSession) as own:
+        merged = own.keep(materialise(repeated_spans(rows), "merged"))
     joined = rows.join(merged.hint("merge"), ["doc_id", "hash"], "left")
     made = joined.select("doc_id", "text", "starts", "stops").mapInArrow(_cut(with_text), _KEPT)
     return made.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
