@@ -60,6 +60,17 @@ def test_copies_within_a_batch_give_one_span_each():
     assert sorted((r["doc_id"], r["a"], r["b"]) for r in rows) == [(2, 0, 5000), (3, 0, 5000)]
 
 
+def test_anchors_of_one_repeated_byte_are_dealt_in_parts(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_ANCHORS", 1000, raising=False)
+    monkeypatch.setattr(repeats, "PIECE", 500)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([9, 9]), pa.array(["a" * 6000, "a" * 6000])], ["doc_id", "hash", "text"])
+    held = []
+    dealt = suffix_dedup._dealt
+    monkeypatch.setattr(suffix_dedup, "_dealt", lambda rows: held.append(sum(len(r[0]) for r in rows)) or dealt(rows))
+    list(suffix_dedup._anchors([batch]))
+    assert sum(held) == 2 * (6000 - repeats.GRAM + 1) and max(held) < 1500
+
+
 def test_merged_spans_go_on_in_later_batches():
     rng = np.random.default_rng(8)
     rows = sorted((int(d), int(h), int(a), int(a + n)) for d, h, a, n in zip(*(rng.integers(0, m, 400) for m in (6, 2, 900)), rng.integers(1, 9, 400), strict=True))

@@ -52,11 +52,15 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def text_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(texts, positions, gram hashes, context hashes) of the anchors of many texts, in order; text k is data[offsets[k] : offsets[k + 1]]."""
-    first, last = int(offsets[0]), int(offsets[-1])
-    found = [_piece_anchors(data, offsets, at, min(last, at + PIECE)) for at in range(first, last, PIECE)]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(none, *anchor_pieces(data, offsets), strict=True))
+
+
+def anchor_pieces(data: np.ndarray, offsets: np.ndarray):
+    """The same piece by piece, as texts of one repeated byte have an anchor at every position."""
+    last = int(offsets[-1])
+    for at in range(int(offsets[0]), last, PIECE):
+        yield _piece_anchors(data, offsets, at, min(last, at + PIECE))
 
 
 def _piece_anchors(data: np.ndarray, offsets: np.ndarray, start: int, stop: int):

@@ -27,10 +27,10 @@ from .common import lookup, materialise, scope, sized, table
 #: What a row of the anchors' table is: an anchor, a span to remove, an anchor whose context is asked for.
 ANCHOR, SPAN, ASKED = 0, 1, 2
 _ROW = "kind int, h long, x long, doc_id long, hash long, a long, b long"
-#: Bytes of texts that are worked on, and contexts that are sorted, at a time.
-BATCH_BYTES, BATCH_CONTEXTS = 16_000_000, 20_000
+#: Anchors that are dealt, and contexts that are sorted, at a time.
+BATCH_ANCHORS, BATCH_CONTEXTS = 500_000, 20_000
 #: Occurrences of repeats that are held before they widen their contexts' spans.
-BATCH_MEMBERS = 1_000_000
+BATCH_MEMBERS = 200_000
 #: Anchors meant for a task.
 TASK_ANCHORS = 2_000_000
 #: Different contexts of one anchor up to which they are sorted in one task; beyond, they are split by what is around the anchor.
@@ -58,22 +58,18 @@ def _bytes_of(batch: pa.RecordBatch, column: int):
 
 def _anchors(batches):
     """Anchors of the texts. Of anchors with one context within a batch the first goes on, the others are spans."""
-    held, size = [], 0
+    held, n = [], 0
     for batch in batches:
         ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         data, offsets = _buffer(batch.column(2))
-        at = 0
-        while at < batch.num_rows:
-            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES - size, "right")) - 1)
-            text, pos, h, x = repeats.text_anchors(data, offsets[at : stop + 1])
-            text += at
+        for text, pos, h, x in repeats.anchor_pieces(data, offsets):
             held.append((pos, h, x, ids[text], hashes[text], offsets[text + 1] - offsets[text]))
-            size += int(offsets[stop] - offsets[at])
-            at = stop
-            if size >= BATCH_BYTES or at < batch.num_rows:
+            n += len(pos)
+            if n >= BATCH_ANCHORS:
                 yield from _dealt(held)
-                held, size = [], 0
-    yield from _dealt(held)
+                held, n = [], 0
+    if n:
+        yield from _dealt(held)
 
 
 def _runs(rows: np.ndarray) -> np.ndarray:
@@ -94,9 +90,7 @@ def _elsewhere(first: np.ndarray, *place: np.ndarray) -> np.ndarray:
 
 
 def _dealt(held: list):
-    pos, h, x, doc, text_hash, length = (np.concatenate([t[k] for t in held]) for k in range(6)) if held else [np.zeros(0, np.int64)] * 6
-    if not len(pos):
-        return
+    pos, h, x, doc, text_hash, length = (np.concatenate([t[k] for t in held]) for k in range(6))
     # contexts are equal if both hashes are; only those that recur need an order
     order = np.argsort(x)
     alike = x[order][1:] == x[order][:-1]
@@ -112,6 +106,7 @@ def _dealt(held: list):
         r = go[i : i + 200_000]
         left, right = pos[r] - begin[r], end[r] - pos[r]
         yield _table([np.full(len(r), ANCHOR), h[r].view(np.int64), x[r].view(np.int64), doc[r], text_hash[r], pos[r], left * 256 + right])
+    later.sort()  # by text, mostly in order then
     later = later[np.lexsort((begin[later], text_hash[later], doc[later]))]
     spans = _runs(np.stack([doc[later], text_hash[later], begin[later], end[later]]))
     for i in range(0, spans.shape[1], 200_000):
